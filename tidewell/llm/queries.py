@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from tidewell.llm.common import documents
 from tidewell.llm.exact_dedup import exact_groups
 from tidewell.llm.language_id import identify
+from tidewell.llm.secrets import BASE_RULES, RULES, joined, secret_spans
 from tidewell.llm.token_counts import token_counts
 
 
@@ -28,13 +29,45 @@ def op7_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_groups(documents(spark, sf_dir)).select("doc_id", "keep_id", "group_size", "kept", "text_sha256")
 
 
+def op9_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = secret_spans(documents(spark, sf_dir))
+    base = F.filter("spans", lambda s: s["k"] < len(BASE_RULES))
+
+    def count(k: int):
+        return F.size(F.filter("spans", lambda s: s["k"] == k)).cast("long")
+
+    counts = [count(i).alias(f"n_{r.kind}") for i, r in enumerate(BASE_RULES)]
+    return found.select("doc_id", *counts, F.sha2(joined(base), 256).alias("base_sha256"), joined(F.col("spans")).alias("spans"))
+
+
+def _secrets_sql() -> str:
+    quoted = [r.pattern.replace("'", "''") for r in RULES]
+    hits = " UNION ALL ".join(f"SELECT doc_id, {i} AS k, '{r.kind}' AS kind, regexp_extract_all(t, '{q}') AS m, regexp_split_to_array(t, '{q}') AS p FROM d" for i, (r, q) in enumerate(zip(RULES, quoted)))
+    held = " ".join(f"WHEN {i} THEN length({f"regexp_extract(x, '{q}', {r.group})" if r.group else 'x'}) >= {r.least}" for i, (r, q) in enumerate(zip(RULES, quoted)))
+    counts = ", ".join(f"count(s.k) FILTER (s.k = {i}) AS n_{r.kind}" for i, r in enumerate(BASE_RULES))
+    span = "s.kind || ':' || s.a || ':' || s.e"
+    return f"""
+        WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),
+        hits AS ({hits}),
+        each AS (SELECT doc_id, k, kind, unnest(m) AS x, unnest(p[:len(m)]) AS gap, unnest(range(len(m))) AS i FROM hits WHERE len(m) > 0),
+        ends AS (SELECT *, CAST(sum(length(gap) + length(x)) OVER (PARTITION BY doc_id, k ORDER BY i) AS BIGINT) AS e FROM each),
+        s AS (SELECT doc_id, k, kind, e - length(x) AS a, e FROM ends WHERE CASE k {held} END)
+        SELECT d.doc_id, {counts},
+               sha256(coalesce(string_agg({span}, ',' ORDER BY s.a, s.k) FILTER (s.k < {len(BASE_RULES)}), '')) AS base_sha256,
+               coalesce(string_agg({span}, ',' ORDER BY s.a, s.k), '') AS spans
+        FROM d LEFT JOIN s ON d.doc_id = s.doc_id GROUP BY d.doc_id
+    """
+
+
 QUERIES = {
     "op1_language_id": op1_language_id,
     "op5_token_counts": op5_token_counts,
     "op7_exact_dedup": op7_exact_dedup,
+    "op9_secret_scans": op9_secret_scans,
 }
 
 ORACLES = {
+    "op9_secret_scans": _secrets_sql(),
     "op7_exact_dedup": """
         SELECT doc_id, max(doc_id) OVER same AS keep_id, count(*) OVER same AS group_size,
                doc_id = max(doc_id) OVER same AS kept, sha256(coalesce(text, '')) AS text_sha256
