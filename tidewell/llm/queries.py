@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from tidewell.llm.common import documents
 from tidewell.llm.exact_dedup import exact_groups
 from tidewell.llm.language_id import identify
+from tidewell.llm.near_dedup import near_groups
 from tidewell.llm.secrets import BASE_RULES, RULES, joined, secret_spans
 from tidewell.llm.token_counts import token_counts
 
@@ -59,11 +60,16 @@ def _secrets_sql() -> str:
     """
 
 
+def op10_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_groups(documents(spark, sf_dir), words=2, ratio=(80, 100))
+
+
 QUERIES = {
     "op1_language_id": op1_language_id,
     "op5_token_counts": op5_token_counts,
     "op7_exact_dedup": op7_exact_dedup,
     "op9_secret_scans": op9_secret_scans,
+    "op10_minhash_near_dedup": op10_minhash_near_dedup,
 }
 
 ORACLES = {
