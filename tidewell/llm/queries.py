@@ -10,6 +10,7 @@ from tidewell.llm.exact_dedup import exact_groups
 from tidewell.llm.language_id import identify
 from tidewell.llm.near_dedup import near_groups
 from tidewell.llm.secrets import BASE_RULES, RULES, joined, secret_spans
+from tidewell.llm.suffix_dedup import repeated_passages
 from tidewell.llm.token_counts import token_counts
 
 
@@ -20,6 +21,10 @@ def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return identify(marked, docs.filter(~held_out), keep=("held_out",)).select("doc_id", "held_out", "lang_pred", "score")
 
 
+def op4_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeated_passages(documents(spark, sf_dir)).select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
+
+
 def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -66,6 +71,7 @@ def op10_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_language_id": op1_language_id,
+    "op4_suffix_array_dedup": op4_suffix_array_dedup,
     "op5_token_counts": op5_token_counts,
     "op7_exact_dedup": op7_exact_dedup,
     "op9_secret_scans": op9_secret_scans,
