@@ -5,13 +5,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewell.llm.common import documents
+from tidewell.llm.common import documents, new_path
 from tidewell.llm.exact_dedup import exact_groups
 from tidewell.llm.language_id import identify
 from tidewell.llm.near_dedup import near_groups
 from tidewell.llm.secrets import BASE_RULES, RULES, joined, secret_spans
 from tidewell.llm.suffix_dedup import repeated_passages
 from tidewell.llm.token_counts import token_counts
+from tidewell.llm.warc import archive, archived
 
 
 def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -35,6 +36,12 @@ def op7_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_groups(documents(spark, sf_dir)).select("doc_id", "keep_id", "group_size", "kept", "text_sha256")
 
 
+def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages, path = documents(spark, sf_dir, "pages"), new_path(spark, "warc")
+    archive(pages, path)
+    return archived(spark, path, pages.schema["page_id"].dataType.simpleString()).withColumnRenamed("id", "page_id")
+
+
 def op9_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = secret_spans(documents(spark, sf_dir))
     base = F.filter("spans", lambda s: s["k"] < len(BASE_RULES))
@@ -74,11 +81,20 @@ QUERIES = {
     "op4_suffix_array_dedup": op4_suffix_array_dedup,
     "op5_token_counts": op5_token_counts,
     "op7_exact_dedup": op7_exact_dedup,
+    "op8_warc": op8_warc,
     "op9_secret_scans": op9_secret_scans,
     "op10_minhash_near_dedup": op10_minhash_near_dedup,
 }
 
 ORACLES = {
+    "op8_warc": """
+        WITH p AS (SELECT page_id, coalesce(html, '') AS h FROM pages),
+        f AS (SELECT page_id, h, strlen(h) AS n, min(page_id) OVER (PARTITION BY h) AS first FROM p)
+        SELECT page_id, n AS payload_bytes, sha256(h) AS payload_digest,
+               CASE WHEN n >= 100 AND page_id <> first THEN 'revisit' ELSE 'response' END AS record_type,
+               CASE WHEN n >= 100 AND page_id <> first THEN first END AS refers_to
+        FROM f
+    """,
     "op9_secret_scans": _secrets_sql(),
     "op7_exact_dedup": """
         SELECT doc_id, max(doc_id) OVER same AS keep_id, count(*) OVER same AS group_size,
