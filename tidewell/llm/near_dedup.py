@@ -12,10 +12,13 @@ Within a node pairs are first held against sketches of one bit for each hash fun
 at the threshold agrees on 108 of 120 bits with a deviation of 3.3, and is let through from 88
 on. Pairs let through are confirmed on the full sets of shingle hashes (64 bits).
 
-A node that stays large through all tokens holds sets that are nearly all linked. It gives the
-links between neighbours, and to its first set, which join most of it; when these are confirmed,
-all pairs of different components that the sketches let through follow. Links inside a
-component would change nothing, so none that matters is lost.
+A node gives the join at most one pair for each of its sets: the first set before it that the
+sketches let through. A node that stays large through all tokens holds sets that are nearly
+all alike, and gives the links between neighbours and to its first set. When these links are
+confirmed, nodes that still hold let-through pairs of different components follow: their sets
+are compared exhaustively, each time skipping what the node has joined by then. Links inside a
+component would change nothing, so none that matters is lost, and the links written grow with
+the number of sets rather than of pairs. A large node is compared in blocks of BLOCK sets.
 """
 
 from __future__ import annotations
@@ -28,12 +31,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidewell.llm.common import partitions, stored
+from tidewell.llm.common import drop_stored, partitions, stored
 from tidewell.llm.components import components
 
 TREES, START, DEPTH, SMALL = 20, 3, 6, 32
 BITS = TREES * DEPTH
 AGREE = 88
+BLOCK = 1_024
 #: Ids of documents to be confirmed are broadcast up to this many (8 bytes each), else joined.
 BROADCAST_IDS = 2_000_000
 
@@ -157,9 +161,9 @@ def _sorted_batches(batches):
 
 
 def _branch(depth: int, ratio: tuple[int, int]):
-    """The nodes at one depth: pairs (a, b) of the small ones; rows of the large ones, one token
-    further, or at the last depth as they are."""
-    names = ["a", "b", *_PLACE]
+    """The nodes at one depth: pairs (a, b); rows of the large ones, one token further; and, with
+    late set, the rows of nodes that have more to compare."""
+    names = ["a", "b", *_PLACE, "late"]
 
     def branch(batches):
         for table, open_path in _sorted_batches(batches):
@@ -168,60 +172,120 @@ def _branch(depth: int, ratio: tuple[int, int]):
             size = np.diff(np.concatenate((start, [len(path)])))
             large = (size > SMALL) | (np.zeros(len(start), bool) if open_path is None else path[start] == open_path)
             n, s = table.column("n").to_numpy(), np.stack([table.column("s0").to_numpy(), table.column("s1").to_numpy()], 1)
-            lefts, rights = [], []
+            lefts, rights, late = [], [], np.zeros(len(path), bool)
+
+            def add(a, b, ok):
+                lefts.append(a[ok])
+                rights.append(b[ok])
+
             for k in range(2, SMALL + 1):
-                at = start[(size == k) & ~large]
-                if len(at):
-                    i, j = np.triu_indices(k, 1)
-                    for c in range(0, len(at), 20_000):
-                        a, b = (at[c : c + 20_000, None] + i).ravel(), (at[c : c + 20_000, None] + j).ravel()
-                        ok = _like(n, s, a, b, ratio)
-                        lefts.append(a[ok])
-                        rights.append(b[ok])
+                chosen = start[(size == k) & ~large]
+                i, j = np.triu_indices(k, 1)
+                for c in range(0, len(chosen), 20_000):
+                    at = chosen[c : c + 20_000]
+                    ok = _like(n, s, (at[:, None] + i).ravel(), (at[:, None] + j).ravel(), ratio).reshape(len(at), -1)
+                    given = np.zeros(len(at), int)
+                    for y in range(1, k):
+                        own = ok[:, j == y]
+                        some = own.any(1)
+                        add(at + own.argmax(1), at + y, some)
+                        given += some
+                    more = at[ok.sum(1) > given]
+                    late[(more[:, None] + np.arange(k)).ravel()] = True
             inside = np.flatnonzero(np.repeat(large, size))
-            if depth == DEPTH and len(inside) > 1:
+            if depth == DEPTH and len(inside):
+                late[inside] = True
                 heads = np.repeat(start, size)[inside]
                 for a, b in ((inside[:-1], inside[1:]), (heads, inside)):
                     same = (path[a] == path[b]) & (a != b)
-                    ok = _like(n, s, a[same], b[same], ratio)
-                    lefts.append(a[same][ok])
-                    rights.append(b[same][ok])
+                    add(a[same], b[same], _like(n, s, a[same], b[same], ratio))
             if lefts and sum(map(len, lefts)):
                 ids = table.column("id")
                 pairs = [ids.take(pa.array(np.concatenate(x))).combine_chunks() for x in (lefts, rights)]
                 m = len(pairs[0])
-                yield pa.RecordBatch.from_arrays([*pairs, *[pa.nulls(m, table.schema.field(c).type) for c in _PLACE]], names)
-            if len(inside):
-                rest = table.take(pa.array(inside)).combine_chunks()
-                if depth < DEPTH:
+                yield pa.RecordBatch.from_arrays([*pairs, *[pa.nulls(m, table.schema.field(c).type) for c in _PLACE], pa.nulls(m, pa.bool_())], names)
+            for rows, is_late in ((inside if depth < DEPTH else inside[:0], False), (np.flatnonzero(late), True)):
+                if not len(rows):
+                    continue
+                rest = table.take(pa.array(rows)).combine_chunks()
+                if not is_late:
                     token = rest.column(f"t{depth}").to_numpy().view(np.uint32)
                     further = mix(rest.column("path").to_numpy().view(np.uint64) * _U(31) + token)
                     rest = rest.set_column(0, "path", pa.array(further.view(np.int64)))
-                ids = pa.nulls(rest.num_rows, table.schema.field("id").type)
                 for b in rest.to_batches():
-                    yield pa.RecordBatch.from_arrays([ids.slice(0, b.num_rows), ids.slice(0, b.num_rows), *b.columns], names)
+                    none = pa.nulls(b.num_rows, table.schema.field("id").type)
+                    yield pa.RecordBatch.from_arrays([none, none, *b.columns, pa.array(np.full(b.num_rows, is_late))], names)
 
     return branch
 
 
-def _cross_pairs(ratio: tuple[int, int]):
-    """Pairs of different components within large nodes; rows come sorted by (path, label)."""
+def _open_rows(ratio: tuple[int, int]):
+    """Of late nodes, the rows that have a let-through pair in another component: (node, id,
+    label). Of a node of more than BLOCK rows all of different components count; it is dealt
+    out in pairs of blocks, without those that hold its largest component alone."""
 
-    def cross(batches):
+    def choose(batches):
         for table in _whole_nodes(batches):
-            label, n = table.column("label").to_pylist(), table.column("n").to_numpy()
-            codes = np.unique(np.array(label, dtype=object), return_inverse=True)[1] if len(set(label)) > 1 else np.zeros(len(label), int)
-            if codes.max(initial=0) == 0:
+            label = table.column("label").combine_chunks().dictionary_encode().indices.to_numpy()
+            if label.max(initial=0) == 0:
                 continue
-            s, ids = np.stack([table.column("s0").to_numpy(), table.column("s1").to_numpy()], 1), table.column("id")
-            for i in range(len(codes)):
-                b = i + 1 + np.flatnonzero(codes[i + 1 :] != codes[i])
-                a = np.full(len(b), i)
-                ok = _like(n, s, a, b, ratio)
-                if ok.any():
-                    yield pa.RecordBatch.from_arrays([ids.take(pa.array(a[ok])).combine_chunks(), ids.take(pa.array(b[ok])).combine_chunks()], ["a", "b"])
-
-    return cross
+            m, path = len(label), int(table.column("path")[0].as_py())
+            if m <= BLOCK:
+                n, s = table.column("n").to_numpy(), np.stack([table.column("s0").to_numpy(), table.column("s1").to_numpy()], 1)
+                open_ = np.zeros(m, bool)
+                for i in range(m - 1):
+                    b = i + 1 + np.flatnonzero(label[i + 1 :] != label[i])
+                    ok = b[_like(n, s, np.full(len(b), i), b, ratio)]
+                    open_[ok] = True
+                    open_[i] |= len(ok) > 0
+                units = [(path, np.flatnonzero(open_))]
+            else:
+                counts = np.bincount(label)
+                order = np.argsort(label == counts.argmax(), kind="stable")
+                minor = m - counts.max()
+                blocks = [order[x : x + BLOCK] for x in range(0, m, BLOCK)]
+                units = []
+                for x in range(-(-int(minor) // BLOCK)):
+                    for y in range(x, len(blocks)):
+                        unit = (path * 1_000_003 + x * 65_537 + y * 257 + 1) % (1 << 64)
+                        units.append((unit - (1 << 64) if unit >= 1 << 63 else unit, blocks[x] if x == y else np.concatenate([blocks[x], blocks[y]])))
+            for unit, rows in units:
+                if len(rows) > 1:
+                    take = table.select(["id", "label"]).take(pa.array(rows)).combine_chunks()
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(rows), unit)), take.column("id").chunk(0), take.column("label").chunk(0)], ["path", "id", "label"])
+
+    return choose
+
+
+def _exhaust(ratio: tuple[int, int]):
+    """Compares the sets of each node; gives the links that join components."""
+
+    def exhaust(batches):
+        for table in _whole_nodes(batches):
+            ids, sets = table.column("id"), [np.frombuffer(x, np.uint64) for x in table.column("set").to_pylist()]
+            label = table.column("label").combine_chunks().dictionary_encode().indices.to_numpy().copy()
+            sizes = np.array([len(x) for x in sets])
+            owner, values = np.repeat(np.arange(len(sets)), sizes), np.concatenate(sets)
+            codes = np.unique(values, return_inverse=True)[1]
+            by = np.argsort(codes, kind="stable")
+            begin = np.concatenate(([0], np.cumsum(np.bincount(codes))))
+            holders, at = owner[by], np.concatenate(([0], np.cumsum(sizes)))
+            left, right = [], []
+            for i in range(len(sets)):
+                # How many of set i's values every other set holds.
+                own = codes[at[i] : at[i + 1]]
+                width = begin[own + 1] - begin[own]
+                spots = np.repeat(begin[own] - (np.cumsum(width) - width), width) + np.arange(width.sum())
+                both = np.bincount(holders[spots], minlength=len(sets))
+                for j in np.flatnonzero((both * ratio[1] >= ratio[0] * (sizes + sizes[i] - both)) & (label != label[i])):
+                    if label[j] != label[i]:
+                        left.append(i)
+                        right.append(j)
+                        label[label == label[j]] = label[i]
+            if left:
+                yield pa.RecordBatch.from_arrays([ids.take(pa.array(x)).combine_chunks() for x in (left, right)], ["a", "b"])
+
+    return exhaust
 
 
 def _whole_nodes(batches):
@@ -263,16 +327,24 @@ def _confirm(ratio: tuple[int, int]):
     return confirm
 
 
+def sets_of(docs: DataFrame, asked: DataFrame, words: int) -> DataFrame:
+    """(id, set) of the documents (id, text) that asked names."""
+    asked = stored(asked.select("id").distinct(), "asked")
+    wanted = F.broadcast(asked) if asked.count() <= BROADCAST_IDS else asked
+    id_type = docs.schema["id"].dataType.simpleString()
+    return stored(docs.join(wanted, "id", "left_semi").mapInArrow(_sets(words), f"id {id_type}, set binary"), "sets")
+
+
 def confirmed(pairs: DataFrame, docs: DataFrame, words: int, ratio: tuple[int, int]) -> DataFrame:
     """The pairs (a, b) of ids whose full sets are similar enough. docs: (id, text)."""
     id_type = docs.schema["id"].dataType.simpleString()
     pairs = stored(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).filter("a != b").distinct(), "pairs")
-    asked = stored(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct(), "asked")
-    wanted = F.broadcast(asked) if asked.count() <= BROADCAST_IDS else asked
-    sets = stored(docs.join(wanted, "id", "left_semi").mapInArrow(_sets(words), f"id {id_type}, set binary"), "sets")
+    sets = sets_of(docs, pairs.select(F.explode(F.array("a", "b")).alias("id")), words)
     left, right = (sets.select(F.col("id").alias(x), F.col("set").alias("s" + x)) for x in "ab")
     both = pairs.join(left, "a").join(right, "b").select("a", "b", "sa", "sb")
-    return stored(both.mapInArrow(_confirm(ratio), f"a {id_type}, b {id_type}"), "confirmed")
+    out = stored(both.mapInArrow(_confirm(ratio), f"a {id_type}, b {id_type}"), "confirmed")
+    drop_stored(sets)
+    return out
 
 
 def near_groups(docs: DataFrame, words: int = 5, ratio: tuple[int, int] = (8, 10), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -291,22 +363,26 @@ def near_groups(docs: DataFrame, words: int = 5, ratio: tuple[int, int] = (8, 10
     members = signed.select("id", "n", "print").join(same, "print", "left").select("id", "n", F.coalesce("rep", "id").alias("rep"))
     alone = signed.filter("n > 0 and id is not null").join(same, "print", "left").filter("rep is null or rep = id").select("id", "n", "tokens", "bits")
     place = T.StructType([T.StructField("path", T.LongType()), T.StructField("id", id_type), T.StructField("n", T.LongType()), T.StructField("s0", T.LongType()), T.StructField("s1", T.LongType()), *[T.StructField(f"t{d}", T.IntegerType()) for d in range(START, DEPTH)]])
-    both = T.StructType([T.StructField("a", id_type), T.StructField("b", id_type), *place])
-    rows, pairs, parts = alone.mapInArrow(_places, place), None, partitions(docs)
+    both = T.StructType([T.StructField("a", id_type), T.StructField("b", id_type), *place, T.StructField("late", T.BooleanType())])
+    rows, pairs, late, parts = alone.mapInArrow(_places, place), None, None, partitions(docs)
     for depth in range(START, DEPTH + 1):
         node = stored(rows.repartition(parts, "path").sortWithinPartitions("path", "s0").mapInArrow(_branch(depth, ratio), both), f"depth-{depth}")
-        found = node.filter("a is not null").select("a", "b")
+        found, open_ = node.filter("a is not null").select("a", "b"), node.filter("late").select("path", "id", "n", "s0", "s1")
         pairs = found if pairs is None else pairs.unionByName(found)
-        rows = node.filter("path is not null").drop("a", "b")
+        late = open_ if late is None else late.unionByName(open_)
+        rows = node.filter("not late").select(*_PLACE)
         if not rows.take(1):
             break
     links = confirmed(pairs, texts, words, ratio)
     labels = components(links)
-    if rows.take(1):
-        told = rows.join(labels, rows.id == labels.node, "left").withColumn("label", F.coalesce("label", "id")).select("path", "id", "n", "s0", "s1", "label")
-        id_name = id_type.simpleString()
-        more = told.repartition(parts, "path").sortWithinPartitions("path", "label").mapInArrow(_cross_pairs(ratio), f"a {id_name}, b {id_name}")
-        found = confirmed(more, texts, words, ratio)
+    if late.take(1):
+        name = id_type.simpleString()
+        told = late.join(labels, late.id == labels.node, "left").withColumn("label", F.coalesce("label", "id")).select("path", "id", "n", "s0", "s1", "label")
+        told = told.repartition(parts, "path").sortWithinPartitions("path", "label")
+        nodes = stored(told.mapInArrow(_open_rows(ratio), f"path long, id {name}, label {name}"), "open")
+        full = nodes.join(sets_of(texts, nodes, words), "id").select("path", "id", "label", "set")
+        full = full.repartition(parts, "path").sortWithinPartitions("path", "label")
+        found = stored(full.mapInArrow(_exhaust(ratio), f"a {name}, b {name}"), "joined")
         if found.take(1):
             labels = components(links.unionByName(found))
     out = members.join(labels, members.rep == labels.node, "left").select("id", "n", F.coalesce("label", "rep").alias("c"))
