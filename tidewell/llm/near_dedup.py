@@ -31,13 +31,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidewell.llm.common import drop_stored, partitions, stored
+from tidewell.llm.common import arrow_rows, drop_stored, partitions, stored
 from tidewell.llm.components import components
 
 TREES, START, DEPTH, SMALL = 20, 3, 6, 32
 BITS = TREES * DEPTH
 AGREE = 88
 BLOCK = 1_024
+#: Rows that a Python function gets at a time.
+BATCH = 1_000
 #: Ids of documents to be confirmed are broadcast up to this many (8 bytes each), else joined.
 BROADCAST_IDS = 2_000_000
 
@@ -354,6 +356,11 @@ def near_groups(docs: DataFrame, words: int = 5, ratio: tuple[int, int] = (8, 10
     has an empty set and no link. Rows that share an id are one document with several texts:
     each is returned and their links add up. A row without an id is linked only with rows of
     the same set; alone, its component is null and it is kept. No other column is read."""
+    with arrow_rows(docs.sparkSession, BATCH):
+        return _near_groups(docs, words, ratio, id_col, text_col)
+
+
+def _near_groups(docs: DataFrame, words: int, ratio: tuple[int, int], id_col: str, text_col: str) -> DataFrame:
     id_type = docs.schema[id_col].dataType
     texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     schema = T.StructType([T.StructField("id", id_type), T.StructField("n", T.LongType()), T.StructField("print", T.BinaryType()), T.StructField("tokens", T.BinaryType()), T.StructField("bits", T.BinaryType())])

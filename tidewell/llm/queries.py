@@ -6,9 +6,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidewell.llm.common import documents, new_path
+from tidewell.llm.decontaminate import contaminated
 from tidewell.llm.exact_dedup import exact_groups
 from tidewell.llm.language_id import identify
 from tidewell.llm.near_dedup import near_groups
+from tidewell.llm.quality import quality_scores
 from tidewell.llm.secrets import BASE_RULES, RULES, joined, secret_spans
 from tidewell.llm.suffix_dedup import repeated_passages
 from tidewell.llm.token_counts import token_counts
@@ -22,6 +24,10 @@ def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return identify(marked, docs.filter(~held_out), keep=("held_out",)).select("doc_id", "held_out", "lang_pred", "score")
 
 
+def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return contaminated(documents(spark, sf_dir), documents(spark, sf_dir, "benchmark"))
+
+
 def op4_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repeated_passages(documents(spark, sf_dir)).select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
 
@@ -32,6 +38,10 @@ def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(documents(spark, sf_dir), public_tokenizers.path("word_bpe_49k.json"))
 
 
+def op6_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_scores(documents(spark, sf_dir), documents(spark, sf_dir, "labels"))
+
+
 def op7_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_groups(documents(spark, sf_dir)).select("doc_id", "keep_id", "group_size", "kept", "text_sha256")
 
@@ -78,8 +88,10 @@ def op10_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_language_id": op1_language_id,
+    "op2_decontamination": op2_decontamination,
     "op4_suffix_array_dedup": op4_suffix_array_dedup,
     "op5_token_counts": op5_token_counts,
+    "op6_quality_classifier": op6_quality_classifier,
     "op7_exact_dedup": op7_exact_dedup,
     "op8_warc": op8_warc,
     "op9_secret_scans": op9_secret_scans,
