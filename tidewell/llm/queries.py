@@ -9,6 +9,7 @@ from tidewell.llm.common import documents, new_path
 from tidewell.llm.decontaminate import contaminated
 from tidewell.llm.exact_dedup import exact_groups
 from tidewell.llm.language_id import identify
+from tidewell.llm.mixing import mixing_rates
 from tidewell.llm.near_dedup import near_groups
 from tidewell.llm.quality import quality_scores
 from tidewell.llm.secrets import BASE_RULES, RULES, joined, secret_spans
@@ -28,6 +29,14 @@ def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contaminated(documents(spark, sf_dir), documents(spark, sf_dir, "benchmark"))
 
 
+#: Target weights of the domains (languages) in the mixture.
+MIXTURE = {"en": 0.4, "fr": 0.2, "de": 0.2, "es": 0.2}
+
+
+def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing_rates(documents(spark, sf_dir), documents(spark, sf_dir, "labels"), MIXTURE)
+
+
 def op4_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repeated_passages(documents(spark, sf_dir)).select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
 
@@ -89,6 +98,7 @@ def op10_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_language_id": op1_language_id,
     "op2_decontamination": op2_decontamination,
+    "op3_mixing": op3_mixing,
     "op4_suffix_array_dedup": op4_suffix_array_dedup,
     "op5_token_counts": op5_token_counts,
     "op6_quality_classifier": op6_quality_classifier,
