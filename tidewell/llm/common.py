@@ -55,8 +55,12 @@ def partitions(df: DataFrame) -> int:
     return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
 
+#: Rows of whole texts or sets that a Python function gets at a time.
+TEXT_ROWS = 1_000
+
+
 @contextlib.contextmanager
-def arrow_rows(spark: SparkSession, rows: int):
+def arrow_rows(spark: SparkSession, rows: int = TEXT_ROWS):
     """Within, Python functions get at most so many rows at a time: for rows that hold whole sets or
     texts. It counts for what runs within, so results have to be stored there."""
     key = "spark.sql.execution.arrow.maxRecordsPerBatch"

@@ -17,6 +17,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_type
+
+from tidewell.llm.common import arrow_rows, stored
 
 ERROR_SHARE = 16
 MIN_CHARS = 30
@@ -122,6 +125,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     total = items.agg(F.sum("_n")).first()[0] or 0
     blocks = max(1, -(-total // block_chars))
     schema = T.StructType([T.StructField(id_col, docs.schema[id_col].dataType), T.StructField(item_col, benchmark.schema[item_col].dataType), T.StructField("edits", T.LongType()), T.StructField("start", T.LongType()), T.StructField("end", T.LongType())])
+    item_type = to_arrow_type(benchmark.schema[item_col].dataType)
     out = None
     for b in range(blocks):
         own = items if blocks == 1 else items.filter(F.pmod(F.xxhash64("_item", "_text"), F.lit(blocks)) == b)
@@ -142,9 +146,6 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
                 ids = batch.column(0).take(pa.array(rows, pa.int64()))
                 yield pa.RecordBatch.from_arrays([ids, *[pa.array(c, t) for c, t in zip(columns, (item_type, pa.int64(), pa.int64(), pa.int64()))]], schema.names)
 
-        from pyspark.sql.pandas.types import to_arrow_type
-
-        item_type = to_arrow_type(benchmark.schema[item_col].dataType)
         found = docs.select(id_col, text_col).mapInArrow(match, schema)
         out = found if out is None else out.unionByName(found)
     return out
@@ -152,4 +153,6 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """docs without the documents that contain a test item; rows without an id stay."""
-    return docs.join(contaminated(docs, benchmark, id_col, text_col).select(id_col).distinct(), id_col, "left_anti")
+    with arrow_rows(docs.sparkSession):
+        found = stored(contaminated(docs, benchmark, id_col, text_col).select(id_col), "contaminated")
+    return docs.join(found, id_col, "left_anti")

@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidewell.llm.common import partitions, stored, text_bytes
+from tidewell.llm.common import arrow_rows, partitions, stored, text_bytes
 
 BLOCK_BYTES = 8192
 
@@ -71,7 +71,8 @@ def assign_names(rows: DataFrame, key: str, deal_by: list[str], label: str) -> D
     schema = T.StructType([*[T.StructField(c, rows.schema[c].dataType) for c in columns], T.StructField("_name", T.LongType()), T.StructField("_edge", T.BinaryType())])
     keyed = rows.select(*columns, F.col(key).alias("_key"), F.xxhash64(key).alias("_hash"))
     dealt = keyed.repartitionByRange(max(1, partitions(rows)), "_hash", *deal_by).sortWithinPartitions("_hash", "_key")
-    named = stored(dealt.mapInArrow(_ranker(columns), schema), label)
+    with arrow_rows(rows.sparkSession):
+        named = stored(dealt.mapInArrow(_ranker(columns), schema), label)
     edges = named.filter("_edge is not null")
     # At most a few rows for each task of the sort, whatever the number of documents.
     same = edges.groupBy("_edge").agg(F.min("_name").alias("_to"))
@@ -130,4 +131,4 @@ def drop_exact_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     """docs with, of equal texts, only the row with the largest id. Ids have to be unique and
     not null here; rows with a null id are kept."""
     gone = exact_groups(docs, id_col, text_col).filter("not kept").select(id_col)
-    return docs.join(gone, id_col, "left_anti")
+    return docs.join(stored(gone, "copies"), id_col, "left_anti")

@@ -38,8 +38,6 @@ TREES, START, DEPTH, SMALL = 20, 3, 6, 32
 BITS = TREES * DEPTH
 AGREE = 88
 BLOCK = 1_024
-#: Rows that a Python function gets at a time.
-BATCH = 1_000
 #: Ids of documents to be confirmed are broadcast up to this many (8 bytes each), else joined.
 BROADCAST_IDS = 2_000_000
 
@@ -356,7 +354,7 @@ def near_groups(docs: DataFrame, words: int = 5, ratio: tuple[int, int] = (8, 10
     has an empty set and no link. Rows that share an id are one document with several texts:
     each is returned and their links add up. A row without an id is linked only with rows of
     the same set; alone, its component is null and it is kept. No other column is read."""
-    with arrow_rows(docs.sparkSession, BATCH):
+    with arrow_rows(docs.sparkSession):
         return _near_groups(docs, words, ratio, id_col, text_col)
 
 
@@ -399,4 +397,4 @@ def _near_groups(docs: DataFrame, words: int, ratio: tuple[int, int], id_col: st
 def drop_near_copies(docs: DataFrame, words: int = 5, ratio: tuple[int, int] = (8, 10), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """docs with one document of each component: the one with the smallest id."""
     gone = near_groups(docs, words, ratio, id_col, text_col).filter("not kept").select(id_col)
-    return docs.join(gone, id_col, "left_anti")
+    return docs.join(stored(gone, "near-copies"), id_col, "left_anti")

@@ -34,7 +34,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidewell.llm.common import partitions, stored, text_bytes
+from tidewell.llm.common import arrow_rows, partitions, stored, text_bytes
 
 LENGTH, GRAM = 200, 32
 #: Bytes that are hashed at a time, and bytes of suffixes that a task sorts at a time.
@@ -390,6 +390,11 @@ def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     end of each maximal removed run, in bytes), kept_sha256 (of the remaining bytes). A null
     text is an empty one; texts of less than LENGTH bytes stay whole. Ids may repeat or be null
     (a row read twice repeats itself and goes); no column besides the two is read."""
+    with arrow_rows(docs.sparkSession):
+        return _repeated_passages(docs, id_col, text_col)
+
+
+def _repeated_passages(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     id_type = docs.schema[id_col].dataType
     rows = docs.select(F.col(id_col).alias("id"), text_bytes(text_col).alias("raw")).withColumn("k", F.xxhash64("id", "raw"))
     parts = partitions(docs)
