@@ -32,11 +32,10 @@ LABELLED, PASSES, CLOSE = 4_000, 40, 1e-4
 def fit_domains(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, domain_col: str, rows: int = LABELLED):
     """(domains, weights) from at most `rows` documents that the label table covers, chosen by a
     hash of the id."""
-    spot = F.xxhash64(F.col(id_col), F.lit("domain"))
-    known = docs.filter(F.col(domain_col).isNotNull() & F.col(id_col).isNotNull())
-    chosen = known.select(id_col).join(labels.select(id_col), id_col, "left_semi").distinct().select(F.col(id_col).alias("_cid"))
-    chosen = chosen.orderBy(F.xxhash64("_cid", F.lit("domain")), "_cid").limit(rows)
-    few = known.join(F.broadcast(chosen), F.col(id_col) == F.col("_cid")).select(spot.alias("spot"), F.col(domain_col).cast("string").alias("domain"), F.col(text_col).alias("text"))
+    known = docs.select(F.col(id_col).alias("id"), F.col(domain_col).cast("string").alias("domain"), F.col(text_col).alias("text")).filter("id is not null and domain is not null")
+    spot = F.xxhash64("id", F.lit("domain"))
+    chosen = known.select("id").join(labels.select(F.col(id_col).alias("id")), "id", "left_semi").distinct().orderBy(spot, "id").limit(rows)
+    few = known.join(F.broadcast(chosen), "id").select(spot.alias("spot"), "domain", "text")
 
     def view(batches):
         for batch in batches:

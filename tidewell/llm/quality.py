@@ -3,9 +3,9 @@
 Two classifiers see a document from two sides: one its text (byte pairs, words), the other its
 metadata (language, source, size, layout). Both learn from labelled rows; then, for ROUNDS rounds,
 each labels the rows of an unlabelled pool that it is surest of, and these join the other one's
-training rows. The views are calibrated on labelled rows that neither has seen. Given the class the
-views are taken as independent, as co-training does: the sum of their calibrated log-odds, less
-those of the share of good rows (which both contain), scores every document.
+training rows. The views are calibrated on labelled rows that neither has seen. What a view adds to the
+log-odds of the share of good rows is weighted by how far it can be trusted: of WEIGHTS for each
+view the pair with the least log loss on the same rows. The sum scores every document.
 
 The sample that is fitted is bounded: at most LABELLED labelled rows and about POOL others, chosen
 by a hash of the id. Scoring reads every whole text.
@@ -24,6 +24,7 @@ from tidewell.llm.features import content, fit, layout, sigmoid
 
 LABELLED, POOL, ROUNDS, SHARE = 4_000, 4_000, 4, 0.04
 LEAST = 8
+WEIGHTS = (1.0, 0.75, 0.5, 0.25, 0.125, 0.0)
 KEEP_FROM = 0.5
 
 def _views(texts, names, sizes) -> tuple[np.ndarray, np.ndarray]:
@@ -55,8 +56,8 @@ def _platt(z: np.ndarray, y: np.ndarray) -> tuple[float, float]:
 
 def co_train(views: tuple[np.ndarray, np.ndarray], y: np.ndarray, pool: tuple[np.ndarray, np.ndarray], rounds: int = ROUNDS):
     """views, y: labelled rows in order; every fourth of a class calibrates and the rest is fitted.
-    Returns weights, slope and offset of each view and the log-odds of the share of good rows, or
-    None if a class has fewer than LEAST rows."""
+    Returns weights, slope and offset of each view, the log-odds of the share of good rows and the
+    weights of the views; or None if a class has fewer than LEAST rows."""
     if min(y.sum(), len(y) - y.sum()) < LEAST:
         return None
     held = np.zeros(len(y), bool)
@@ -86,7 +87,11 @@ def co_train(views: tuple[np.ndarray, np.ndarray], y: np.ndarray, pool: tuple[np
             left[rows] = False
         models = [train(*o) for o in own]
     each = [(w, *_platt(_odds(v[held], w), y[held])) for v, w in zip(views, models)]
-    return each, float(np.log(y[held].mean() / (1 - y[held].mean())))
+    prior = float(np.log(y[held].mean() / (1 - y[held].mean())))
+    odds = np.column_stack([a * _odds(v[held], w) + b - prior for v, (w, a, b) in zip(views, each)])
+    loss = lambda w: float(np.mean(np.logaddexp(0, prior + odds @ w) - y[held] * (prior + odds @ w)))
+    weights = min((np.array([a, b]) for a in WEIGHTS for b in WEIGHTS), key=loss)
+    return each, prior, weights
 
 
 def fit_views(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, name_cols: list[str], size_col: str | None, label_col: str):
@@ -134,7 +139,7 @@ def quality_scores(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", t
                 else:
                     both = _views(part.column(1).to_pylist(), [tuple(x) for x in part.column(2).to_pylist()], part.column(3).to_pylist())
                     odds = np.column_stack([a * _odds(x, w) + b for x, (w, a, b) in zip(both, fitted[0])])
-                    each = [*sigmoid(odds).T, sigmoid(odds.sum(1) - fitted[1])]
+                    each = [*sigmoid(odds).T, sigmoid(fitted[1] + (odds - fitted[1]) @ fitted[2])]
                 yield pa.RecordBatch.from_arrays([part.column(0), *[pa.array(x, pa.float64()) for x in each]], [id_col, "text_score", "meta_score", "score"])
 
     size = F.col(size_col).cast("long") if size_col else F.lit(None).cast("long")

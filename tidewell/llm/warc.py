@@ -203,7 +203,7 @@ class WarcReader(DataSourceReader):
     def partitions(self):
         fs, root = file_system(self.path)
         info = fs.get_file_info(root)
-        found = [info] if info.is_file else fs.get_file_info(pafs.FileSelector(root, recursive=True))
+        found = [info] if info.is_file or info.type == pafs.FileType.NotFound else fs.get_file_info(pafs.FileSelector(root, recursive=True))
         files = sorted((x.path, x.size) for x in found if x.is_file and x.path.endswith((".warc", ".warc.gz")) and "/_" not in x.path[len(root) :])
         packed, now, size = [], [], 0
         for path, n in files:
@@ -273,6 +273,7 @@ class WarcWriter(DataSourceArrowWriter):
 
     def commit(self, messages):
         fs, root = file_system(self.path)
+        fs.create_dir(root, recursive=True)
         if self.overwrite:
             for x in fs.get_file_info(pafs.FileSelector(root)):
                 if x.is_file:
