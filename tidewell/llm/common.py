@@ -6,6 +6,7 @@ import contextlib
 import tempfile
 import uuid
 
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -32,6 +33,14 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def held(df: DataFrame) -> DataFrame:
+    """Computes df and keeps its rows on the executors' disks for several uses. The lineage stays, so
+    what a lost executor held is computed again; for results that do not depend on when they are."""
+    df = df.persist(StorageLevel.DISK_ONLY)
+    df.count()
+    return df
+
+
 def drop_stored(df: DataFrame) -> None:
     """Removes the files of a table made by stored(), once nothing will read it again."""
     spark = df.sparkSession
