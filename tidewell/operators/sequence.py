@@ -41,9 +41,10 @@ def epochs_of(df: DataFrame, keys: list[str], order: list[str], starts: Column,
     return df.withColumn("_new", new).withColumn(name, F.sum("_new").over(so_far(keys, order))).drop("_new")
 
 
-def fold_runs(df: DataFrame, keys: list[str], order: list[str], same: list[str], start: str, end: str, touching: bool = True) -> DataFrame:
+def fold_runs(df: DataFrame, keys: list[str], order: list[str], same: list[str], start: str, end: str, touching: bool = True, first: list[str] | None = None) -> DataFrame:
     """One row per run of rows that agree in `same` and, if touching, follow each other without a
-    gap: keys, same, the first start, the last end, and `run_length`."""
+    gap: keys, same, the columns `first` of its first row, the first start, the last end, and
+    `run_length`."""
     w = ordered(keys, order)
     equal = F.lit(True)
     for c in same:
@@ -52,7 +53,7 @@ def fold_runs(df: DataFrame, keys: list[str], order: list[str], same: list[str],
         equal = equal & (F.lag(end).over(w) == F.col(start))
     new = F.when((F.row_number().over(w) > 1) & equal, 0).otherwise(1)
     runs = df.withColumn("_new", new).withColumn("_run", F.sum("_new").over(so_far(keys, order))).withColumn("_at", F.row_number().over(w))
-    return runs.groupBy(*keys, "_run").agg(*[F.min_by(c, "_at").alias(c) for c in same], F.min_by(start, "_at").alias(start), F.max_by(end, "_at").alias(end), F.count("*").alias("run_length")).drop("_run")
+    return runs.groupBy(*keys, "_run").agg(*[F.min_by(c, "_at").alias(c) for c in [*same, *(first or [])]], F.min_by(start, "_at").alias(start), F.max_by(end, "_at").alias(end), F.count("*").alias("run_length")).drop("_run")
 
 
 def periodic_refreshes(df: DataFrame, start: str, end: str, period: Column | int, index: str = "k", flag: str = "copy") -> DataFrame:
