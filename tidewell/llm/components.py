@@ -5,14 +5,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidewell.llm.common import drop_stored, held, stored
+from tidewell.llm.common import held, stored
 
 
 def components(links: DataFrame) -> DataFrame:
     """(node, label) for every node of links (a, b): label is the smallest node that it can
     reach. Each round takes the smallest label among a node's neighbours and then the label of
-    that label, so that long chains halve. Each round's labels are written, which cuts the lineage;
-    those of the round before go."""
+    that label, so that long chains halve. Each round's labels are written, which cuts the lineage."""
     both = held(links.select("a", "b").unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).filter("a != b").distinct())
     labels = stored(both.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("label")).withColumnRenamed("a", "node"), "labels")
     while True:
@@ -29,8 +28,8 @@ def components(links: DataFrame) -> DataFrame:
         step = lower.join(hooks, lower.new == hooks.old, "left").select("node", F.least("new", F.coalesce("hook", "new")).alias("label"))
         step = held(step)
         jump = step.select(F.col("node").alias("at"), F.col("label").alias("to"))
-        following = stored(step.join(jump, step.label == jump["at"]).select("node", F.least("label", "to").alias("label")), "labels")
+        following = step.join(jump, step.label == jump["at"]).select("node", F.least("label", "to").alias("label"))
+        following = stored(following, "labels")
         for old in (lower, hooks, step):
             old.unpersist()
-        drop_stored(labels)
         labels = following

@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidewell.llm.common import arrow_rows, held, stored, text_bytes
+from tidewell.llm.common import arrow_rows, held, text_bytes
 
 BLOCK_BYTES = 8192
 
@@ -64,7 +64,7 @@ def _ranker(columns: list[str]):
     return rank
 
 
-def assign_names(rows: DataFrame, key: str, deal_by: list[str], label: str) -> DataFrame:
+def assign_names(rows: DataFrame, key: str, deal_by: list[str]) -> DataFrame:
     """rows with a long `_name` in place of the binary column `key`: equal for equal keys,
     else different."""
     columns = [c for c in rows.columns if c != key]
@@ -72,7 +72,7 @@ def assign_names(rows: DataFrame, key: str, deal_by: list[str], label: str) -> D
     keyed = rows.select(*columns, F.col(key).alias("_key"), F.xxhash64(key).alias("_hash"))
     dealt = keyed.repartitionByRange("_hash", *deal_by).sortWithinPartitions("_hash", "_key")
     with arrow_rows(rows.sparkSession):
-        named = stored(dealt.mapInArrow(_ranker(columns), schema), label)
+        named = held(dealt.mapInArrow(_ranker(columns), schema))
     edges = named.filter("_edge is not null")
     # At most a few rows for each task of the sort, whatever the number of documents.
     same = edges.groupBy("_edge").agg(F.min("_name").alias("_to"))
@@ -91,7 +91,7 @@ def content_names(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     cut = base.select("_id", "_h", "n_bytes", "_sha", blocks.alias("_blocks")).select("_id", "_h", "n_bytes", F.size("_blocks").alias("_n"), "_sha", F.posexplode("_blocks").alias("_i", "_block"))
     cut = cut.withColumn("_sha", F.when(F.col("_i") == 0, F.unhex("_sha")))
     # Only ids and names travel from here on.
-    level = assign_names(cut, "_block", ["_id", "_i"], "blocks")
+    level = assign_names(cut, "_block", ["_id", "_i"])
     heads = level.filter("_i = 0")
     done = heads.filter("_n = 1").select("_id", "n_bytes", "_sha", F.lit(0).alias("rounds"), "_name")
     longest = level.agg(F.max("_n")).first()[0] or 1
@@ -103,7 +103,7 @@ def content_names(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
         pairs = current.groupBy("_id", "_h", half.alias("_p"), F.ceil(F.col("_n") / 2).cast("int").alias("_m")).agg(side(0).alias("_l"), F.coalesce(side(1), F.lit(-1)).alias("_r"))
         pairs = pairs.select("_id", "_h", F.col("_p").alias("_i"), F.col("_m").alias("_n"), "_l", "_r")
         key = F.concat(F.lpad(F.hex("_l"), 16, "0"), F.lpad(F.hex("_r"), 16, "0")).cast("binary")
-        current = assign_names(pairs.select("_id", "_h", "_i", "_n", key.alias("_pair")), "_pair", ["_id", "_i"], f"pairs-{rounds}")
+        current = assign_names(pairs.select("_id", "_h", "_i", "_n", key.alias("_pair")), "_pair", ["_id", "_i"])
         ended = current.filter("_n = 1").select(F.col("_id").alias("_eid"), F.col("_h").alias("_eh"), F.lit(rounds).alias("rounds"), F.col("_name").alias("_ename"))
         finals = ended if finals is None else finals.unionByName(ended)
         current = current.filter("_n > 1")
@@ -131,4 +131,4 @@ def drop_exact_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     """docs with, of equal texts, only the row with the largest id. Ids have to be unique and
     not null here; rows with a null id are kept."""
     gone = exact_groups(docs, id_col, text_col).filter("not kept").select(id_col)
-    return docs.join(stored(gone, "copies"), id_col, "left_anti")
+    return docs.join(held(gone), id_col, "left_anti")

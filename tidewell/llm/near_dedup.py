@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidewell.llm.common import arrow_rows, held, stored
+from tidewell.llm.common import arrow_rows, drop_stored, held, stored
 from tidewell.llm.components import components
 
 TREES, START, DEPTH, SMALL = 20, 3, 6, 32
@@ -332,7 +332,7 @@ def sets_of(docs: DataFrame, asked: DataFrame, words: int) -> DataFrame:
     asked = held(asked.select("id").distinct())
     wanted = F.broadcast(asked) if asked.count() <= BROADCAST_IDS else asked
     id_type = docs.schema["id"].dataType.simpleString()
-    return held(docs.join(wanted, "id", "left_semi").mapInArrow(_sets(words), f"id {id_type}, set binary"))
+    return stored(docs.join(wanted, "id", "left_semi").mapInArrow(_sets(words), f"id {id_type}, set binary"), "sets")
 
 
 def confirmed(pairs: DataFrame, docs: DataFrame, words: int, ratio: tuple[int, int]) -> DataFrame:
@@ -343,7 +343,7 @@ def confirmed(pairs: DataFrame, docs: DataFrame, words: int, ratio: tuple[int, i
     left, right = (sets.select(F.col("id").alias(x), F.col("set").alias("s" + x)) for x in "ab")
     both = pairs.join(left, "a").join(right, "b").select("a", "b", "sa", "sb")
     out = held(both.mapInArrow(_confirm(ratio), f"a {id_type}, b {id_type}"))
-    sets.unpersist()
+    drop_stored(sets)
     return out
 
 
@@ -362,7 +362,7 @@ def _near_groups(docs: DataFrame, words: int, ratio: tuple[int, int], id_col: st
     id_type = docs.schema[id_col].dataType
     texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     schema = T.StructType([T.StructField("id", id_type), T.StructField("n", T.LongType()), T.StructField("print", T.BinaryType()), T.StructField("tokens", T.BinaryType()), T.StructField("bits", T.BinaryType())])
-    signed = stored(texts.mapInArrow(_signatures(words), schema), "signatures")
+    signed = held(texts.mapInArrow(_signatures(words), schema))
     # Equal sets: the smallest id stands for all of them.
     same = held(signed.filter("print is not null").groupBy("print").agg(F.min("id").alias("rep"), F.count("*").alias("m")).filter("m > 1").drop("m"))
     members = signed.select("id", "n", "print").join(same, "print", "left").select("id", "n", F.coalesce("rep", "id").alias("rep"))
@@ -397,4 +397,4 @@ def _near_groups(docs: DataFrame, words: int, ratio: tuple[int, int], id_col: st
 def drop_near_copies(docs: DataFrame, words: int = 5, ratio: tuple[int, int] = (8, 10), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """docs with one document of each component: the one with the smallest id."""
     gone = near_groups(docs, words, ratio, id_col, text_col).filter("not kept").select(id_col)
-    return docs.join(stored(gone, "near-copies"), id_col, "left_anti")
+    return docs.join(held(gone), id_col, "left_anti")

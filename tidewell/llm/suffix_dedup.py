@@ -412,7 +412,7 @@ def _repeated_passages(docs: DataFrame, id_col: str, text_col: str) -> DataFrame
     hit = b.alias("b").join(found.alias("f"), (F.col("b.k") == F.col("f.k")) & F.col("b.id").eqNullSafe(F.col("f.id"))).select("b.k", "b.id", "raw", "found")
     span = T.ArrayType(T.StructType([field("start", T.LongType()), field("end", T.LongType())]))
     cut = hit.mapInArrow(_cut, T.StructType([field("k", T.LongType()), field("id", id_type), field("n_removed", T.LongType()), field("removed", span), field("kept_sha256", T.StringType())]))
-    cut = stored(cut.dropDuplicates(["k", "id"]), "cut")
+    cut = held(cut.dropDuplicates(["k", "id"]))
     base = rows.select("id", "k", F.length("raw").cast("long").alias("n_bytes"), F.sha2("raw", 256).alias("whole"))
     out = base.alias("d").join(cut.alias("c"), (F.col("d.k") == F.col("c.k")) & F.col("d.id").eqNullSafe(F.col("c.id")), "left")
     none = F.array().cast(span)
