@@ -5,10 +5,17 @@ from __future__ import annotations
 import contextlib
 import tempfile
 import uuid
+from dataclasses import dataclass
 
-from pyspark import StorageLevel
+import pyarrow as pa
+import pyarrow.fs as pafs
+import pyarrow.parquet as pq
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, WriterCommitMessage
+
+#: The list of a table's files, and bytes of rows that are written at a time.
+LISTING, GROUP_BYTES = "_files", 8 << 20
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -25,20 +32,73 @@ def new_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/tidewell/{name}-{uuid.uuid4().hex}"
 
 
-def stored(df: DataFrame, name: str) -> DataFrame:
-    """Cuts the lineage: writes df as Parquet into the shared folder and reads it back."""
+@dataclass
+class Files(WriterCommitMessage):
+    names: list[str]
+
+
+class TableWriter(DataSourceArrowWriter):
+    """Parquet files by pyarrow, one for each task that has rows. Commit lists the files of the tasks
+    that Spark accepted; what other attempts have left is not listed and so never read."""
+
+    def __init__(self, options):
+        self.path = options["path"]
+
+    def write(self, iterator):
+        fs, root = pafs.FileSystem.from_uri(self.path)
+        name, out, held, size = f"part-{uuid.uuid4().hex}.parquet", None, [], 0
+        for batch in iterator:
+            if not batch.num_rows:
+                continue
+            if out is None:
+                fs.create_dir(root, recursive=True)
+                out = pq.ParquetWriter(f"{root}/{name}", batch.schema, filesystem=fs)
+            held.append(batch)
+            size += batch.nbytes
+            if size > GROUP_BYTES:
+                out.write_table(pa.Table.from_batches(held))
+                held, size = [], 0
+        if out is None:
+            return Files([])
+        if held:
+            out.write_table(pa.Table.from_batches(held))
+        out.close()
+        return Files([name])
+
+    def commit(self, messages):
+        fs, root = pafs.FileSystem.from_uri(self.path)
+        fs.create_dir(root, recursive=True)
+        with fs.open_output_stream(f"{root}/{LISTING}") as f:
+            f.write("\n".join(n for m in messages if m for n in m.names).encode())
+
+    def abort(self, messages):
+        pass
+
+
+class TableSource(DataSource):
+    @classmethod
+    def name(cls):
+        return "tidewell_table"
+
+    def writer(self, schema, overwrite):
+        return TableWriter(self.options)
+
+
+def stored(df: DataFrame, name: str = "table") -> DataFrame:
+    """Cuts the lineage: writes df as Parquet into the shared folder and reads it back. Where pyarrow
+    does not reach the folder, Spark's own writer is used."""
     spark = df.sparkSession
     path = new_path(spark, name)
-    df.write.option("mapreduce.fileoutputcommitter.marksuccessfuljobs", "false").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
-def held(df: DataFrame) -> DataFrame:
-    """Computes df and keeps its rows on the executors' disks for several uses. The lineage stays, so
-    what a lost executor held is computed again; for results that do not depend on when they are."""
-    df = df.persist(StorageLevel.DISK_ONLY)
-    df.count()
-    return df
+    try:
+        fs, root = pafs.FileSystem.from_uri(path)
+    except Exception:
+        df.write.parquet(path)
+        return spark.read.schema(df.schema).parquet(path)
+    spark.dataSource.register(TableSource)
+    df.write.format("tidewell_table").mode("append").save(path)
+    with fs.open_input_stream(f"{root}/{LISTING}") as f:
+        files = f.read().decode().split()
+    return spark.read.schema(df.schema).parquet(*[f"{path}/{n}" for n in files]) if files else spark.createDataFrame([], df.schema)
 
 
 def drop_stored(df: DataFrame) -> None:

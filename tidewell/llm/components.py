@@ -5,31 +5,31 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidewell.llm.common import held, stored
+from tidewell.llm.common import drop_stored, stored
 
 
 def components(links: DataFrame) -> DataFrame:
     """(node, label) for every node of links (a, b): label is the smallest node that it can
     reach. Each round takes the smallest label among a node's neighbours and then the label of
     that label, so that long chains halve. Each round's labels are written, which cuts the lineage."""
-    both = held(links.select("a", "b").unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).filter("a != b").distinct())
+    both = stored(links.select("a", "b").unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).filter("a != b").distinct())
     labels = stored(both.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("label")).withColumnRenamed("a", "node"), "labels")
     while True:
         near = both.join(labels, both.b == labels.node).groupBy("a").agg(F.min("label").alias("near"))
         # Hooking the old label as well lets whole trees join at once.
         lower = labels.join(near, labels.node == near.a).select("node", "label", F.least("label", "near").alias("new"))
-        lower = held(lower)
+        lower = stored(lower)
         hooks = lower.filter("new < label").groupBy("label").agg(F.min("new").alias("hook")).withColumnRenamed("label", "old")
-        hooks = held(hooks)
+        hooks = stored(hooks)
         if not hooks.take(1):
             for old in (both, lower, hooks):
-                old.unpersist()
+                drop_stored(old)
             return labels
         step = lower.join(hooks, lower.new == hooks.old, "left").select("node", F.least("new", F.coalesce("hook", "new")).alias("label"))
-        step = held(step)
+        step = stored(step)
         jump = step.select(F.col("node").alias("at"), F.col("label").alias("to"))
         following = step.join(jump, step.label == jump["at"]).select("node", F.least("label", "to").alias("label"))
         following = stored(following, "labels")
-        for old in (lower, hooks, step):
-            old.unpersist()
+        for old in (labels, lower, hooks, step):
+            drop_stored(old)
         labels = following

@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_type
 
-from tidewell.llm.common import arrow_rows, held
+from tidewell.llm.common import arrow_rows, stored
 
 ERROR_SHARE = 16
 MIN_CHARS = 30
@@ -154,5 +154,5 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """docs without the documents that contain a test item; rows without an id stay."""
     with arrow_rows(docs.sparkSession):
-        found = held(contaminated(docs, benchmark, id_col, text_col).select(id_col))
+        found = stored(contaminated(docs, benchmark, id_col, text_col).select(id_col))
     return docs.join(found, id_col, "left_anti")

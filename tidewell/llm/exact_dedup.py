@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidewell.llm.common import arrow_rows, held, text_bytes
+from tidewell.llm.common import arrow_rows, stored, text_bytes
 
 BLOCK_BYTES = 8192
 
@@ -72,7 +72,7 @@ def assign_names(rows: DataFrame, key: str, deal_by: list[str]) -> DataFrame:
     keyed = rows.select(*columns, F.col(key).alias("_key"), F.xxhash64(key).alias("_hash"))
     dealt = keyed.repartitionByRange("_hash", *deal_by).sortWithinPartitions("_hash", "_key")
     with arrow_rows(rows.sparkSession):
-        named = held(dealt.mapInArrow(_ranker(columns), schema))
+        named = stored(dealt.mapInArrow(_ranker(columns), schema))
     edges = named.filter("_edge is not null")
     # At most a few rows for each task of the sort, whatever the number of documents.
     same = edges.groupBy("_edge").agg(F.min("_name").alias("_to"))
@@ -118,11 +118,11 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     text), group_size, kept, n_bytes, text_sha256. Rows that repeat both id and text are one
     document read twice: each is returned and all of them have the same `kept`. Rows whose ids
     are all null keep each other's null id. An empty table gives an empty result."""
-    named = held(content_names(docs, id_col, text_col, block_bytes))
+    named = stored(content_names(docs, id_col, text_col, block_bytes))
     # Groups of one need no look-up; the rest is a table of its own, so that a group that holds
     # a large share of the rows can be split by the join.
     groups = named.groupBy("rounds", "name").agg(F.max(id_col).alias("keep_id"), F.count("*").alias("group_size")).filter("group_size > 1")
-    found = named.join(held(groups), ["rounds", "name"], "left")
+    found = named.join(stored(groups), ["rounds", "name"], "left")
     keep = F.when(F.col("group_size").isNull(), F.col(id_col)).otherwise(F.col("keep_id"))
     return found.select(id_col, keep.alias("keep_id"), F.coalesce("group_size", F.lit(1)).alias("group_size"), F.col(id_col).eqNullSafe(keep).alias("kept"), "n_bytes", F.lower(F.hex("sha256")).alias("text_sha256"))
 
@@ -131,4 +131,4 @@ def drop_exact_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     """docs with, of equal texts, only the row with the largest id. Ids have to be unique and
     not null here; rows with a null id are kept."""
     gone = exact_groups(docs, id_col, text_col).filter("not kept").select(id_col)
-    return docs.join(held(gone), id_col, "left_anti")
+    return docs.join(stored(gone), id_col, "left_anti")

@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidewell.llm.common import arrow_rows, held
+from tidewell.llm.common import arrow_rows, stored
 from tidewell.llm.features import content, fit, softmax
 
 #: Labelled rows that the classifier is fitted on, passes at most, and the relative distance of
@@ -108,7 +108,7 @@ def mixing_rates(docs: DataFrame, labels: DataFrame, targets: dict[str, float] |
     and are returned each; an empty table gives an empty result."""
     found, domains = posteriors(docs, labels, id_col, text_col, domain_col)
     with arrow_rows(docs.sparkSession):
-        rows = held(found)
+        rows = stored(found)
     weight = np.array([1.0 if targets is None else float(targets.get(d, 0.0)) for d in domains])
     weight = weight / weight.sum() if weight.sum() > 0 else np.full(len(domains), 1 / len(domains))
     steps: list[np.ndarray] = []
@@ -143,4 +143,4 @@ def mixed(docs: DataFrame, labels: DataFrame, targets: dict[str, float] | None =
     """docs with domain, rate and copies, without the rows of rate 0; ids have to be unique, rows
     without one stay with nulls."""
     rates = mixing_rates(docs, labels, targets, None, id_col, text_col, domain_col)
-    return docs.drop("domain", "rate", "copies").join(held(rates.drop("n_tokens")), id_col, "left").filter("rate is null or rate > 0")
+    return docs.drop("domain", "rate", "copies").join(stored(rates.drop("n_tokens")), id_col, "left").filter("rate is null or rate > 0")

@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidewell.llm.common import arrow_rows, drop_stored, held, stored
+from tidewell.llm.common import arrow_rows, drop_stored, stored
 from tidewell.llm.components import components
 
 TREES, START, DEPTH, SMALL = 20, 3, 6, 32
@@ -329,7 +329,7 @@ def _confirm(ratio: tuple[int, int]):
 
 def sets_of(docs: DataFrame, asked: DataFrame, words: int) -> DataFrame:
     """(id, set) of the documents (id, text) that asked names."""
-    asked = held(asked.select("id").distinct())
+    asked = stored(asked.select("id").distinct())
     wanted = F.broadcast(asked) if asked.count() <= BROADCAST_IDS else asked
     id_type = docs.schema["id"].dataType.simpleString()
     return stored(docs.join(wanted, "id", "left_semi").mapInArrow(_sets(words), f"id {id_type}, set binary"), "sets")
@@ -338,11 +338,11 @@ def sets_of(docs: DataFrame, asked: DataFrame, words: int) -> DataFrame:
 def confirmed(pairs: DataFrame, docs: DataFrame, words: int, ratio: tuple[int, int]) -> DataFrame:
     """The pairs (a, b) of ids whose full sets are similar enough. docs: (id, text)."""
     id_type = docs.schema["id"].dataType.simpleString()
-    pairs = held(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).filter("a != b").distinct())
+    pairs = stored(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).filter("a != b").distinct())
     sets = sets_of(docs, pairs.select(F.explode(F.array("a", "b")).alias("id")), words)
     left, right = (sets.select(F.col("id").alias(x), F.col("set").alias("s" + x)) for x in "ab")
     both = pairs.join(left, "a").join(right, "b").select("a", "b", "sa", "sb")
-    out = held(both.mapInArrow(_confirm(ratio), f"a {id_type}, b {id_type}"))
+    out = stored(both.mapInArrow(_confirm(ratio), f"a {id_type}, b {id_type}"))
     drop_stored(sets)
     return out
 
@@ -362,16 +362,16 @@ def _near_groups(docs: DataFrame, words: int, ratio: tuple[int, int], id_col: st
     id_type = docs.schema[id_col].dataType
     texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     schema = T.StructType([T.StructField("id", id_type), T.StructField("n", T.LongType()), T.StructField("print", T.BinaryType()), T.StructField("tokens", T.BinaryType()), T.StructField("bits", T.BinaryType())])
-    signed = held(texts.mapInArrow(_signatures(words), schema))
+    signed = stored(texts.mapInArrow(_signatures(words), schema))
     # Equal sets: the smallest id stands for all of them.
-    same = held(signed.filter("print is not null").groupBy("print").agg(F.min("id").alias("rep"), F.count("*").alias("m")).filter("m > 1").drop("m"))
+    same = stored(signed.filter("print is not null").groupBy("print").agg(F.min("id").alias("rep"), F.count("*").alias("m")).filter("m > 1").drop("m"))
     members = signed.select("id", "n", "print").join(same, "print", "left").select("id", "n", F.coalesce("rep", "id").alias("rep"))
     alone = signed.filter("n > 0 and id is not null").join(same, "print", "left").filter("rep is null or rep = id").select("id", "n", "tokens", "bits")
     place = T.StructType([T.StructField("path", T.LongType()), T.StructField("id", id_type), T.StructField("n", T.LongType()), T.StructField("s0", T.LongType()), T.StructField("s1", T.LongType()), *[T.StructField(f"t{d}", T.IntegerType()) for d in range(START, DEPTH)]])
     both = T.StructType([T.StructField("a", id_type), T.StructField("b", id_type), *place, T.StructField("late", T.BooleanType())])
     rows, pairs, late = alone.mapInArrow(_places, place), None, None
     for depth in range(START, DEPTH + 1):
-        node = held(rows.repartition("path").sortWithinPartitions("path", "s0", "s1", "id").mapInArrow(_branch(depth, ratio), both))
+        node = stored(rows.repartition("path").sortWithinPartitions("path", "s0", "s1", "id").mapInArrow(_branch(depth, ratio), both))
         found, open_ = node.filter("a is not null").select("a", "b"), node.filter("late").select("path", "id", "n", "s0", "s1")
         pairs = found if pairs is None else pairs.unionByName(found)
         late = open_ if late is None else late.unionByName(open_)
@@ -384,10 +384,10 @@ def _near_groups(docs: DataFrame, words: int, ratio: tuple[int, int], id_col: st
         name = id_type.simpleString()
         told = late.join(labels, late.id == labels.node, "left").withColumn("label", F.coalesce("label", "id")).select("path", "id", "n", "s0", "s1", "label")
         told = told.repartition("path").sortWithinPartitions("path", "label", "id")
-        nodes = held(told.mapInArrow(_open_rows(ratio), f"path long, id {name}, label {name}"))
+        nodes = stored(told.mapInArrow(_open_rows(ratio), f"path long, id {name}, label {name}"))
         full = nodes.join(sets_of(texts, nodes, words), "id").select("path", "id", "label", "set")
         full = full.repartition("path").sortWithinPartitions("path", "label", "id")
-        found = held(full.mapInArrow(_exhaust(ratio), f"a {name}, b {name}"))
+        found = stored(full.mapInArrow(_exhaust(ratio), f"a {name}, b {name}"))
         if found.take(1):
             labels = components(links.unionByName(found))
     out = members.join(labels, members.rep == labels.node, "left").select("id", "n", F.coalesce("label", "rep").alias("c"))
@@ -397,4 +397,4 @@ def _near_groups(docs: DataFrame, words: int, ratio: tuple[int, int], id_col: st
 def drop_near_copies(docs: DataFrame, words: int = 5, ratio: tuple[int, int] = (8, 10), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """docs with one document of each component: the one with the smallest id."""
     gone = near_groups(docs, words, ratio, id_col, text_col).filter("not kept").select(id_col)
-    return docs.join(held(gone), id_col, "left_anti")
+    return docs.join(stored(gone), id_col, "left_anti")

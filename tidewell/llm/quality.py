@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidewell.llm.common import arrow_rows, held
+from tidewell.llm.common import arrow_rows, stored
 from tidewell.llm.features import content, fit, layout, sigmoid
 
 LABELLED, POOL, ROUNDS, SHARE = 4_000, 4_000, 4, 0.04
@@ -151,5 +151,5 @@ def quality_scores(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", t
 def keep_good(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """docs without the rows that the classifier rejects; rows without an id stay."""
     with arrow_rows(docs.sparkSession):
-        bad = held(quality_scores(docs, labels, id_col, text_col).filter("not keep").select(id_col))
+        bad = stored(quality_scores(docs, labels, id_col, text_col).filter("not keep").select(id_col))
     return docs.join(bad, id_col, "left_anti")

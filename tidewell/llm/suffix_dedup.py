@@ -34,7 +34,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidewell.llm.common import arrow_rows, held, partitions, stored, text_bytes
+from tidewell.llm.common import arrow_rows, partitions, stored, text_bytes
 
 LENGTH, GRAM = 200, 32
 #: Bytes that are hashed at a time, and bytes of suffixes that a task sorts at a time.
@@ -405,14 +405,14 @@ def _repeated_passages(docs: DataFrame, id_col: str, text_col: str) -> DataFrame
     b = stored(rows.join(asked, "k").select("k", "id", "raw", "ps"), "repeating")
     ranges = RANGES * parts
     runs = b.mapInArrow(_send(_bounds(b, ranges)), "range int, run binary")
-    marks = held(runs.repartition("range").sortWithinPartitions("range").mapInArrow(_merge, "sid binary, j0 int, j1 int"))
+    marks = stored(runs.repartition("range").sortWithinPartitions("range").mapInArrow(_merge, "sid binary, j0 int, j1 int"))
     places = b.mapInArrow(_places, T.StructType([field("sid", T.BinaryType()), field("k", T.LongType()), field("id", id_type), field("p", T.LongType())]))
     found = places.join(marks, "sid").select("k", "id", F.struct((F.col("p") - F.col("j1")).alias("a"), (F.col("p") - F.col("j0") + LENGTH).alias("b")).alias("x"))
     found = found.groupBy("k", "id").agg(F.collect_set("x").alias("found"))
     hit = b.alias("b").join(found.alias("f"), (F.col("b.k") == F.col("f.k")) & F.col("b.id").eqNullSafe(F.col("f.id"))).select("b.k", "b.id", "raw", "found")
     span = T.ArrayType(T.StructType([field("start", T.LongType()), field("end", T.LongType())]))
     cut = hit.mapInArrow(_cut, T.StructType([field("k", T.LongType()), field("id", id_type), field("n_removed", T.LongType()), field("removed", span), field("kept_sha256", T.StringType())]))
-    cut = held(cut.dropDuplicates(["k", "id"]))
+    cut = stored(cut.dropDuplicates(["k", "id"]))
     base = rows.select("id", "k", F.length("raw").cast("long").alias("n_bytes"), F.sha2("raw", 256).alias("whole"))
     out = base.alias("d").join(cut.alias("c"), (F.col("d.k") == F.col("c.k")) & F.col("d.id").eqNullSafe(F.col("c.id")), "left")
     none = F.array().cast(span)

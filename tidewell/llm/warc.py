@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, DataSourceReader, EqualTo, GreaterThan, GreaterThanOrEqual, In, InputPartition, LessThan, LessThanOrEqual, StringStartsWith, WriterCommitMessage
 
-from tidewell.llm.common import held
+from tidewell.llm.common import stored
 
 #: Columns that are headers, in WARC's spelling.
 HEADERS = {
@@ -346,7 +346,7 @@ def archive(pages: DataFrame, path: str, id_col: str = "page_id", url_col: str =
 
 
     first = rows.filter(F.col("n") >= least).groupBy("digest").agg(F.min("id").alias("first"), F.count("*").alias("m")).filter("m > 1")
-    first = held(first.select("digest", "first"))
+    first = stored(first.select("digest", "first"))
     told = rows.join(first, "digest", "left")
     revisit = F.col("first").isNotNull() & ~F.col("id").eqNullSafe(F.col("first"))
     urn = lambda c: F.when(F.col(c).isNotNull(), F.concat(F.lit("<urn:record:"), F.col(c).cast("string"), F.lit(">")))
