@@ -118,6 +118,8 @@ def test_census(spark, folder):
     (r,) = inspect.census(inspect.with_sets(pgs.read_segments(spark, str(folder / "two epochs.sup")))).collect()
     assert (r.epochs, r.display_sets, r.segments, r.es, r.acq, r.nc, r.pu) == (2, 4, 16, 2, 0, 2, 0)
     assert r.bytes == (folder / "two epochs.sup").stat().st_size
+    (e,) = inspect.census(inspect.encode_sets(pgs.read_segments(spark, str(folder / "two epochs.sup"))), pcs_first=True).collect()
+    assert e == r
 
 
 def test_write_and_read_again(spark, folder, tmp_path):

@@ -55,9 +55,10 @@ def bitrate_sets(segments: DataFrame) -> DataFrame:
     return segments.withColumn("ds", n - 1).filter("ds >= 0")
 
 
-def display_sets(sets: DataFrame) -> DataFrame:
+def display_sets(sets: DataFrame, pcs_first: bool = False) -> DataFrame:
     """A row for each display set: its PCS and WDS (the first of each), counts of types, the place of
-    the WDS, first and last type, and the number of its epoch."""
+    the WDS, first and last type, and the number of its epoch. An epoch starts at a set whose PCS
+    says so, wherever in the set it is, or under pcs_first only where it comes first."""
     place = F.row_number().over(Window.partitionBy("file", "ds").orderBy("seg_ord")) - 1
     pcs, wds = is_type(codec.COMPOSITION) & F.col("pcs").isNotNull(), is_type(codec.WINDOWS)
     first = lambda of, c: F.min_by(F.when(of, F.col(c)), F.when(of, F.col("seg_ord")))
@@ -68,15 +69,17 @@ def display_sets(sets: DataFrame) -> DataFrame:
         F.bool_and(F.when(is_type(codec.PALETTE), F.col("pts") == F.col("dts"))).alias("pds_together"), F.bool_and(F.when(is_type(codec.OBJECT), F.col("pts") != F.col("dts"))).alias("ods_apart"),
     )
     starts = F.coalesce(F.col("pcs.state").bitwiseAND(codec.EPOCH_START) != 0, F.lit(False))
+    if pcs_first:
+        starts = starts & (F.col("first_type") == codec.COMPOSITION)
     d = d.withColumn("starts", starts).withColumn("last_ds", F.max("ds").over(Window.partitionBy("file")))
     return sequence.epochs_of(d, FILE, ["ds"], F.col("starts"), "epoch")
 
 
-def census(sets: DataFrame) -> DataFrame:
+def census(sets: DataFrame, pcs_first: bool = False) -> DataFrame:
     """One row for each file: epochs, display sets, segments, bytes, counts of types; display sets that
     start an epoch (es), acquire (acq) or go on (nc); those that go on with new objects (nc_ods);
     palette updates (pu) and those decoded ahead (pu_buffered)."""
-    d = display_sets(sets)
+    d = display_sets(sets, pcs_first)
     by = sequence.ordered(["file", "epoch"], ["ds"])
     state = F.coalesce("pcs.state", F.lit(0))
     update = F.coalesce("pcs.pal_flag", F.lit(False))
