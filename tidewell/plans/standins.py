@@ -512,3 +512,74 @@ def rule_findings(spark, sf_dir):
     repeat = d.groupBy("user_id", "set_id", "event_type").agg(F.count("*").alias("n")).filter("n > 1").select("user_id", "set_id", F.lit("set/repeat").alias("rule"), F.col("event_type").alias("detail"), F.lit(False).alias("hard"))
     end = d.groupBy("user_id", "set_id").agg(F.count_if(F.col("event_type") == "error").alias("n")).filter("n = 0").select("user_id", "set_id", F.lit("set/end").alias("rule"), F.lit(None).cast("string").alias("detail"), F.lit(True).alias("hard"))
     return reduce(DataFrame.unionByName, [repeat, end]).groupBy("rule", "hard").agg(F.count("*").alias("n"))
+
+
+@query("""
+    WITH p AS (SELECT vec_id, unnest(embedding) AS v FROM embeddings)
+    SELECT vec_id, true AS ok, count(*) FILTER (CAST(floor(abs(CAST(v AS DOUBLE)) * 10) AS BIGINT) % 4 <> 0) AS non_empty FROM p GROUP BY vec_id
+""")
+def rle_bitmaps(spark, sf_dir):
+    """COD-13..15: vectors as bitmaps of 8 x 8 pixels, to runs and back, with a census of pixels."""
+    from tidewell.operators import images
+
+    level = F.transform("embedding", lambda v: (F.floor(F.abs(v.cast("double")) * 10) % 4).cast("int"))
+    hexed = F.array_join(F.transform(level, lambda x: F.lpad(F.hex(x), 2, "0")), "")
+    side = F.lit(8)
+    coded = table(spark, sf_dir, "embeddings").select("vec_id", F.unhex(hexed).alias("map")).withColumn("rle", images.encode_rle(F.col("map"), side, side))
+    back = coded.withColumn("back", images.decode_rle(F.col("rle"), side, side)).withColumn("seen", images.pixel_census(F.col("rle"), side, side))
+    return back.select("vec_id", (F.col("back.ok") & (F.col("back.bitmap") == F.col("map"))).alias("ok"), F.col("seen.non_empty").alias("non_empty"))
+
+
+@query(None)
+def policy_states(spark, sf_dir):
+    """STM-02/03: the state of each event of a user by the acquisition policy; a state machine, so one
+    function over each user. Forced at errors, alike at views."""
+    import pyarrow as pa
+
+    from tidewell.plans.timing import StatePolicy
+
+    def states(rows: pa.Table) -> pa.Table:
+        policy, out = StatePolicy(0.5, 1.0, 5), []
+        for r in sorted(rows.to_pylist(), key=lambda r: (r["pts"], r["event_id"])):
+            kind = r["event_type"]
+            state, again = policy.decide(kind == "click", kind == "view", kind == "error", margin=(r["value"] % 1.0))
+            out.append({"event_id": r["event_id"], "state": state, "again": again, "due": policy.acquisition_due()})
+        return pa.Table.from_pylist(out, pa.schema([("event_id", pa.int64()), ("state", pa.int64()), ("again", pa.bool_()), ("due", pa.bool_())]))
+
+    rows = events(spark, sf_dir).select("user_id", "event_id", "event_type", "value", "pts")
+    return rows.groupBy("user_id").applyInArrow(states, "event_id bigint, state bigint, again boolean, due boolean")
+
+
+@query(None)
+def palettes(spark, sf_dir):
+    """RAS-13..18: each supplier's colours reduced to 16 entries by every quantiser, with the mean error."""
+    import numpy as np
+    import pyarrow as pa
+
+    from tidewell.raster.colours import quantise
+
+    def reduce_(rows: pa.Table) -> pa.Table:
+        rgba = np.stack([rows.column(c).to_numpy() for c in "rgb"] + [np.full(rows.num_rows, 255)], 1).astype(np.uint8)
+        rgba = rgba[np.lexsort(rgba.T)][None]
+        out = []
+        for name in ("means", "moments", "tree"):
+            at, entries = quantise(rgba, 16, name)
+            error = float(np.abs(entries[at].astype(int) - rgba).mean())
+            out.append({"l_suppkey": rows.column("l_suppkey")[0].as_py(), "quantiser": name, "entries": len(entries), "error": round(error, 6)})
+        return pa.Table.from_pylist(out, pa.schema([("l_suppkey", pa.int64()), ("quantiser", pa.string()), ("entries", pa.int64()), ("error", pa.float64())]))
+
+    colours = rgb(spark, sf_dir).select("l_suppkey", "r", "g", "b").distinct()
+    return colours.groupBy("l_suppkey").applyInArrow(reduce_, "l_suppkey bigint, quantiser string, entries bigint, error double")
+
+
+@query(None)
+def picture_regions(spark, sf_dir):
+    """RAS-09..12: consecutive vectors as pictures, compared region by region."""
+    from tidewell.operators import images
+
+    byte = lambda v: F.lpad(F.hex(F.least(F.lit(255), F.floor(F.abs(v.cast("double")) * 255)).cast("int")), 2, "0")
+    pixel = F.array_join(F.transform("embedding", lambda v: F.concat(byte(v), byte(v), byte(v), F.when(v < 0, "00").otherwise("FF"))), "")
+    e = table(spark, sf_dir, "embeddings").select("vec_id", F.unhex(pixel).alias("pic"))
+    after = e.select((F.col("vec_id") - 1).alias("vec_id"), F.col("pic").alias("other"))
+    s = images.similarity(F.col("pic"), F.col("other"), F.lit(8), F.lit(8))
+    return e.join(after, "vec_id").select("vec_id", s.alias("s")).select("vec_id", F.round("s.score", 6).alias("score"), F.round("s.share", 6).alias("share"))
