@@ -128,6 +128,20 @@ def test_bad_projects(spark, tmp_path):
     assert bdn.read_header(spark, project(tmp_path, event, rate="24000/1001")[0]).first().rate.code == 0x10
 
 
+@pytest.mark.parametrize("size, update", [((100, 50), False), ((1900, 1000), True)])
+def test_wipes(size, update):
+    from tidewell.plans.encode import EpochEncoder, JobConfig, Shown, Video
+
+    video = Video(1920, 1080, 24, 1, 0x20)
+    e = EpochEncoder(video, JobConfig(), [Box(0, 0, *size)], 0)
+    e.chain([Shown(241, 265, False, False, 0, 0, picture(*size))], True)
+    e.clear(265)
+    *_, last = [codec.decode_composition(p) for kind, _, _, p in e.rows if kind == codec.COMPOSITION]
+    assert last["pal_flag"] == update and bool(last["objects"]) == update
+    *_, entries = [codec.decode_palette(p)["entries"] for kind, _, _, p in e.rows if kind == codec.PALETTE]
+    assert all(c["a"] == 0 for c in entries.values()) == update
+
+
 def brute_windows(mask):
     """The best vertical cut by trying each."""
     ys, xs = np.nonzero(mask)

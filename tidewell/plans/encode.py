@@ -30,6 +30,8 @@ _SCHEMA = pa.schema([("job", pa.string()), ("grp", pa.int64()), ("epoch", pa.int
 #: Two windows beyond this area do not leave the coded buffer room, and become one.
 WINDOW_AREA = (1 << 20) - 150
 COLOURS = 254
+#: Ticks that a wipe of the windows has to leave of a frame.
+WIPE_SLACK = 3
 
 
 @dataclass(frozen=True)
@@ -156,6 +158,7 @@ class EpochEncoder:
         self.rows: list[tuple[int, int, int, bytes]] = []
         self.count, self.palette_version, self.turn, self.versions = 0, -1, dict.fromkeys(self.areas, 1), {}
         self.palette: dict[int, tuple] = {}
+        self.shown: list[tuple[int, int]] = []
         self.last_dts = last_dts
 
     def definition(self) -> bytes:
@@ -202,7 +205,7 @@ class EpochEncoder:
                 shown.append((2 * i + self.turn[i], i))
                 bitmaps[shown[-1][0]] = part
         state = codec.EPOCH_START if first else self.policy.decide(False, False, force=True)[0]
-        self.palette = dict(palettes[0])
+        self.palette, self.shown = dict(palettes[0]), shown
         self.put(state, self.video.pts(events[0].begin), shown, events[0].forced, self.palette, bitmaps)
         for e, change in zip(events[1:], palettes[1:]):
             self.palette |= change
@@ -215,7 +218,13 @@ class EpochEncoder:
                 self.put(codec.NORMAL, self.video.pts(e.begin), shown, e.forced, change or self.palette, {}, update=True)
 
     def clear(self, frame: int) -> None:
-        self.put(codec.NORMAL, self.video.pts(frame), [], False, None, {})
+        """Wipes the windows or, where that takes longer than a frame, makes the palette transparent."""
+        pts = self.video.pts(frame)
+        if copy(sum(self.areas.values())) + WIPE_SLACK < self.video.pts(frame + 1) - pts or not self.shown:
+            self.put(codec.NORMAL, pts, [], False, None, {})
+        else:
+            unseen = {i: (*c[:3], 0) for i, c in self.palette.items()}
+            self.put(codec.NORMAL, pts, self.shown, False, unseen, {}, update=True)
 
 
 def chains(events: list[Shown], box: layout.Box, video: Video, config: JobConfig) -> list[list[Shown]]:
