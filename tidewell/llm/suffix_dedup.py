@@ -38,7 +38,7 @@ from tidewell.llm.common import arrow_rows, partitions, stored, text_bytes
 
 LENGTH, GRAM = 200, 32
 #: Bytes that are hashed at a time, and bytes of suffixes that a task sorts at a time.
-PIECE, SORTED = 1 << 19, 24 << 20
+PIECE, SORTED = 1 << 18, 12 << 20
 #: Ranges of suffixes for each partition, and documents for each range that give the bounds.
 RANGES, BOUND_DOCS = 4, 5
 
