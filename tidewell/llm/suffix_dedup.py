@@ -41,6 +41,8 @@ LENGTH, GRAM = 200, 32
 PIECE, SORTED = 1 << 18, 12 << 20
 #: Ranges of suffixes for each partition, and documents for each range that give the bounds.
 RANGES, BOUND_DOCS = 4, 5
+#: Windows of a group of suffixes that are compared at a time.
+CELLS = 250_000
 
 _U = np.uint64
 _POSITION = _U((1 << 20) - 1)
@@ -300,7 +302,7 @@ def repeated_windows(group: list[tuple]) -> list[tuple[bytes, int, int]]:
     number, lo, hi = (np.array([r[i] for r in rows]) for i in (1, 2, 3))
     low, high = int(lo.min()), int(hi.max())
     twice = np.zeros((n, high - low + 1), bool)
-    step = max(1, 2_000_000 // n)
+    step = max(1, CELLS // n)
     for a in range(low, high + 1, step):
         j = np.arange(a, min(a + step, high + 1))
         cls = (right[:, None] < LENGTH - j).cumsum(0)
