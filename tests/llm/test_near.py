@@ -75,3 +75,22 @@ def test_components(spark):
     links = [(i, i + 1) for i in range(0, 60)] + [(100, 105), (105, 103), (7, 7)]
     got = {r.node: r.label for r in components(spark.createDataFrame(links, "a long, b long")).collect()}
     assert all(got[i] == 0 for i in range(61)) and got[103] == got[105] == 100
+
+
+def crowd(groups, pairs, seed, core=71, own=9):
+    """Groups of sets that share `core` words (similarity 71 / 91), and in them pairs with one more
+    common word (exactly 72 / 90), each linked with nothing else."""
+    rnd, rows = random.Random(seed), []
+    for g in range(groups):
+        for p in range(pairs):
+            for side in "ab":
+                words = [f"g{g}c{i}" for i in range(core)] + [f"g{g}p{p}"] + [f"g{g}p{p}{side}{i}" for i in range(own)]
+                rnd.shuffle(words)
+                rows.append((len(rows), " ".join(words)))
+    return rows
+
+
+def test_isolated_links_in_large_nodes(docs_of):
+    rows = crowd(40, 50, 1)
+    got = {r.doc_id: r.component_id for r in near_groups(docs_of(rows), 1).collect()}
+    assert got == {i: i - i % 2 for i, _ in rows}

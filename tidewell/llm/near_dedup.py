@@ -6,7 +6,11 @@ under one hash function after another (its minwise tokens). Sets at the same pla
 make a node. A node of few sets is compared exhaustively; a larger one branches by the next
 token, down to DEPTH tokens, and what is still together then is handled as described below.
 Two sets of similarity s meet at depth d of a tree with probability s**d; at the threshold 0.8
-and the start depth of 3 all 20 trees miss a pair with probability 6e-7.
+and the start depth of 3 all 20 trees miss a pair with probability 6e-7. A large node compares
+nothing, so a pair that meets there has to stay together further down. Sets that stood in a
+large node of depth START are therefore placed in MORE trees of their own hash functions as well,
+at depth DEPTH at once, where nodes of any size are compared: at 0.8 these miss a pair with
+(1 - 0.8**6)**48 = 5e-7. Whatever nodes a pair passes, it is missed with 1.1e-6 at most.
 
 Within a node pairs are first held against sketches of one bit for each hash function. A pair
 at the threshold agrees on 108 of 120 bits with a deviation of 3.3, and is let through from 88
@@ -35,6 +39,8 @@ from tidewell.llm.common import arrow_rows, drop_stored, stored
 from tidewell.llm.components import components
 
 TREES, START, DEPTH, SMALL = 20, 3, 6, 32
+#: Further trees, from depth DEPTH on, for sets of large nodes.
+MORE = 48
 BITS = TREES * DEPTH
 AGREE = 88
 BLOCK = 1_024
@@ -45,6 +51,8 @@ _U = np.uint64
 _rng = np.random.default_rng(20)
 _MULTIPLY = _rng.integers(0, 2**63, BITS, dtype=np.uint64) * _U(2) + _U(1)
 _FLIP = _rng.integers(0, 2**64, BITS, dtype=np.uint64)
+_MORE_MULTIPLY = _rng.integers(0, 2**63, MORE * DEPTH, dtype=np.uint64) * _U(2) + _U(1)
+_MORE_FLIP = _rng.integers(0, 2**64, MORE * DEPTH, dtype=np.uint64)
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -80,12 +88,12 @@ def shingle_sets(texts: pa.Array, words: int) -> list[np.ndarray]:
     return out
 
 
-def minima(shingles: np.ndarray) -> np.ndarray:
+def minima(shingles: np.ndarray, flip: np.ndarray = _FLIP, multiply: np.ndarray = _MULTIPLY) -> np.ndarray:
     """The smallest value of a set under each hash function."""
-    best = np.full(BITS, np.iinfo(np.uint64).max, np.uint64)
+    best = np.full(len(flip), np.iinfo(np.uint64).max, np.uint64)
     for a in range(0, len(shingles), 1024):
         part = shingles[a : a + 1024]
-        np.minimum(best, ((part[None, :] ^ _FLIP[:, None]) * _MULTIPLY[:, None]).min(1), out=best)
+        np.minimum(best, ((part[None, :] ^ flip[:, None]) * multiply[:, None]).min(1), out=best)
     return best
 
 
@@ -106,6 +114,35 @@ def _signatures(words: int):
     return sign
 
 
+def _more_tokens(words: int):
+    """(id, print, tokens) of each set that is not empty, for the further trees."""
+
+    def sign(batches):
+        for batch in batches:
+            sets = shingle_sets(batch.column(1), words)
+            some = [i for i, s in enumerate(sets) if len(s)]
+            prints = [xxhash.xxh3_128_digest(sets[i].tobytes()) for i in some]
+            tokens = [(minima(sets[i], _MORE_FLIP, _MORE_MULTIPLY) >> _U(32)).astype(np.uint32).tobytes() for i in some]
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(some, pa.int64())), pa.array(prints, pa.binary()), pa.array(tokens, pa.binary())], ["id", "print", "tokens"])
+
+    return sign
+
+
+def _more_places(batches):
+    """A row for each further tree: where the set stands at depth DEPTH."""
+    for batch in batches:
+        n = batch.num_rows
+        if not n:
+            continue
+        tokens = np.frombuffer(b"".join(batch.column("tokens").to_pylist()), np.uint32).reshape(n, MORE, DEPTH)
+        path = np.broadcast_to(np.arange(TREES, TREES + MORE, dtype=np.uint64)[None, :], (n, MORE)).copy()
+        for d in range(DEPTH):
+            path = mix(path * _U(31) + tokens[:, :, d])
+        bits = np.frombuffer(b"".join(x.ljust(16, b"\0") for x in batch.column("bits").to_pylist()), np.int64).reshape(n, 2)
+        each = pa.array(np.repeat(np.arange(n), MORE))
+        yield pa.RecordBatch.from_arrays([pa.array(path.ravel().view(np.int64)), batch.column("id").take(each), batch.column("n").take(each), pa.array(np.repeat(bits[:, 0], MORE)), pa.array(np.repeat(bits[:, 1], MORE))], _PLACE[:5])
+
+
 def _places(batches):
     """A row for each tree: where the set stands at depth START, and its further tokens."""
     for batch in batches:
@@ -366,10 +403,10 @@ def _near_groups(docs: DataFrame, words: int, ratio: tuple[int, int], id_col: st
     # Equal sets: the smallest id stands for all of them.
     same = stored(signed.filter("print is not null").groupBy("print").agg(F.min("id").alias("rep"), F.count("*").alias("m")).filter("m > 1").drop("m"))
     members = signed.select("id", "n", "print").join(same, "print", "left").select("id", "n", F.coalesce("rep", "id").alias("rep"))
-    alone = signed.filter("n > 0 and id is not null").join(same, "print", "left").filter("rep is null or rep = id").select("id", "n", "tokens", "bits")
+    alone = signed.filter("n > 0 and id is not null").join(same, "print", "left").filter("rep is null or rep = id").select("id", "n", "print", "tokens", "bits")
     place = T.StructType([T.StructField("path", T.LongType()), T.StructField("id", id_type), T.StructField("n", T.LongType()), T.StructField("s0", T.LongType()), T.StructField("s1", T.LongType()), *[T.StructField(f"t{d}", T.IntegerType()) for d in range(START, DEPTH)]])
     both = T.StructType([T.StructField("a", id_type), T.StructField("b", id_type), *place, T.StructField("late", T.BooleanType())])
-    rows, pairs, late = alone.mapInArrow(_places, place), None, None
+    rows, pairs, late, crowded = alone.select("id", "n", "tokens", "bits").mapInArrow(_places, place), None, None, None
     for depth in range(START, DEPTH + 1):
         node = stored(rows.repartition("path").sortWithinPartitions("path", "s0", "s1", "id").mapInArrow(_branch(depth, ratio), both))
         found, open_ = node.filter("a is not null").select("a", "b"), node.filter("late").select("path", "id", "n", "s0", "s1")
@@ -378,6 +415,16 @@ def _near_groups(docs: DataFrame, words: int, ratio: tuple[int, int], id_col: st
         rows = node.filter("not late").select(*_PLACE)
         if not rows.take(1):
             break
+        if crowded is None:
+            crowded = stored(rows.select("id").distinct())
+    if crowded is not None:
+        asked = F.broadcast(crowded) if crowded.count() <= BROADCAST_IDS else crowded
+        tokens = texts.join(asked, "id", "left_semi").mapInArrow(_more_tokens(words), f"id {id_type.simpleString()}, print binary, tokens binary")
+        # Rows that repeat id and set have the same tokens.
+        tokens = stored(tokens).dropDuplicates(["id", "print"])
+        more = tokens.join(alone.select("id", "n", "print", "bits").distinct(), ["id", "print"]).select("id", "n", "tokens", "bits").mapInArrow(_more_places, T.StructType(place.fields[:5]))
+        # The links found so far join most of these nodes, so they are only searched for what is left.
+        late = late.unionByName(stored(more))
     links = confirmed(pairs, texts, words, ratio)
     labels = components(links)
     if late.take(1):
