@@ -2,7 +2,8 @@
 
 Each stage takes (spark, docs, sf_dir); all but the last return the columns of docs. run() writes
 each stage's rows as Parquet into the shared folder, so a lost executor costs one stage's tasks
-and no stage computes an earlier one again.
+and no stage computes an earlier one again. Every stage decides on rows, not on ids: ids may repeat
+or be null.
 """
 
 from __future__ import annotations
@@ -24,7 +25,7 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of equal texts the row with the largest id stays."""
+    """Of equal texts the row with the largest id stays, and one of rows that repeat both."""
     return drop_exact_copies(docs)
 
 
@@ -34,8 +35,8 @@ def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops documents that contain a benchmark item."""
-    return drop_contaminated(docs, documents(spark, sf_dir, "benchmark"))
+    """Drops rows that contain a benchmark item."""
+    return drop_contaminated(docs, documents(spark, sf_dir, "benchmark"), keep_without_id=False)
 
 
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -64,3 +64,22 @@ def test_mixture(stages):
 
 def test_run(spark, stages):
     assert cp.run(spark, SF).count() == len(stages["mixture"][1])
+
+
+def test_repeated_and_null_ids(spark, stages, tmp_path):
+    docs, labels, bench = (spark.read.parquet(f"{SF}/{t}.parquet") for t in ("documents", "labels", "benchmark"))
+    told = {r.doc_id for r in labels.collect()}
+    final = sorted((r for i, r in stages["mixture"][1].items() if i not in told and 40 < len(r.text.split()) < 400 and r.lang == "en"), key=lambda r: r.doc_id)
+    a, b, c, d = final[:4]
+    item = max((r.text for r in bench.collect()), key=len)
+    turned = lambda r: " ".join(r.text.split()[::-1])
+    more = [(a.doc_id, a.text, a), (a.doc_id, a.text, a), (None, f"{turned(b)} {item}", b), (c.doc_id, f"{turned(c)} {item}", c), (None, turned(d), d), (None, turned(d), d)]
+    more = spark.createDataFrame([(i, t, r.lang, r.source, len(t)) for i, t, r in more], docs.schema)
+    docs.unionByName(more).write.parquet(f"{tmp_path}/documents.parquet")
+    labels.write.parquet(f"{tmp_path}/labels.parquet")
+    bench.write.parquet(f"{tmp_path}/benchmark.parquet")
+    got = cp.run(spark, str(tmp_path)).collect()
+    assert [r.text for r in got if r.doc_id == a.doc_id] == [a.text]
+    assert [r.text for r in got if r.doc_id == c.doc_id] == [c.text]
+    assert [(r.text, r.rate > 0) for r in got if r.doc_id is None] == [(turned(d), True)]
+    assert len({r.doc_id for r in got}) == len(got)

@@ -111,6 +111,27 @@ def drop_stored(df: DataFrame) -> None:
             path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
+#: The column of with_rows().
+ROW = "_tidewell_row"
+
+
+def with_rows(docs: DataFrame) -> DataFrame:
+    """docs with ROW, a number of its own for each row. It is written, so that it stays the same however
+    often it is read."""
+    with arrow_rows(docs.sparkSession):
+        return stored(docs.withColumn(ROW, F.monotonically_increasing_id()), "rows")
+
+
+def first_of_groups(rows: DataFrame, groups: DataFrame, id_col: str, largest: bool = False) -> DataFrame:
+    """rows (of with_rows) with one row of each group (ROW, group): the one with the smallest or largest id,
+    of equal ids that with such a ROW. Rows without an id come after those that have one."""
+    named = groups.join(rows.select(ROW, F.col(id_col).alias("_id")), ROW)
+    rank = F.struct((F.col("_id").isNotNull() if largest else F.col("_id").isNull()).alias("_no"), "_id", ROW)
+    kept = named.groupBy("group").agg((F.max if largest else F.min)(rank).alias("best")).select(F.col(f"best.{ROW}").alias(ROW))
+    gone = stored(named.select(ROW).join(kept, ROW, "left_anti"), "gone")
+    return rows.join(gone, ROW, "left_anti").drop(ROW)
+
+
 def documents(spark: SparkSession, sf_dir: str, name: str = "documents") -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

@@ -119,23 +119,13 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     normalised text, end exclusive) of the closest passage, the first of equals. Items of fewer
     than MIN_CHARS characters, null ones too, are not searched for; null and empty texts contain
     nothing. Repeated documents and repeated items give a row each. Other columns are not read."""
-    spark = docs.sparkSession
-    norm = F.trim(F.regexp_replace(F.lower(item_text), r"\s+", " "))
-    items = benchmark.select(F.col(item_col).alias("_item"), F.col(item_text).alias("_text"), F.length(norm).alias("_n")).filter(F.col("_n") >= MIN_CHARS)
-    total = items.agg(F.sum("_n")).first()[0] or 0
-    blocks = max(1, -(-total // block_chars))
     schema = T.StructType([T.StructField(id_col, docs.schema[id_col].dataType), T.StructField(item_col, benchmark.schema[item_col].dataType), T.StructField("edits", T.LongType()), T.StructField("start", T.LongType()), T.StructField("end", T.LongType())])
     item_type = to_arrow_type(benchmark.schema[item_col].dataType)
     out = None
-    for b in range(blocks):
-        own = items if blocks == 1 else items.filter(F.pmod(F.xxhash64("_item", "_text"), F.lit(blocks)) == b)
-        texts = sorted({(r[0], normal(r[1])) for r in own.toLocalIterator()}, key=repr) if total else []
-        shared = spark.sparkContext.broadcast((b, share, texts))
+    for matcher_of in _matchers(benchmark, item_col, item_text, share, block_chars):
 
-        def match(batches, shared=shared):
-            if _worker.get("items") != shared.value:
-                _worker.update(items=shared.value, matcher=Matcher(shared.value[2], shared.value[1]))
-            matcher = _worker["matcher"]
+        def match(batches, matcher_of=matcher_of):
+            matcher = matcher_of()
             for batch in batches:
                 rows, hits = [], []
                 for i, text in enumerate(batch.column(1)):
@@ -151,8 +141,39 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     return out
 
 
-def drop_contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """docs without the documents that contain a test item; rows without an id stay."""
+def _matchers(benchmark: DataFrame, item_col: str, item_text: str, share: int, block_chars: int):
+    """For each block of the items a function that gives its Matcher on a worker."""
+    spark = benchmark.sparkSession
+    norm = F.trim(F.regexp_replace(F.lower(item_text), r"\s+", " "))
+    items = benchmark.select(F.col(item_col).alias("_item"), F.col(item_text).alias("_text"), F.length(norm).alias("_n")).filter(F.col("_n") >= MIN_CHARS)
+    total = items.agg(F.sum("_n")).first()[0] or 0
+    blocks = max(1, -(-total // block_chars))
+    for b in range(blocks):
+        own = items if blocks == 1 else items.filter(F.pmod(F.xxhash64("_item", "_text"), F.lit(blocks)) == b)
+        texts = sorted({(r[0], normal(r[1])) for r in own.toLocalIterator()}, key=repr) if total else []
+        shared = spark.sparkContext.broadcast((b, share, texts))
+
+        def matcher_of(shared=shared):
+            if _worker.get("items") != shared.value:
+                _worker.update(items=shared.value, matcher=Matcher(shared.value[2], shared.value[1]))
+            return _worker["matcher"]
+
+        yield matcher_of
+
+
+def drop_contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep_without_id: bool = True) -> DataFrame:
+    """docs without the rows whose own text contains a test item; rows without an id stay, or with
+    keep_without_id unset are judged like all others."""
+    at, id_at, schema = docs.columns.index(text_col), docs.columns.index(id_col), docs.schema
+    out = docs
+    for matcher_of in _matchers(benchmark, "item_id", "text", ERROR_SHARE, BLOCK_CHARS):
+
+        def clean(batches, matcher_of=matcher_of):
+            matcher = matcher_of()
+            for batch in batches:
+                free = [keep_without_id and not i.is_valid or not matcher.find(t.as_py()) for i, t in zip(batch.column(id_at), batch.column(at))]
+                yield batch.filter(pa.array(free, pa.bool_()))
+
+        out = out.mapInArrow(clean, schema)
     with arrow_rows(docs.sparkSession):
-        found = stored(contaminated(docs, benchmark, id_col, text_col).select(id_col))
-    return docs.join(found, id_col, "left_anti")
+        return stored(out, "clean")

@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidewell.llm.common import arrow_rows, stored, text_bytes
+from tidewell.llm.common import ROW, arrow_rows, first_of_groups, stored, text_bytes, with_rows
 
 BLOCK_BYTES = 8192
 
@@ -128,7 +128,8 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
 
 def drop_exact_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """docs with, of equal texts, only the row with the largest id. Ids have to be unique and
-    not null here; rows with a null id are kept."""
-    gone = exact_groups(docs, id_col, text_col).filter("not kept").select(id_col)
-    return docs.join(stored(gone), id_col, "left_anti")
+    """docs with, of equal texts, only the row with the largest id, and one of rows that repeat id and
+    text. A row without an id is kept where no row with an id has its text."""
+    rows = with_rows(docs)
+    named = stored(content_names(rows, ROW, text_col)).select(ROW, F.struct("rounds", "name").alias("group"))
+    return first_of_groups(rows, named, id_col, largest=True)

@@ -17,7 +17,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -27,6 +27,7 @@ from tidewell.llm.features import content, fit, softmax
 #: Labelled rows that the classifier is fitted on, passes at most, and the relative distance of
 #: totals and targets that is close enough.
 LABELLED, PASSES, CLOSE = 4_000, 40, 1e-4
+CARRIED = ("_tidewell_tokens", "_tidewell_p")
 
 
 def fit_domains(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, domain_col: str, rows: int = LABELLED):
@@ -50,10 +51,11 @@ def fit_domains(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str,
     return domains, fit(x, y, np.ones(len(y)))
 
 
-def posteriors(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", domain_col: str = "lang") -> tuple[DataFrame, list[str]]:
+def posteriors(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", domain_col: str = "lang", carry: bool = False) -> tuple[DataFrame, list[str]]:
     """(id_col, n_tokens, p: array of a probability for each domain) and the domains in order, which are
     the values of domain_col among the documents that labels covers; nothing else of it is read.
-    Tokens are what white space separates. Without a labelled row there is one domain, `all`."""
+    Tokens are what white space separates. Without a labelled row there is one domain, `all`.
+    With carry set, the columns of docs stand in the place of id_col, and the rest is called as in CARRIED."""
     domains, weights = fit_domains(docs, labels, id_col, text_col, domain_col)
     shared = docs.sparkSession.sparkContext.broadcast(weights)
 
@@ -62,13 +64,15 @@ def posteriors(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_
         for batch in batches:
             for i in range(0, batch.num_rows, 500):
                 part = batch.slice(i, 500)
-                texts = part.column(1).to_pylist()
+                texts = part.column(0).to_pylist()
                 p = softmax(np.stack([content(t) for t in texts]) @ w).astype(np.float64) if w is not None else np.ones((len(texts), 1))
                 flat = pa.ListArray.from_arrays(pa.array(np.arange(len(texts) + 1) * p.shape[1], pa.int32()), pa.array(p.ravel()))
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array([len((t or "").split()) for t in texts], pa.int64()), flat], [id_col, "n_tokens", "p"])
+                yield pa.RecordBatch.from_arrays([*part.columns[1:], pa.array([len((t or "").split()) for t in texts], pa.int64()), flat], schema.names)
 
-    schema = T.StructType([T.StructField(id_col, docs.schema[id_col].dataType), T.StructField("n_tokens", T.LongType()), T.StructField("p", T.ArrayType(T.DoubleType()))])
-    return docs.select(id_col, text_col).mapInArrow(predict, schema), domains or ["all"]
+    names = CARRIED if carry else ("n_tokens", "p")
+    own = docs.schema if carry else [docs.schema[id_col]]
+    schema = T.StructType([*own, T.StructField(names[0], T.LongType()), T.StructField(names[1], T.ArrayType(T.DoubleType()))])
+    return docs.select(F.col(text_col).alias("_text"), *[docs[f.name] for f in own]).mapInArrow(predict, schema), domains or ["all"]
 
 
 def replay(p: np.ndarray, steps: list[np.ndarray]) -> np.ndarray:
@@ -109,6 +113,25 @@ def mixing_rates(docs: DataFrame, labels: DataFrame, targets: dict[str, float] |
     found, domains = posteriors(docs, labels, id_col, text_col, domain_col)
     with arrow_rows(docs.sparkSession):
         rows = stored(found)
+    taken = _steps(rows, domains, targets, tokens)
+
+    def rates(batches):
+        for batch in batches:
+            _, p = _arrays(batch)
+            best = p.argmax(1) if len(p) else np.zeros(0, int)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([domains[b] for b in best], pa.string()), batch.column(1), pa.array(replay(p, taken))], [id_col, "domain", "n_tokens", "rate"])
+
+    schema = T.StructType([T.StructField(id_col, docs.schema[id_col].dataType), T.StructField("domain", T.StringType()), T.StructField("n_tokens", T.LongType()), T.StructField("rate", T.DoubleType())])
+    return rows.mapInArrow(rates, schema).withColumn("copies", _copies(F.xxhash64(F.col(id_col), F.lit("copies"))))
+
+
+def _copies(hashed: Column) -> Column:
+    chance = F.pmod(hashed, F.lit(1 << 30)) / float(1 << 30)
+    return F.floor(F.col("rate") + chance).cast("long")
+
+
+def _steps(rows: DataFrame, domains: list[str], targets: dict[str, float] | None, tokens: float | None) -> list[np.ndarray]:
+    """The steps of the descent for rows (n_tokens, p)."""
     weight = np.array([1.0 if targets is None else float(targets.get(d, 0.0)) for d in domains])
     weight = weight / weight.sum() if weight.sum() > 0 else np.full(len(domains), 1 / len(domains))
     steps: list[np.ndarray] = []
@@ -126,21 +149,21 @@ def mixing_rates(docs: DataFrame, labels: DataFrame, targets: dict[str, float] |
             steps, now, moments, size = [*steps, step], then, later, min(1.0, size * 2)
         else:
             size /= 2
-    taken = list(steps)
-
-    def rates(batches):
-        for batch in batches:
-            _, p = _arrays(batch)
-            best = p.argmax(1) if len(p) else np.zeros(0, int)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([domains[b] for b in best], pa.string()), batch.column(1), pa.array(replay(p, taken))], [id_col, "domain", "n_tokens", "rate"])
-
-    schema = T.StructType([T.StructField(id_col, docs.schema[id_col].dataType), T.StructField("domain", T.StringType()), T.StructField("n_tokens", T.LongType()), T.StructField("rate", T.DoubleType())])
-    chance = F.pmod(F.xxhash64(F.col(id_col), F.lit("copies")), F.lit(1 << 30)) / float(1 << 30)
-    return rows.mapInArrow(rates, schema).withColumn("copies", F.floor(F.col("rate") + chance).cast("long"))
+    return steps
 
 
 def mixed(docs: DataFrame, labels: DataFrame, targets: dict[str, float] | None = None, id_col: str = "doc_id", text_col: str = "text", domain_col: str = "lang") -> DataFrame:
-    """docs with domain, rate and copies, without the rows of rate 0; ids have to be unique, rows
-    without one stay with nulls."""
-    rates = mixing_rates(docs, labels, targets, None, id_col, text_col, domain_col)
-    return docs.drop("domain", "rate", "copies").join(stored(rates.drop("n_tokens")), id_col, "left").filter("rate is null or rate > 0")
+    """docs with domain, rate and copies as by mixing_rates, without the rows of rate 0. Each row has the
+    rate of its own text; copies of a row without an id are rounded by a hash of the text."""
+    kept = docs.drop(*[c for c in ("domain", "rate", "copies") if c != domain_col])
+    found, domains = posteriors(kept, labels, id_col, text_col, domain_col, carry=True)
+    with arrow_rows(docs.sparkSession):
+        rows = stored(found)
+    tokens, p = (F.col(c) for c in CARRIED)
+    rate = F.lit(1.0)
+    for c in _steps(rows.select(tokens.alias("n_tokens"), p.alias("p")), domains, targets, None):
+        rate = F.greatest(F.lit(0.0), rate - sum(p[i] * float(x) for i, x in enumerate(c)))
+    domain = F.element_at(F.array(*[F.lit(d) for d in domains]), F.array_position(p, F.array_max(p)).cast("int"))
+    told = rows.withColumn("domain", domain).withColumn("rate", rate).filter("rate > 0")
+    spot = F.when(F.col(id_col).isNull(), F.xxhash64(text_col, F.lit("copies"))).otherwise(F.xxhash64(id_col, F.lit("copies")))
+    return told.withColumn("copies", _copies(spot)).drop(*CARRIED)

@@ -35,7 +35,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidewell.llm.common import arrow_rows, drop_stored, stored
+from tidewell.llm.common import ROW, arrow_rows, drop_stored, first_of_groups, stored, with_rows
 from tidewell.llm.components import components
 
 TREES, START, DEPTH, SMALL = 20, 3, 6, 32
@@ -442,6 +442,8 @@ def _near_groups(docs: DataFrame, words: int, ratio: tuple[int, int], id_col: st
 
 
 def drop_near_copies(docs: DataFrame, words: int = 5, ratio: tuple[int, int] = (8, 10), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """docs with one document of each component: the one with the smallest id."""
-    gone = near_groups(docs, words, ratio, id_col, text_col).filter("not kept").select(id_col)
-    return docs.join(stored(gone), id_col, "left_anti")
+    """docs with one row of each component: the one with the smallest id. Each row is a document of its
+    own here, whatever its id. Texts without words are kept."""
+    rows = with_rows(docs)
+    groups = stored(near_groups(rows, words, ratio, ROW, text_col).select(ROW, F.col("component_id").alias("group")))
+    return first_of_groups(rows, groups, id_col)

@@ -26,6 +26,8 @@ LABELLED, POOL, ROUNDS, SHARE = 4_000, 4_000, 4, 0.04
 LEAST = 8
 WEIGHTS = (1.0, 0.75, 0.5, 0.25, 0.125, 0.0)
 KEEP_FROM = 0.5
+SCORES, CARRIED = ("text_score", "meta_score", "score"), "_tidewell_scores"
+
 
 def _views(texts, names, sizes) -> tuple[np.ndarray, np.ndarray]:
     return np.stack([content(t) for t in texts]), np.stack([layout(t, n, s) for t, n, s in zip(texts, names, sizes)])
@@ -119,12 +121,13 @@ def fit_views(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, na
     return co_train(arrays(labelled), np.array([float(r.y >= 0.5) for r in labelled]), arrays(pool))
 
 
-def quality_scores(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", name_cols: tuple[str, ...] = ("lang", "source"), size_col: str | None = "n_chars", label_col: str = "quality", keep_from: float = KEEP_FROM) -> DataFrame:
+def quality_scores(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", name_cols: tuple[str, ...] = ("lang", "source"), size_col: str | None = "n_chars", label_col: str = "quality", keep_from: float = KEEP_FROM, carry: bool = False) -> DataFrame:
     """One row per row of docs: id_col, text_score, meta_score (each view's calibrated probability of
     good quality), score (both together) and keep (score of at least keep_from). Labels are 0
     and 1. Null texts and metadata are scored as empty ones. With too few labels of either kind
     every score is 1 and every row is kept. Repeated rows are scored each; columns that the
-    table lacks are taken as null."""
+    table lacks are taken as null. With carry set, the columns of docs go along, and the rest is a
+    struct CARRIED after them."""
     names = [c for c in name_cols if c in docs.columns]
     size_col = size_col if size_col in docs.columns else None
     models = docs.sparkSession.sparkContext.broadcast(fit_views(docs, labels, id_col, text_col, names, size_col, label_col))
@@ -140,16 +143,26 @@ def quality_scores(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", t
                     both = _views(part.column(1).to_pylist(), [tuple(x) for x in part.column(2).to_pylist()], part.column(3).to_pylist())
                     odds = np.column_stack([a * _odds(x, w) + b for x, (w, a, b) in zip(both, fitted[0])])
                     each = [*sigmoid(odds).T, sigmoid(fitted[1] + (odds - fitted[1]) @ fitted[2])]
-                yield pa.RecordBatch.from_arrays([part.column(0), *[pa.array(x, pa.float64()) for x in each]], [id_col, "text_score", "meta_score", "score"])
+                found = [pa.array(x, pa.float64()) for x in each]
+                if carry:
+                    told = pa.StructArray.from_arrays([*found, pa.array(each[2] >= keep_from)], [*SCORES, "keep"])
+                    yield pa.RecordBatch.from_arrays([*part.columns[4:], told], [*docs_columns, CARRIED])
+                else:
+                    yield pa.RecordBatch.from_arrays([part.column(0), *found], [id_col, *SCORES])
 
     size = F.col(size_col).cast("long") if size_col else F.lit(None).cast("long")
-    schema = T.StructType([T.StructField(id_col, docs.schema[id_col].dataType), *[T.StructField(c, T.DoubleType()) for c in ("text_score", "meta_score", "score")]])
-    rows = docs.select(F.col(id_col), F.col(text_col).alias("_text"), F.array(*[F.col(c).cast("string") for c in names]).alias("_names"), size.alias("_size"))
-    return rows.mapInArrow(score, schema).withColumn("keep", F.col("score") >= keep_from)
+    scores = [T.StructField(c, T.DoubleType()) for c in SCORES]
+    wanted = [F.col(id_col).alias("_id"), F.col(text_col).alias("_text"), F.array(*[F.col(c).cast("string") for c in names]).alias("_names"), size.alias("_size")]
+    docs_columns = docs.columns
+    if carry:
+        told = T.StructType([*scores, T.StructField("keep", T.BooleanType())])
+        return docs.select(*wanted, "*").mapInArrow(score, T.StructType([*docs.schema, T.StructField(CARRIED, told)]))
+    schema = T.StructType([T.StructField(id_col, docs.schema[id_col].dataType), *scores])
+    return docs.select(*wanted).mapInArrow(score, schema).withColumn("keep", F.col("score") >= keep_from)
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """docs without the rows that the classifier rejects; rows without an id stay."""
+    """docs without the rows that the classifier rejects, each judged by its own text and metadata."""
     with arrow_rows(docs.sparkSession):
-        bad = stored(quality_scores(docs, labels, id_col, text_col).filter("not keep").select(id_col))
-    return docs.join(bad, id_col, "left_anti")
+        scored = quality_scores(docs, labels, id_col, text_col, carry=True)
+        return stored(scored.filter(f"{CARRIED}.keep").drop(CARRIED), "good")
