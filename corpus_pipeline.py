@@ -15,7 +15,7 @@ from tidewell.llm.decontaminate import drop_contaminated
 from tidewell.llm.exact_dedup import drop_exact_copies
 from tidewell.llm.mixing import mixed
 from tidewell.llm.near_dedup import drop_near_copies
-from tidewell.llm.quality import keep_good
+from tidewell.llm.quality import drop_toxic, keep_good
 from tidewell.llm.queries import MIXTURE
 
 
@@ -39,12 +39,17 @@ def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
     return drop_contaminated(docs, documents(spark, sf_dir, "benchmark"), keep_without_id=False)
 
 
+def harmless(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Drops rows that the classifier takes for toxic."""
+    return drop_toxic(docs, documents(spark, sf_dir, "labels"))
+
+
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Adds each document's domain, its rate in the mixture and the copies to take."""
     return mixed(docs, documents(spark, sf_dir, "labels"), MIXTURE)
 
 
-STAGES = [("quality", quality), ("exact", exact), ("near", near), ("decontaminated", decontaminated), ("mixture", mixture)]
+STAGES = [("quality", quality), ("exact", exact), ("near", near), ("decontaminated", decontaminated), ("harmless", harmless), ("mixture", mixture)]
 
 #: Trained classifiers and similarity of shingle sets are not for SQL; tests/llm holds the stages
 #: against brute force.

@@ -98,6 +98,14 @@ def test_quality_on_held_out_labels(spark):
     assert np.mean(good) > 0.98 and np.mean(bad) < 0.15
 
 
+def test_toxic_on_held_out_labels(spark):
+    docs, labels = (spark.read.parquet(f"/root/testdata/sf0.1/{t}.parquet") for t in ("documents", "labels"))
+    got = quality_scores(docs, labels.filter("doc_id % 2 = 0")).withColumnRenamed("toxic", "said").join(labels.filter("doc_id % 2 = 1"), "doc_id").collect()
+    caught, dropped = [r.said for r in got if r.toxic == 1], [r.said for r in got if r.toxic == 0]
+    print(f"held out: caught {sum(caught)} of {len(caught)}, false drops {sum(dropped)} of {len(dropped)}")
+    assert np.mean(caught) > 0.7 and np.mean(dropped) < 0.01
+
+
 def test_mixing(docs_of, spark):
     rnd = random.Random(5)
     rows = [(i, sentence(rnd, 40), "en", None, None) for i in range(120)] + [(200 + i, "".join(rnd.choice("zqxjv ") for _ in range(200)), "xx", None, None) for i in range(30)]

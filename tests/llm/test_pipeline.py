@@ -52,6 +52,14 @@ def test_contamination(spark, stages):
     assert hit and not hit & set(after) and len(set(before) - set(after)) <= len(hit) + 3
 
 
+def test_toxic(spark, stages):
+    before, after, *_ = stages["harmless"]
+    labels = {r.doc_id: r.toxic for r in spark.read.parquet(f"{SF}/labels.parquet").collect()}
+    toxic, fine = [[i for i in before if labels.get(i) == t] for t in (1, 0)]
+    print(f"caught {sum(i not in after for i in toxic)} of {len(toxic)}, false drops {sum(i not in after for i in fine)} of {len(fine)}")
+    assert toxic and sum(i not in after for i in toxic) >= 0.7 * len(toxic) and sum(i in after for i in fine) >= 0.98 * len(fine)
+
+
 def test_mixture(stages):
     before, after, *_ = stages["mixture"]
     assert set(before) == set(after)

@@ -7,12 +7,17 @@ training rows. The views are calibrated on labelled rows that neither has seen.
 log-odds of the share of good rows is weighted by how far it can be trusted: of WEIGHTS for each
 view the pair with the least log loss on the same rows. The sum scores every document.
 
+Toxic rows are a second target, as most of them are of good quality. It is told by words: those WORDS whose
+shares of toxic and other labelled rows differ most surely towards toxic are the features of a logistic model.
+
 The sample that is fitted is bounded: at most LABELLED labelled rows and about POOL others, chosen
 by a hash of the id. Scoring reads every whole text.
 """
 
 from __future__ import annotations
 
+import re
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -26,7 +31,9 @@ LABELLED, POOL, ROUNDS, SHARE = 4_000, 4_000, 4, 0.04
 LEAST = 8
 WEIGHTS = (1.0, 0.75, 0.5, 0.25, 0.125, 0.0)
 KEEP_FROM = 0.5
-SCORES, CARRIED = ("text_score", "meta_score", "score"), "_tidewell_scores"
+SCORES, CARRIED = ("text_score", "meta_score", "score", "toxic_score"), "_tidewell_scores"
+WORDS, TOXIC_FROM = 64, 0.5
+_WORD = re.compile(r"[^\W\d_]+")
 
 
 def _views(texts, names, sizes) -> tuple[np.ndarray, np.ndarray]:
@@ -121,19 +128,66 @@ def fit_views(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, na
     return co_train(arrays(labelled), np.array([float(r.y >= 0.5) for r in labelled]), arrays(pool))
 
 
-def quality_scores(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", name_cols: tuple[str, ...] = ("lang", "source"), size_col: str | None = "n_chars", label_col: str = "quality", keep_from: float = KEEP_FROM, carry: bool = False) -> DataFrame:
+def _words(text: str | None) -> set[str]:
+    return set(_WORD.findall((text or "").lower()))
+
+
+def _held(texts, words: list[str]) -> np.ndarray:
+    """Which of the words each text holds, and a column of ones."""
+    sets = [_words(t) for t in texts]
+    return np.array([[*(w in s for w in words), True] for s in sets], np.float32).reshape(len(sets), len(words) + 1)
+
+
+def fit_toxic(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, toxic_col: str):
+    """(words, weights), or None without enough labels of either kind. Of several labels of a document the
+    mean counts, of several texts the smallest."""
+    if toxic_col not in labels.columns:
+        return None
+    known = labels.filter(F.col(toxic_col).isNotNull() & F.col(id_col).isNotNull()).groupBy(F.col(id_col).alias("_lid")).agg((F.avg(toxic_col) >= 0.5).cast("int").alias("_y"))
+    known = known.orderBy(F.xxhash64("_lid"), "_lid").limit(LABELLED)
+    few = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text")).join(F.broadcast(known), F.col("_id") == F.col("_lid"))
+    few = stored(few.groupBy("_id").agg(F.min("_text").alias("_text"), F.min("_y").alias("_y")))
+    n, bad = few.agg(F.count("*"), F.coalesce(F.sum("_y"), F.lit(0))).first()
+    if min(bad, n - bad) < LEAST:
+        return None
+
+    def split(batches):
+        for batch in batches:
+            for text, y in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                words = sorted(_words(text))
+                yield pa.RecordBatch.from_arrays([pa.array(words, pa.string()), pa.array([y] * len(words), pa.int32())], ["word", "y"])
+
+    counts = few.select("_text", "_y").mapInArrow(split, "word string, y int").groupBy("word").agg(F.sum("y").alias("t"), F.sum(1 - F.col("y")).alias("c"))
+    t, c = F.col("t") + 0.5, F.col("c") + 0.5
+    sure = (F.log(t / float(bad + 1)) - F.log(c / float(n - bad + 1))) / F.sqrt(1 / t + 1 / c)
+    words = [r.word for r in counts.orderBy(sure.desc(), "word").limit(WORDS).select("word").collect()]
+
+    def view(batches):
+        for batch in batches:
+            x = _held(batch.column(1).to_pylist(), words)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([r.tobytes() for r in x], pa.binary()), batch.column(2)], ["id", "x", "y"])
+
+    rows = few.select(F.xxhash64("_id"), "_text", "_y").mapInArrow(view, "id long, x binary, y int").collect()
+    rows.sort(key=lambda r: (r.id, bytes(r.x)))
+    y = np.array([r.y for r in rows])
+    return words, fit(np.stack([np.frombuffer(r.x, np.float32) for r in rows]), np.stack([1 - y, y], 1), np.ones(len(y)))
+
+
+def quality_scores(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", name_cols: tuple[str, ...] = ("lang", "source"), size_col: str | None = "n_chars", label_col: str = "quality", keep_from: float = KEEP_FROM, carry: bool = False, toxic_col: str = "toxic") -> DataFrame:
     """One row per row of docs: id_col, text_score, meta_score (each view's calibrated probability of
-    good quality), score (both together) and keep (score of at least keep_from). Labels are 0
+    good quality), score (both together), toxic_score (probability of being toxic; 0 where labels has no
+    toxic_col or too few of either kind), keep (quality alone: score of at least keep_from) and
+    toxic (toxic_score of at least TOXIC_FROM). Labels are 0
     and 1. Null texts and metadata are scored as empty ones. With too few labels of either kind
     every score is 1 and every row is kept. Repeated rows are scored each; columns that the
     table lacks are taken as null. With carry set, the columns of docs go along, and the rest is a
     struct CARRIED after them."""
     names = [c for c in name_cols if c in docs.columns]
     size_col = size_col if size_col in docs.columns else None
-    models = docs.sparkSession.sparkContext.broadcast(fit_views(docs, labels, id_col, text_col, names, size_col, label_col))
+    models = docs.sparkSession.sparkContext.broadcast((fit_views(docs, labels, id_col, text_col, names, size_col, label_col), fit_toxic(docs, labels, id_col, text_col, toxic_col)))
 
     def score(batches):
-        fitted = models.value
+        fitted, toxic = models.value
         for batch in batches:
             for i in range(0, batch.num_rows, 500):
                 part = batch.slice(i, 500)
@@ -143,6 +197,7 @@ def quality_scores(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", t
                     both = _views(part.column(1).to_pylist(), [tuple(x) for x in part.column(2).to_pylist()], part.column(3).to_pylist())
                     odds = np.column_stack([a * _odds(x, w) + b for x, (w, a, b) in zip(both, fitted[0])])
                     each = [*sigmoid(odds).T, sigmoid(fitted[1] + (odds - fitted[1]) @ fitted[2])]
+                each.append(_toxic_scores(part.column(1).to_pylist(), toxic))
                 found = [pa.array(x, pa.float64()) for x in each]
                 if carry:
                     told = pa.StructArray.from_arrays([*found, pa.array(each[2] >= keep_from)], [*SCORES, "keep"])
@@ -158,7 +213,11 @@ def quality_scores(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", t
         told = T.StructType([*scores, T.StructField("keep", T.BooleanType())])
         return docs.select(*wanted, "*").mapInArrow(score, T.StructType([*docs.schema, T.StructField(CARRIED, told)]))
     schema = T.StructType([T.StructField(id_col, docs.schema[id_col].dataType), *scores])
-    return docs.select(*wanted).mapInArrow(score, schema).withColumn("keep", F.col("score") >= keep_from)
+    return docs.select(*wanted).mapInArrow(score, schema).withColumn("keep", F.col("score") >= keep_from).withColumn("toxic", F.col("toxic_score") >= TOXIC_FROM)
+
+
+def _toxic_scores(texts, fitted) -> np.ndarray:
+    return np.zeros(len(texts)) if fitted is None else sigmoid(_odds(_held(texts, fitted[0]), fitted[1])).astype(float)
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -166,3 +225,16 @@ def keep_good(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_c
     with arrow_rows(docs.sparkSession):
         scored = quality_scores(docs, labels, id_col, text_col, carry=True)
         return stored(scored.filter(f"{CARRIED}.keep").drop(CARRIED), "good")
+
+
+def drop_toxic(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", toxic_col: str = "toxic") -> DataFrame:
+    """docs without the rows whose own text is taken for toxic."""
+    fitted = docs.sparkSession.sparkContext.broadcast(fit_toxic(docs, labels, id_col, text_col, toxic_col))
+    at = docs.columns.index(text_col)
+
+    def clean(batches):
+        for batch in batches:
+            yield batch.filter(pa.array(_toxic_scores(batch.column(at).to_pylist(), fitted.value) < TOXIC_FROM))
+
+    with arrow_rows(docs.sparkSession):
+        return stored(docs.mapInArrow(clean, docs.schema), "clean")
