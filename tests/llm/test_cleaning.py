@@ -64,6 +64,13 @@ def test_decontamination_against_brute_force(docs_of, spark):
     assert contaminated(docs_of([]), bench).count() == 0 and contaminated(docs_of(rows), bench.limit(0)).count() == 0
 
 
+def test_short_items(docs_of, spark):
+    bench = spark.createDataFrame([(1, "Who  am I?"), (2, "art")], "item_id long, text string")
+    rows = [(1, "so: who am\ni? said"), (2, "who am it?"), (3, "party"), (4, "the ART."), (5, "party art")]
+    got = sorted((r.doc_id, r.item_id, r.edits, r.start, r.end) for r in contaminated(docs_of(rows), bench).collect())
+    assert got == [(1, 1, 0, 4, 13), (4, 2, 0, 4, 7), (5, 2, 0, 6, 9)]
+
+
 def quality_rows(n=200):
     rnd = random.Random(3)
     rows, labels = [], []

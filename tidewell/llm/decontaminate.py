@@ -70,9 +70,14 @@ def distance(item: str, text: str) -> tuple[int, int]:
     return best, end
 
 
+def _inside(text: str, at: int) -> bool:
+    """Whether there is a letter or digit on either side of a position."""
+    return 0 < at < len(text) and text[at - 1].isalnum() and text[at].isalnum()
+
+
 class Matcher:
     def __init__(self, items: list[tuple[object, str]], share: int = ERROR_SHARE):
-        self.items = [(i, t, budget(len(t), share)) for i, t in items]
+        self.items = [(i, t, budget(len(t), share) if len(t) >= MIN_CHARS else 0) for i, t in items]
         where: dict[str, list[tuple[int, int]]] = {}
         for x, (_, t, k) in enumerate(self.items):
             for at, piece in pieces(t, k):
@@ -96,6 +101,10 @@ class Matcher:
         out = []
         for x, found in begins.items():
             item_id, item, k = self.items[x]
+            if not k:
+                whole = [b for b in sorted(set(found)) if not _inside(text, b) and not _inside(text, b + len(item))]
+                out.extend((item_id, 0, b, b + len(item)) for b in whole[:1])
+                continue
             best, done = None, None
             for b in sorted(set(found)):
                 a, z = max(0, b - k), b + len(item) + k
@@ -117,8 +126,8 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     """One row for each document and test item that it contains within the item's error budget
     (its length over `share`, at least 1): id_col, item_col, edits, start, end (characters of the
     normalised text, end exclusive) of the closest passage, the first of equals. Items of fewer
-    than MIN_CHARS characters, null ones too, are not searched for; null and empty texts contain
-    nothing. Repeated documents and repeated items give a row each. Other columns are not read."""
+    than MIN_CHARS characters have to be there without an edit and in whole words; null and empty items
+    are not searched for; null and empty texts contain nothing. Repeated documents and repeated items give a row each. Other columns are not read."""
     schema = T.StructType([T.StructField(id_col, docs.schema[id_col].dataType), T.StructField(item_col, benchmark.schema[item_col].dataType), T.StructField("edits", T.LongType()), T.StructField("start", T.LongType()), T.StructField("end", T.LongType())])
     item_type = to_arrow_type(benchmark.schema[item_col].dataType)
     out = None
@@ -145,12 +154,12 @@ def _matchers(benchmark: DataFrame, item_col: str, item_text: str, share: int, b
     """For each block of the items a function that gives its Matcher on a worker."""
     spark = benchmark.sparkSession
     norm = F.trim(F.regexp_replace(F.lower(item_text), r"\s+", " "))
-    items = benchmark.select(F.col(item_col).alias("_item"), F.col(item_text).alias("_text"), F.length(norm).alias("_n")).filter(F.col("_n") >= MIN_CHARS)
+    items = benchmark.select(F.col(item_col).alias("_item"), F.col(item_text).alias("_text"), F.length(norm).alias("_n")).filter(F.col("_n") > 0)
     total = items.agg(F.sum("_n")).first()[0] or 0
     blocks = max(1, -(-total // block_chars))
     for b in range(blocks):
         own = items if blocks == 1 else items.filter(F.pmod(F.xxhash64("_item", "_text"), F.lit(blocks)) == b)
-        texts = sorted({(r[0], normal(r[1])) for r in own.toLocalIterator()}, key=repr) if total else []
+        texts = sorted({(r[0], normal(r[1])) for r in own.toLocalIterator() if normal(r[1])}, key=repr) if total else []
         shared = spark.sparkContext.broadcast((b, share, texts))
 
         def matcher_of(shared=shared):
