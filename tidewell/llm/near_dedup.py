@@ -1,28 +1,28 @@
 """Near duplicates by a chosen-path similarity join.
 
-A document is the set of its distinct word shingles; equal sets are one node from the start.
-In each of TREES independent trees a set is followed down the path of its smallest shingles
-under one hash function after another (its minwise tokens). Sets at the same place of a tree
-make a node. A node of few sets is compared exhaustively; a larger one branches by the next
-token, down to DEPTH tokens, and what is still together then is handled as described below.
-Two sets of similarity s meet at depth d of a tree with probability s**d; at the threshold 0.8
-and the start depth of 3 all 20 trees miss a pair with probability 6e-7. A large node compares
-nothing, so a pair that meets there has to stay together further down. Sets that stood in a
-large node of depth START are therefore placed in MORE trees of their own hash functions as well,
-at depth DEPTH at once, where nodes of any size are compared: at 0.8 these miss a pair with
-(1 - 0.8**6)**48 = 5e-7. Whatever nodes a pair passes, it is missed with 1.1e-6 at most.
+A document is the set of its distinct word shingles, kept as 64-bit hashes; equal sets are one node
+from the start. In each of TREES independent trees a set is followed down the path of its smallest
+shingles under one hash function after another (its minwise tokens). Sets at the same place of a tree
+make a node. A node of at most SMALL sets is compared exhaustively; a larger one is never brought
+together: its sets branch by the next token, down to DEPTH tokens, and what is still together then is
+handled as described below. Two sets of similarity s meet at depth d of a tree with probability s**d;
+at the threshold 0.8 and the start depth of 3 all 20 trees miss a pair with probability 6e-7. A large
+node compares nothing, so a pair that meets there has to stay together further down. Sets of large
+nodes of depth START that are not yet of one component are therefore placed in MORE trees of their own
+hash functions as well, at depth DEPTH at once, where nodes of any size are compared: at 0.8 these
+miss a pair with (1 - 0.8**6)**48 = 5e-7. Whatever nodes a pair passes, it is missed with 1.1e-6 at most.
 
 Within a node pairs are first held against sketches of one bit for each hash function. A pair
 at the threshold agrees on 108 of 120 bits with a deviation of 3.3, and is let through from 88
-on. Pairs let through are confirmed on the full sets of shingle hashes (64 bits).
-
-A node gives the join at most one pair for each of its sets: the first set before it that the
-sketches let through. A node that stays large through all tokens holds sets that are nearly
-all alike, and gives the links between neighbours and to its first set. When these links are
-confirmed, nodes that still hold let-through pairs of different components follow: their sets
-are compared exhaustively, each time skipping what the node has joined by then. Links inside a
-component would change nothing, so none that matters is lost, and the links written grow with
-the number of sets rather than of pairs. A large node is compared in blocks of BLOCK sets.
+on. Pairs let through are confirmed on the full sets.
+
+Links come in waves, so that a group of copies does not bring a link for each set and tree. A node gives
+at most one pair for each of its sets: the first set before it that the sketches let through. The pairs
+of the first FIRST trees are confirmed and give components; of the pairs of the other trees only those
+between different components are confirmed. At last come the nodes that still hold let-through pairs of
+different components: their sets are compared exhaustively, each time skipping what the node has joined
+by then. Links inside a component would change nothing, so none that matters is lost. A node of more than
+BLOCK sets is dealt out in pairs of blocks, without those that hold its largest component alone.
 """
 
 from __future__ import annotations
@@ -36,16 +36,22 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tidewell.llm.common import ROW, arrow_rows, drop_stored, first_of_groups, stored, with_rows
-from tidewell.llm.components import components
+from tidewell.llm.components import components, extended
 
 TREES, START, DEPTH, SMALL = 20, 3, 6, 32
+#: Trees whose links are confirmed first.
+FIRST = 3
 #: Further trees, from depth DEPTH on, for sets of large nodes.
 MORE = 48
 BITS = TREES * DEPTH
 AGREE = 88
 BLOCK = 1_024
-#: Ids of documents to be confirmed are broadcast up to this many (8 bytes each), else joined.
-BROADCAST_IDS = 2_000_000
+#: Bytes of full sets, and common values of them, that are compared at a time.
+UNIT_BYTES, SPOTS = 32 << 20, 1 << 22
+#: Ids, places and labels are broadcast up to this many (8 or 16 bytes each), else joined.
+BROADCAST_IDS = 500_000
+#: Rows without texts or sets that Python functions get at a time.
+NARROW_ROWS = 10_000
 
 _U = np.uint64
 _rng = np.random.default_rng(20)
@@ -140,11 +146,17 @@ def _more_places(batches):
             path = mix(path * _U(31) + tokens[:, :, d])
         bits = np.frombuffer(b"".join(x.ljust(16, b"\0") for x in batch.column("bits").to_pylist()), np.int64).reshape(n, 2)
         each = pa.array(np.repeat(np.arange(n), MORE))
-        yield pa.RecordBatch.from_arrays([pa.array(path.ravel().view(np.int64)), batch.column("id").take(each), batch.column("n").take(each), pa.array(np.repeat(bits[:, 0], MORE)), pa.array(np.repeat(bits[:, 1], MORE))], _PLACE[:5])
+        yield pa.RecordBatch.from_arrays([pa.array(path.ravel().view(np.int64)), batch.column("id").take(each), batch.column("n").take(each), pa.array(np.repeat(bits[:, 0], MORE)), pa.array(np.repeat(bits[:, 1], MORE))], _PLACE)
+
+
+_PLACE = ["path", "id", "n", "s0", "s1"]
+_NEXT = [f"t{d}" for d in range(START, DEPTH)]
 
 
 def _places(batches):
-    """A row for each tree: where the set stands at depth START, and its further tokens."""
+    """A row for each tree: where the set stands at depth START, and its further tokens. The lowest bit
+    of a path tells the wave of its tree."""
+    late_tree = np.arange(TREES, dtype=np.uint64) >= FIRST
     for batch in batches:
         n = batch.num_rows
         if not n:
@@ -153,14 +165,12 @@ def _places(batches):
         path = np.broadcast_to(np.arange(TREES, dtype=np.uint64)[None, :], (n, TREES)).copy()
         for d in range(START):
             path = mix(path * _U(31) + tokens[:, :, d])
+        path = path & ~_U(1) | late_tree.astype(np.uint64)
         bits = np.frombuffer(b"".join(x.ljust(16, b"\0") for x in batch.column("bits").to_pylist()), np.int64).reshape(n, 2)
         rest = tokens[:, :, START:].reshape(n * TREES, DEPTH - START).view(np.int32)
         each = pa.array(np.repeat(np.arange(n), TREES))
         columns = [pa.array(path.ravel().view(np.int64)), batch.column("id").take(each), batch.column("n").take(each), pa.array(np.repeat(bits[:, 0], TREES)), pa.array(np.repeat(bits[:, 1], TREES))]
-        yield pa.RecordBatch.from_arrays(columns + [pa.array(np.ascontiguousarray(rest[:, d])) for d in range(DEPTH - START)], _PLACE)
-
-
-_PLACE = ["path", "id", "n", "s0", "s1"] + [f"t{d}" for d in range(START, DEPTH)]
+        yield pa.RecordBatch.from_arrays(columns + [pa.array(np.ascontiguousarray(rest[:, d])) for d in range(DEPTH - START)], _PLACE + _NEXT)
 
 
 def _agree(s: np.ndarray, t: np.ndarray) -> np.ndarray:
@@ -175,10 +185,13 @@ def _like(n: np.ndarray, s: np.ndarray, a: np.ndarray, b: np.ndarray, ratio: tup
     return ok
 
 
-def _sorted_batches(batches):
-    """Batches of the sorted rows, cut so that no small node is torn: yields the arrays, and for
-    each row whether its node is known to be large (its rows may come in several batches)."""
-    held, open_path = None, None
+def _sketches(table: pa.Table) -> tuple[np.ndarray, np.ndarray]:
+    return table.column("n").to_numpy(), np.stack([table.column("s0").to_numpy(), table.column("s1").to_numpy()], 1)
+
+
+def _nodes(batches):
+    """Rows sorted by path in tables that tear no node."""
+    held = None
     for batch in batches:
         if not batch.num_rows:
             continue
@@ -186,37 +199,32 @@ def _sorted_batches(batches):
         table = table if held is None else pa.concat_tables([held, table]).combine_chunks()
         path = table.column("path").to_numpy()
         last = int(np.searchsorted(path, path[-1], "left"))
-        if len(path) - last > SMALL:
-            yield table, open_path
-            held, open_path = None, path[-1]
-        else:
-            if last:
-                yield table.slice(0, last), open_path
-            held = table.slice(last)
+        if last:
+            yield table.slice(0, last)
+        held = table.slice(last)
     if held is not None:
-        yield held, open_path
+        yield held
 
 
-def _branch(depth: int, ratio: tuple[int, int]):
-    """The nodes at one depth: pairs (a, b); rows of the large ones, one token further; and, with
-    late set, the rows of nodes that have more to compare."""
-    names = ["a", "b", *_PLACE, "late"]
+def _found(table: pa.Table, a: np.ndarray, b: np.ndarray) -> pa.RecordBatch:
+    """Pairs of rows of a table as (path, a, b), beside empty columns of a place."""
+    ids = table.column("id").combine_chunks()
+    none = [pa.nulls(len(a), table.schema.field(c).type) for c in _PLACE[1:]]
+    return pa.RecordBatch.from_arrays([table.column("path").combine_chunks().take(pa.array(a)), ids.take(pa.array(a)), ids.take(pa.array(b)), *none], ["path", "a", "b", *_PLACE[1:]])
 
-    def branch(batches):
-        for table, open_path in _sorted_batches(batches):
+
+def _small_nodes(ratio: tuple[int, int]):
+    """Nodes of at most SMALL sets: pairs (path, a, b), and the rows of nodes that have more to compare."""
+
+    def compare(batches):
+        for table in _nodes(batches):
             path = table.column("path").to_numpy()
             start = np.flatnonzero(np.concatenate(([True], path[1:] != path[:-1])))
             size = np.diff(np.concatenate((start, [len(path)])))
-            large = (size > SMALL) | (np.zeros(len(start), bool) if open_path is None else path[start] == open_path)
-            n, s = table.column("n").to_numpy(), np.stack([table.column("s0").to_numpy(), table.column("s1").to_numpy()], 1)
+            n, s = _sketches(table)
             lefts, rights, late = [], [], np.zeros(len(path), bool)
-
-            def add(a, b, ok):
-                lefts.append(a[ok])
-                rights.append(b[ok])
-
             for k in range(2, SMALL + 1):
-                chosen = start[(size == k) & ~large]
+                chosen = start[size == k]
                 i, j = np.triu_indices(k, 1)
                 for c in range(0, len(chosen), 20_000):
                     at = chosen[c : c + 20_000]
@@ -225,80 +233,91 @@ def _branch(depth: int, ratio: tuple[int, int]):
                     for y in range(1, k):
                         own = ok[:, j == y]
                         some = own.any(1)
-                        add(at + own.argmax(1), at + y, some)
+                        lefts.append((at + own.argmax(1))[some])
+                        rights.append((at + y)[some])
                         given += some
                     more = at[ok.sum(1) > given]
                     late[(more[:, None] + np.arange(k)).ravel()] = True
-            inside = np.flatnonzero(np.repeat(large, size))
-            if depth == DEPTH and len(inside):
-                late[inside] = True
-                heads = np.repeat(start, size)[inside]
-                for a, b in ((inside[:-1], inside[1:]), (heads, inside)):
-                    same = (path[a] == path[b]) & (a != b)
-                    add(a[same], b[same], _like(n, s, a[same], b[same], ratio))
             if lefts and sum(map(len, lefts)):
-                ids = table.column("id")
-                pairs = [ids.take(pa.array(np.concatenate(x))).combine_chunks() for x in (lefts, rights)]
-                m = len(pairs[0])
-                yield pa.RecordBatch.from_arrays([*pairs, *[pa.nulls(m, table.schema.field(c).type) for c in _PLACE], pa.nulls(m, pa.bool_())], names)
-            for rows, is_late in ((inside if depth < DEPTH else inside[:0], False), (np.flatnonzero(late), True)):
-                if not len(rows):
-                    continue
-                rest = table.take(pa.array(rows)).combine_chunks()
-                if not is_late:
-                    token = rest.column(f"t{depth}").to_numpy().view(np.uint32)
-                    further = mix(rest.column("path").to_numpy().view(np.uint64) * _U(31) + token)
-                    rest = rest.set_column(0, "path", pa.array(further.view(np.int64)))
-                for b in rest.to_batches():
-                    none = pa.nulls(b.num_rows, table.schema.field("id").type)
-                    yield pa.RecordBatch.from_arrays([none, none, *b.columns, pa.array(np.full(b.num_rows, is_late))], names)
+                yield _found(table, np.concatenate(lefts), np.concatenate(rights))
+            if late.any():
+                rest = table.select(_PLACE).filter(pa.array(late)).combine_chunks()
+                none = pa.nulls(rest.num_rows, table.schema.field("id").type)
+                yield pa.RecordBatch.from_arrays([rest.column("path").chunk(0), none, none, *(rest.column(c).chunk(0) for c in _PLACE[1:])], ["path", "a", "b", *_PLACE[1:]])
+
+    return compare
+
 
-    return branch
+def _neighbours(ratio: tuple[int, int]):
+    """Rows of large nodes, sorted by path and sketch: pairs of each row with the one before it and with
+    the first of its run of SMALL rows, and of such firsts. Nothing depends on where a batch ends but
+    which of these pairs there are."""
+
+    def link(batches):
+        last = None
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            table = pa.Table.from_batches([batch])
+            table = (table if last is None else pa.concat_tables([last, table])).combine_chunks()
+            last = table.slice(table.num_rows - 1)
+            path, at = table.column("path").to_numpy(), np.arange(table.num_rows)
+            begin = np.maximum.accumulate(np.where(np.concatenate(([True], path[1:] != path[:-1])), at, 0))
+            first = begin + (at - begin) // SMALL * SMALL
+            before = np.where(first == at, at - SMALL, at - 1)
+            a, b = np.concatenate([np.maximum(at - 1, 0), first, np.maximum(before, begin)]), np.tile(at, 3)
+            ok = (a != b) & (path[a] == path[b])
+            a, b = np.unique(np.stack([a[ok], b[ok]]), axis=1)
+            ok = _like(*_sketches(table), a, b, ratio) if len(a) else np.zeros(0, bool)
+            if ok.any():
+                yield _found(table, a[ok], b[ok]).select(["path", "a", "b"])
+
+    return link
 
 
 def _open_rows(ratio: tuple[int, int]):
-    """Of late nodes, the rows that have a let-through pair in another component: (node, id,
-    label). Of a node of more than BLOCK rows all of different components count; it is dealt
-    out in pairs of blocks, without those that hold its largest component alone."""
+    """Of late nodes, the rows that have a let-through pair in another component: (path, id, label).
+    They are cut into units of sets of about UNIT_BYTES; a node of several gives pairs of them."""
 
     def choose(batches):
-        for table in _whole_nodes(batches):
-            label = table.column("label").combine_chunks().dictionary_encode().indices.to_numpy()
-            if label.max(initial=0) == 0:
-                continue
-            m, path = len(label), int(table.column("path")[0].as_py())
-            if m <= BLOCK:
-                n, s = table.column("n").to_numpy(), np.stack([table.column("s0").to_numpy(), table.column("s1").to_numpy()], 1)
-                open_ = np.zeros(m, bool)
-                for i in range(m - 1):
-                    b = i + 1 + np.flatnonzero(label[i + 1 :] != label[i])
-                    ok = b[_like(n, s, np.full(len(b), i), b, ratio)]
+        for table in _nodes(batches):
+            path = table.column("path").to_numpy()
+            cuts = [*np.flatnonzero(np.concatenate(([True], path[1:] != path[:-1]))), len(path)]
+            labels = table.column("label").combine_chunks().dictionary_encode().indices.to_numpy()
+            n, s = _sketches(table)
+            rows, units = [], []
+            for x, y in zip(cuts, cuts[1:]):
+                if (labels[x:y] == labels[x]).all():
+                    continue
+                open_ = np.zeros(y - x, bool)
+                for i in range(x, y - 1):
+                    b = i + 1 + np.flatnonzero(labels[i + 1 : y] != labels[i])
+                    ok = b[_like(n, s, np.full(len(b), i), b, ratio)] - x
                     open_[ok] = True
-                    open_[i] |= len(ok) > 0
-                units = [(path, np.flatnonzero(open_))]
-            else:
-                counts = np.bincount(label)
-                order = np.argsort(label == counts.argmax(), kind="stable")
-                minor = m - counts.max()
-                blocks = [order[x : x + BLOCK] for x in range(0, m, BLOCK)]
-                units = []
-                for x in range(-(-int(minor) // BLOCK)):
-                    for y in range(x, len(blocks)):
-                        unit = (path * 1_000_003 + x * 65_537 + y * 257 + 1) % (1 << 64)
-                        units.append((unit - (1 << 64) if unit >= 1 << 63 else unit, blocks[x] if x == y else np.concatenate([blocks[x], blocks[y]])))
-            for unit, rows in units:
-                if len(rows) > 1:
-                    take = table.select(["id", "label"]).take(pa.array(rows)).combine_chunks()
-                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(rows), unit)), take.column("id").chunk(0), take.column("label").chunk(0)], ["path", "id", "label"])
+                    open_[i - x] |= len(ok) > 0
+                own = x + np.flatnonzero(open_)
+                own = own[np.argsort(n[own], kind="stable")]
+                part = np.cumsum(n[own] * 8) // UNIT_BYTES
+                parts = [own[part == v] for v in np.unique(part)]
+                for u in range(len(parts)):
+                    for v in range(u if len(parts) == 1 else u + 1, len(parts)):
+                        if u != v and v > u + 1 and n[parts[u]].max() * ratio[1] < n[parts[v]].min() * ratio[0]:
+                            continue
+                        both = parts[u] if u == v else np.concatenate([parts[u], parts[v]])
+                        rows.append(both)
+                        units.append(np.full(len(both), mix(np.array([path[x]], np.int64).view(np.uint64) + _U(u * 65_537 + v))[0]))
+            if rows and sum(map(len, rows)):
+                take = table.select(["id", "label"]).take(pa.array(np.concatenate(rows))).combine_chunks()
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(units).view(np.int64)), take.column("id").chunk(0), take.column("label").chunk(0)], ["path", "id", "label"])
 
     return choose
 
 
 def _exhaust(ratio: tuple[int, int]):
-    """Compares the sets of each node; gives the links that join components."""
+    """Compares the sets of each unit; gives the links that join components."""
 
     def exhaust(batches):
-        for table in _whole_nodes(batches):
+        for table in _single_nodes(batches):
             ids, sets = table.column("id"), [np.frombuffer(x, np.uint64) for x in table.column("set").to_pylist()]
             label = table.column("label").combine_chunks().dictionary_encode().indices.to_numpy().copy()
             sizes = np.array([len(x) for x in sets])
@@ -309,11 +328,14 @@ def _exhaust(ratio: tuple[int, int]):
             holders, at = owner[by], np.concatenate(([0], np.cumsum(sizes)))
             left, right = [], []
             for i in range(len(sets)):
-                # How many of set i's values every other set holds.
+                # How many of set i's values every other set holds, of so many values at a time that they have about SPOTS holders.
                 own = codes[at[i] : at[i + 1]]
                 width = begin[own + 1] - begin[own]
-                spots = np.repeat(begin[own] - (np.cumsum(width) - width), width) + np.arange(width.sum())
-                both = np.bincount(holders[spots], minlength=len(sets))
+                both, part = np.zeros(len(sets), np.int64), np.cumsum(width) // SPOTS
+                for x in np.unique(part):
+                    o, w = own[part == x], width[part == x]
+                    spots = np.repeat(begin[o] - (np.cumsum(w) - w), w) + np.arange(w.sum())
+                    both += np.bincount(holders[spots], minlength=len(sets))
                 for j in np.flatnonzero((both * ratio[1] >= ratio[0] * (sizes + sizes[i] - both)) & (label != label[i])):
                     if label[j] != label[i]:
                         left.append(i)
@@ -325,7 +347,7 @@ def _exhaust(ratio: tuple[int, int]):
     return exhaust
 
 
-def _whole_nodes(batches):
+def _single_nodes(batches):
     held = None
     for batch in batches:
         if not batch.num_rows:
@@ -364,18 +386,21 @@ def _confirm(ratio: tuple[int, int]):
     return confirm
 
 
+def _if_small(df: DataFrame) -> DataFrame:
+    """A stored table of keys, to be broadcast if it has at most BROADCAST_IDS rows."""
+    return F.broadcast(df) if df.count() <= BROADCAST_IDS else df
+
+
 def sets_of(docs: DataFrame, asked: DataFrame, words: int) -> DataFrame:
     """(id, set) of the documents (id, text) that asked names."""
-    asked = stored(asked.select("id").distinct())
-    wanted = F.broadcast(asked) if asked.count() <= BROADCAST_IDS else asked
+    wanted = _if_small(stored(asked.select("id").distinct()))
     id_type = docs.schema["id"].dataType.simpleString()
     return stored(docs.join(wanted, "id", "left_semi").mapInArrow(_sets(words), f"id {id_type}, set binary"), "sets")
 
 
 def confirmed(pairs: DataFrame, docs: DataFrame, words: int, ratio: tuple[int, int]) -> DataFrame:
-    """The pairs (a, b) of ids whose full sets are similar enough. docs: (id, text)."""
+    """The pairs (a, b) of ids whose full sets are similar enough. pairs: stored, distinct; docs: (id, text)."""
     id_type = docs.schema["id"].dataType.simpleString()
-    pairs = stored(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).filter("a != b").distinct())
     sets = sets_of(docs, pairs.select(F.explode(F.array("a", "b")).alias("id")), words)
     left, right = (sets.select(F.col("id").alias(x), F.col("set").alias("s" + x)) for x in "ab")
     both = pairs.join(left, "a").join(right, "b").select("a", "b", "sa", "sb")
@@ -384,66 +409,123 @@ def confirmed(pairs: DataFrame, docs: DataFrame, words: int, ratio: tuple[int, i
     return out
 
 
+def told(rows: DataFrame, labels: DataFrame, id_col: str, label_col: str) -> DataFrame:
+    """rows with label_col, the component of id_col; its own id where labels (node, label) has none."""
+    by = labels.select(F.col("node").alias("_node"), F.col("label").alias("_label"))
+    return rows.join(by, rows[id_col] == by["_node"], "left").withColumn(label_col, F.coalesce("_label", id_col)).drop("_node", "_label")
+
+
+def _apart(rows: DataFrame, path: str) -> DataFrame:
+    """(path, m, top, others) of the places whose rows (path, label) are of several components: rows, the
+    largest component and the rows of all others."""
+    each = rows.groupBy(path, "label").agg(F.count("*").alias("m"))
+    found = each.groupBy(path).agg(F.sum("m").alias("m"), F.max(F.struct("m", "label")).alias("most"), F.count("*").alias("labels")).filter("labels > 1")
+    return found.select(path, "m", F.col("most.label").alias("top"), (F.col("m") - F.col("most.m")).alias("others"))
+
+
+def _blocks(rows: DataFrame, apart: DataFrame) -> DataFrame:
+    """Rows of places that are apart, as (path, id, n, s0, s1, label): places of more than BLOCK rows are
+    dealt out in pairs of blocks of about BLOCK rows each, all but those of the largest component alone."""
+    all_ = rows.join(_if_small(apart), "path")
+    small = all_.filter(F.col("m") <= BLOCK).select(*_PLACE, "label")
+    count = lambda c: F.ceil(c / BLOCK).cast("int")
+    minor, major = count(F.col("others")), count(F.col("m") - F.col("others"))
+    is_top = F.col("label") == F.col("top")
+    big = all_.filter(F.col("m") > BLOCK).select(*_PLACE, "label", is_top.alias("is_top"), minor.alias("minor"), major.alias("major"))
+    big = big.withColumn("own", F.pmod(F.xxhash64("id"), F.when(F.col("is_top"), F.col("major")).otherwise(F.col("minor"))).cast("int"))
+    others = F.sequence(F.lit(0), F.when(F.col("is_top"), F.col("minor")).otherwise(F.col("minor") + F.col("major")) - 1)
+    big = big.withColumn("other", F.explode(others))
+    # Blocks are numbered with the minor ones first.
+    at = F.when(F.col("is_top"), F.col("own") + F.col("minor")).otherwise(F.col("own"))
+    unit = F.xxhash64("path", F.least(at, "other"), F.greatest(at, "other"))
+    return small.unionByName(big.withColumn("path", unit).select(*_PLACE, "label"))
+
+
 def near_groups(docs: DataFrame, words: int = 5, ratio: tuple[int, int] = (8, 10), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per row of docs: id_col, n_shingles, component_id (the smallest id that links
     reach, its own included), kept (it is that one). Sets of `words`-word shingles are linked
     from a similarity of ratio[0] / ratio[1] on. A text without words (null, empty, white space)
     has an empty set and no link. Rows that share an id are one document with several texts:
     each is returned and their links add up. A row without an id is linked only with rows of
-    the same set; alone, its component is null and it is kept. No other column is read."""
+    the same set; alone, its component is null and it is kept. An empty table gives an empty
+    result, texts may be of any length, and no other column is read, whatever its name."""
     with arrow_rows(docs.sparkSession):
         return _near_groups(docs, words, ratio, id_col, text_col)
 
 
 def _near_groups(docs: DataFrame, words: int, ratio: tuple[int, int], id_col: str, text_col: str) -> DataFrame:
-    id_type = docs.schema[id_col].dataType
+    spark, id_type = docs.sparkSession, docs.schema[id_col].dataType
+    name, field = id_type.simpleString(), T.StructField
     texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    schema = T.StructType([T.StructField("id", id_type), T.StructField("n", T.LongType()), T.StructField("print", T.BinaryType()), T.StructField("tokens", T.BinaryType()), T.StructField("bits", T.BinaryType())])
+    schema = T.StructType([field("id", id_type), field("n", T.LongType()), field("print", T.BinaryType()), field("tokens", T.BinaryType()), field("bits", T.BinaryType())])
     signed = stored(texts.mapInArrow(_signatures(words), schema))
     # Equal sets: the smallest id stands for all of them.
     same = stored(signed.filter("print is not null").groupBy("print").agg(F.min("id").alias("rep"), F.count("*").alias("m")).filter("m > 1").drop("m"))
     members = signed.select("id", "n", "print").join(same, "print", "left").select("id", "n", F.coalesce("rep", "id").alias("rep"))
     alone = signed.filter("n > 0 and id is not null").join(same, "print", "left").filter("rep is null or rep = id").select("id", "n", "print", "tokens", "bits")
-    place = T.StructType([T.StructField("path", T.LongType()), T.StructField("id", id_type), T.StructField("n", T.LongType()), T.StructField("s0", T.LongType()), T.StructField("s1", T.LongType()), *[T.StructField(f"t{d}", T.IntegerType()) for d in range(START, DEPTH)]])
-    both = T.StructType([T.StructField("a", id_type), T.StructField("b", id_type), *place, T.StructField("late", T.BooleanType())])
-    rows, pairs, late, crowded = alone.select("id", "n", "tokens", "bits").mapInArrow(_places, place), None, None, None
-    for depth in range(START, DEPTH + 1):
-        node = stored(rows.repartition("path").sortWithinPartitions("path", "s0", "s1", "id").mapInArrow(_branch(depth, ratio), both))
-        found, open_ = node.filter("a is not null").select("a", "b"), node.filter("late").select("path", "id", "n", "s0", "s1")
-        pairs = found if pairs is None else pairs.unionByName(found)
-        late = open_ if late is None else late.unionByName(open_)
-        rows = node.filter("not late").select(*_PLACE)
-        if not rows.take(1):
-            break
-        if crowded is None:
-            crowded = stored(rows.select("id").distinct())
+    place = [field("path", T.LongType()), field("id", id_type), *[field(c, T.LongType()) for c in _PLACE[2:]]]
+    linked = T.StructType([place[0], field("a", id_type), field("b", id_type), *place[1:]])
+
+    def union(all_: list[DataFrame]) -> DataFrame:
+        out = all_[0]
+        for df in all_[1:]:
+            out = out.unionByName(df)
+        return out
+
+    with arrow_rows(spark, NARROW_ROWS):
+        rows = alone.select("id", "n", "tokens", "bits").mapInArrow(_places, T.StructType([*place, *[field(c, T.IntegerType()) for c in _NEXT]]))
+        pairs, late, crowded = [], [], None
+        for depth in range(START, DEPTH + 1):
+            large = stored(rows.groupBy("path").agg(F.count("*").alias("m")).filter(F.col("m") > SMALL).select("path"))
+            any_, keys = bool(large.take(1)), _if_small(large)
+            small = rows.join(keys, "path", "left_anti") if any_ else rows
+            node = stored(small.select(_PLACE).repartition("path").sortWithinPartitions("path", "s0", "s1", "id").mapInArrow(_small_nodes(ratio), linked))
+            pairs.append(node.filter("a is not null").select("path", "a", "b"))
+            late.append(node.filter("a is null").select(_PLACE))
+            if not any_:
+                break
+            inside = rows.join(keys, "path", "left_semi")
+            if depth == DEPTH:
+                inside = stored(inside.select(_PLACE))
+                dealt = inside.repartitionByRange("path", "s0", "s1", "id").sortWithinPartitions("path", "s0", "s1", "id")
+                pairs.append(stored(dealt.mapInArrow(_neighbours(ratio), T.StructType(linked.fields[:3]))))
+                late.append(inside)
+                break
+            if depth == START:
+                inside = inside.withColumn("first", F.col("path"))
+            further = F.shiftleft(F.xxhash64("path", f"t{depth}"), 1).bitwiseOR(F.col("path").bitwiseAND(F.lit(1)))
+            rows = stored(inside.withColumn("path", further))
+            crowded = rows.select(F.col("first"), "id") if depth == START else crowded
+    pairs = stored(union(pairs).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), F.col("path").bitwiseAND(F.lit(1)).alias("wave")).filter("a != b").groupBy("a", "b").agg(F.min("wave").alias("wave")))
+    labels = components(confirmed(pairs.filter("wave = 0").select("a", "b"), texts, words, ratio))
+    # From here on only what lies between components counts.
+    rest = told(told(pairs.filter("wave = 1").select("a", "b"), labels, "a", "la"), labels, "b", "lb").filter("la != lb").select("a", "b")
+    labels = extended(labels, confirmed(stored(rest), texts, words, ratio))
     if crowded is not None:
-        asked = F.broadcast(crowded) if crowded.count() <= BROADCAST_IDS else crowded
-        tokens = texts.join(asked, "id", "left_semi").mapInArrow(_more_tokens(words), f"id {id_type.simpleString()}, print binary, tokens binary")
+        among = stored(told(crowded, labels, "id", "label"))
+        asked = among.join(_if_small(stored(_apart(among, "first").select("first"))), "first", "left_semi").select("id").distinct()
+        tokens = texts.join(_if_small(stored(asked)), "id", "left_semi").mapInArrow(_more_tokens(words), f"id {name}, print binary, tokens binary")
         # Rows that repeat id and set have the same tokens.
         tokens = stored(tokens).dropDuplicates(["id", "print"])
-        more = tokens.join(alone.select("id", "n", "print", "bits").distinct(), ["id", "print"]).select("id", "n", "tokens", "bits").mapInArrow(_more_places, T.StructType(place.fields[:5]))
-        # The links found so far join most of these nodes, so they are only searched for what is left.
-        late = late.unionByName(stored(more))
-    links = confirmed(pairs, texts, words, ratio)
-    labels = components(links)
-    if late.take(1):
-        name = id_type.simpleString()
-        told = late.join(labels, late.id == labels.node, "left").withColumn("label", F.coalesce("label", "id")).select("path", "id", "n", "s0", "s1", "label")
-        told = told.repartition("path").sortWithinPartitions("path", "label", "id")
-        nodes = stored(told.mapInArrow(_open_rows(ratio), f"path long, id {name}, label {name}"))
+        more = tokens.join(alone.select("id", "n", "print", "bits").distinct(), ["id", "print"]).select("id", "n", "tokens", "bits")
+        late.append(stored(more.mapInArrow(_more_places, T.StructType(place))))
+    left = stored(told(union(late), labels, "id", "label"), "late")
+    apart = stored(_apart(left, "path"))
+    if apart.take(1):
+        with arrow_rows(spark, NARROW_ROWS):
+            dealt = _blocks(left, apart).repartition("path").sortWithinPartitions("path", "label", "id")
+            nodes = stored(dealt.mapInArrow(_open_rows(ratio), f"path long, id {name}, label {name}"))
         full = nodes.join(sets_of(texts, nodes, words), "id").select("path", "id", "label", "set")
         full = full.repartition("path").sortWithinPartitions("path", "label", "id")
-        found = stored(full.mapInArrow(_exhaust(ratio), f"a {name}, b {name}"))
-        if found.take(1):
-            labels = components(links.unionByName(found))
+        labels = extended(labels, stored(full.mapInArrow(_exhaust(ratio), f"a {name}, b {name}")))
     out = members.join(labels, members.rep == labels.node, "left").select("id", "n", F.coalesce("label", "rep").alias("c"))
     return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.col("c").alias("component_id"), F.col("id").eqNullSafe(F.col("c")).alias("kept"))
 
 
 def drop_near_copies(docs: DataFrame, words: int = 5, ratio: tuple[int, int] = (8, 10), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """docs with one row of each component: the one with the smallest id. Each row is a document of its
-    own here, whatever its id. Texts without words are kept."""
+    """docs with one row of each component: the one with the smallest id, of equal ids any one; rows without
+    an id come last. Each row is a document of its own here, whatever its id. Texts without words (null,
+    empty) are kept, and of an empty table nothing is left. Other columns stay as they are."""
     rows = with_rows(docs)
     groups = stored(near_groups(rows, words, ratio, ROW, text_col).select(ROW, F.col("component_id").alias("group")))
     return first_of_groups(rows, groups, id_col)
