@@ -1,8 +1,11 @@
+from pathlib import Path
+
 import pyarrow as pa
 import pyarrow.fs as pafs
+import pytest
 from pyspark.sql import functions as F
 
-from tidewell.llm.common import LISTING, TableWriter, arrow_rows, drop_stored, new_path, shared_dir, stored
+from tidewell.llm.common import LISTING, TableWriter, arrow_rows, drop_stored, new_path, shared_dir, stored, tidy
 
 
 def test_table_round_trip(spark):
@@ -29,6 +32,21 @@ def test_only_listed_files_are_read(spark):
     assert listed == kept.names and lost.names[0] not in listed
 
 
+def test_tables_are_removed(spark):
+    with tidy(spark) as kept:
+        a, b = stored(spark.range(5)), stored(spark.range(6))
+        kept.append(b)
+    exists = lambda df: pafs.FileSystem.from_uri(f := df.inputFiles()[0].replace("file:///", "/"))[0].get_file_info(f).type != pafs.FileType.NotFound
+    assert not exists(a) and exists(b) and b.count() == 6
+
+
+def test_failed_writes_leave_nothing(spark):
+    before = {p.name for p in Path(shared_dir(spark).removeprefix("file://"), "tidewell").glob("*")}
+    with pytest.raises(Exception):
+        stored(spark.range(10).withColumn("x", F.raise_error(F.lit("no"))))
+    assert {p.name for p in Path(shared_dir(spark).removeprefix("file://"), "tidewell").glob("*")} == before
+
+
 def test_session_settings(spark):
     key = "spark.sql.execution.arrow.maxRecordsPerBatch"
     before = spark.conf.get(key)

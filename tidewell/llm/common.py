@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import contextlib
+import re
 import tempfile
 import uuid
 from dataclasses import dataclass
@@ -20,9 +21,11 @@ LISTING, GROUP_BYTES = "_files", 8 << 20
 
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: spark.checkpoint.dir, or, where that is
-    unset (tests on one machine), a temporary folder made once per session."""
+    unset and all runs in one process (tests), a temporary folder made once per session."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("tidewell.shared.dir", None)
     if not found:
+        if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir has to name a folder that the driver and all executors share")
         found = "file://" + tempfile.mkdtemp(prefix="tidewell-")
         spark.conf.set("tidewell.shared.dir", found)
     return found.rstrip("/")
@@ -72,7 +75,9 @@ class TableWriter(DataSourceArrowWriter):
             f.write("\n".join(n for m in messages if m for n in m.names).encode())
 
     def abort(self, messages):
-        pass
+        fs, root = pafs.FileSystem.from_uri(self.path)
+        if fs.get_file_info(root).type != pafs.FileType.NotFound:
+            fs.delete_dir(root)
 
 
 class TableSource(DataSource):
@@ -84,11 +89,16 @@ class TableSource(DataSource):
         return TableWriter(self.options)
 
 
+#: The folders of the tables that stored() has made.
+_made: list[str] = []
+
+
 def stored(df: DataFrame, name: str = "table") -> DataFrame:
     """Cuts the lineage: writes df as Parquet into the shared folder and reads it back. Where pyarrow
     does not reach the folder, Spark's own writer is used."""
     spark = df.sparkSession
     path = new_path(spark, name)
+    _made.append(path)
     try:
         fs, root = pafs.FileSystem.from_uri(path)
     except Exception:
@@ -103,12 +113,27 @@ def stored(df: DataFrame, name: str = "table") -> DataFrame:
 
 def drop_stored(df: DataFrame) -> None:
     """Removes the files of a table made by stored(), once nothing will read it again."""
-    spark = df.sparkSession
-    jvm = spark.sparkContext._jvm
     for f in df.inputFiles()[:1]:
-        path = jvm.org.apache.hadoop.fs.Path(f).getParent()
-        if "/tidewell/" in path.toString():
-            path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+        _remove(df.sparkSession, f.rsplit("/", 1)[0])
+
+
+def _remove(spark: SparkSession, folder: str) -> None:
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+    if "/tidewell/" in path.toString():
+        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
+@contextlib.contextmanager
+def tidy(spark: SparkSession):
+    """Gives a list. At the end the tables that were stored within are removed, but for those that the
+    DataFrames in the list read."""
+    before, kept = len(_made), []
+    yield kept
+    used = {f.rsplit("/", 1)[0].rsplit("/", 1)[1] for df in kept for f in df.inputFiles()}
+    for folder in _made[before:]:
+        if folder.rsplit("/", 1)[1] not in used:
+            _remove(spark, folder)
+    del _made[before:]
 
 
 #: The column of with_rows().
