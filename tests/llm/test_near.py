@@ -1,8 +1,11 @@
 import random
 import re
 
-from tidewell.llm.components import components
-from tidewell.llm.near_dedup import drop_near_copies, near_groups
+import numpy as np
+
+from tidewell.llm.common import stored
+from tidewell.llm.components import components, extended
+from tidewell.llm.near_dedup import _apart, _blocks, drop_near_copies, near_groups
 
 
 def shingles(text, k):
@@ -75,6 +78,10 @@ def test_components(spark):
     links = [(i, i + 1) for i in range(0, 60)] + [(100, 105), (105, 103), (7, 7)]
     got = {r.node: r.label for r in components(spark.createDataFrame(links, "a long, b long")).collect()}
     assert all(got[i] == 0 for i in range(61)) and got[103] == got[105] == 100
+    more = spark.createDataFrame([(200, 60), (300, 301)], "a long, b long")
+    got = {r.node: r.label for r in extended(components(spark.createDataFrame(links, "a long, b long")), more).collect()}
+    assert got[200] == got[60] == got[1] == 0 and got[301] == got[300] == 300 and got[105] == 100
+    assert components(more.limit(0)).count() == 0
 
 
 def crowd(groups, pairs, seed, core=71, own=9):
@@ -90,6 +97,59 @@ def crowd(groups, pairs, seed, core=71, own=9):
     return rows
 
 
+def test_one_group_of_thousands(docs_of):
+    """A late node of more than BLOCK sets of different components: dealt out in pairs of blocks. Every isolated link
+    of exactly 0.8 that is missed lowers the recall."""
+    rows = crowd(1, 1_500, 2)
+    got = {r.doc_id: r.component_id for r in near_groups(docs_of(rows), 1).collect()}
+    found = sum(got[i + 1] == i for i in range(0, 3_000, 2))
+    print(f"recall in a group of 3,000: {found} of 1500")
+    assert found >= 0.995 * 1_500 and all(got[i] in (i, i - i % 2) for i in got)
+
+
+def test_one_component_of_thousands(docs_of):
+    """Near copies of one text bring few links for each set."""
+    rnd = random.Random(5)
+    base = [f"b{i}" for i in range(120)]
+    rows = [(i, " ".join(w if rnd.random() > 0.02 else f"x{i}" for w in base)) for i in range(2_500)] + [(9_000 + i, " ".join(f"o{i}w{j}" for j in range(40))) for i in range(50)]
+    got = {r.doc_id: r.component_id for r in near_groups(docs_of(rows), 1).collect()}
+    sets = {i: shingles(t, 1) for i, t in rows}
+    assert all(got[i] == i for i in got if i >= 9_000)
+    assert sum(got[i] == 0 for i in range(2_500)) >= 2_490
+    for i in range(1, 2_500):
+        if got[i] != 0:
+            assert max(len(sets[i] & sets[j]) / len(sets[i] | sets[j]) for j in range(2_500) if j != i and got[j] != got[i]) < 0.8
+
+
+def test_blocks_meet_once(spark):
+    """Every pair of rows of different components is together in exactly one of the places that _blocks gives."""
+    rows = [(1, i, 5, 0, 0, 0 if i < 1_500 else i) for i in range(3_200)] + [(2, i, 5, 0, 0, i) for i in range(4)] + [(3, i, 5, 0, 0, 7) for i in range(9)]
+    left = spark.createDataFrame(rows, "path long, id long, n long, s0 long, s1 long, label long")
+    apart = stored(_apart(left, "path"))
+    assert {r.path for r in apart.collect()} == {1, 2}
+    places = {}
+    for r in _blocks(left, apart).collect():
+        places.setdefault(r.path, []).append((r.id, r.label))
+    assert sorted(places[2]) == [(i, i) for i in range(4)]
+    seen = np.zeros((3_200, 3_200), np.int8)
+    for path, own in places.items():
+        if path != 2:
+            ids = np.array([i for i, _ in own])
+            assert len(ids) == len(set(ids.tolist())) and len(ids) < 3 * 1_024
+            seen[np.ix_(ids, ids)] += 1
+    minor = np.arange(3_200) >= 1_500
+    one_block = (seen > 1) & minor[:, None] & minor[None, :]
+    assert (seen[minor] >= 1).all() and (seen[:, minor] >= 1).all() and not (one_block & (seen < 1)).any()
+
+
+def test_very_long_text(docs_of):
+    rnd = random.Random(4)
+    words = [f"w{rnd.randrange(50_000)}" for _ in range(300_000)]
+    other = words[:280_000] + [f"v{i}" for i in range(20_000)]
+    got = {r.doc_id: r.component_id for r in near_groups(docs_of([(1, " ".join(words)), (2, " ".join(other)), (3, "w1 w2 w3")]), 5).collect()}
+    assert got == {1: 1, 2: 1, 3: 3}
+
+
 def test_isolated_links_in_large_nodes(docs_of):
     rows = crowd(40, 50, 1)
     got = {r.doc_id: r.component_id for r in near_groups(docs_of(rows), 1).collect()}
