@@ -21,22 +21,22 @@ def content(text: str | None) -> np.ndarray:
     return out
 
 
-def layout(text: str | None, names: tuple[object, ...], size: int | None) -> np.ndarray:
-    """What is known about a page besides its words: hashed names (language, source), the size that
-    the table gives, and shares of lines, capitals, digits and signs."""
+#: Places of hashed names, and of sizes by their power of 2.
+NAMES, SIZES = 64, 40
+
+
+def metadata(names: tuple[str | None, ...], size: int | None) -> np.ndarray:
+    """What the table says about a document: its hashed names (language, source) and its size. A null name has
+    a place of its own, a null size none."""
     import xxhash
 
-    out = np.zeros(64 + 12, np.float32)
+    out = np.zeros(NAMES + SIZES + 2, np.float32)
     for i, n in enumerate(names):
-        out[xxhash.xxh32_intdigest(f"{i}={n}".encode()) % 64] = 1
-    raw = np.frombuffer((text or "").encode("utf-8", "replace"), np.uint8)
-    n = max(1, len(raw))
-    counts = np.bincount(raw, minlength=256)
-    letters = counts[65:91].sum() + counts[97:123].sum()
-    out[64:] = (
-        np.log1p(max(0, size or 0)) / 12, np.log1p(len(raw)) / 12, np.sqrt(counts[10] / n), counts[32] / n * 2, counts[65:91].sum() / max(1, letters), np.sqrt(counts[48:58].sum() / n),
-        np.sqrt((counts[33:48].sum() - counts[44] - counts[46]) / n), np.sqrt(counts[[44, 46]].sum() / n), np.sqrt((counts[58:65].sum() + counts[91:97].sum() + counts[123:127].sum()) / n), counts[128:].sum() / n * 2, np.sqrt(counts[:9].sum() / n), 1.0,
-    )
+        out[xxhash.xxh32_intdigest(f"{i}={n}".encode()) % NAMES] = 1
+    if size is not None:
+        out[NAMES + min(SIZES - 1, int(max(0, size)).bit_length())] = 1
+        out[-2] = np.log1p(max(0, size)) / 12
+    out[-1] = 1
     return out
 
 

@@ -1,21 +1,25 @@
 """Quality classification by co-training.
 
-Two classifiers see a document from two sides: one its text (byte pairs, words), the other its
-metadata (language, source, size, layout). Both learn from labelled rows; then, for ROUNDS rounds,
-each labels the rows of an unlabelled pool that it is surest of, and these join the other one's
-training rows. The views are calibrated on labelled rows that neither has seen. What a view adds to the
-log-odds of the share of good rows is weighted by how far it can be trusted: of WEIGHTS for each
-view the pair with the least log loss on the same rows. The sum scores every document.
+Two classifiers see a document from two sides: one its text (byte pairs, figures of its words), the other
+its metadata, which are columns of the table (language, source, size) and nothing that is read from the
+text. Both learn from labelled rows. Then, for ROUNDS rounds, each scores all rows that have no label, in
+a pass over the whole table, and labels up to GIVEN rows of either class among those it is sure of (those
+with the smallest hashes, so that they are spread over the table); these join the other one's training rows.
+The views are calibrated on labelled rows that neither has seen. What a view adds to the log-odds of the
+share of good rows is weighted by how far it can be trusted: of WEIGHTS for each view the pair with the
+least log loss on the same rows. The sum scores every document.
 
 Toxic rows are a second target, as most of them are of good quality. It is told by words: those WORDS whose
 shares of toxic and other labelled rows differ most surely towards toxic are the features of a logistic model.
 
-The sample that is fitted is bounded: at most LABELLED labelled rows and about POOL others, chosen
-by a hash of the id. Scoring reads every whole text.
+What is fitted is bounded: at most LABELLED labelled rows, chosen by a hash of the id, and the rows that the
+views give each other. Models are fitted in one task, which returns their weights alone. Scoring reads every
+whole text.
 """
 
 from __future__ import annotations
 
+import pickle
 import re
 
 import numpy as np
@@ -25,11 +29,12 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tidewell.llm.common import arrow_rows, stored
-from tidewell.llm.features import content, fit, layout, sigmoid
+from tidewell.llm.features import content, fit, metadata, sigmoid
 
-LABELLED, POOL, ROUNDS, SHARE = 4_000, 4_000, 4, 0.04
-LEAST = 8
-WEIGHTS = (1.0, 0.75, 0.5, 0.25, 0.125, 0.0)
+LABELLED, ROUNDS, GIVEN, SURE = 4_000, 2, 250, 2.0
+#: Every HELD-th labelled row of a class calibrates and the others are fitted.
+HELD = 4
+WEIGHTS = (1.0, 0.75, 0.5, 0.25, 0.125)
 KEEP_FROM = 0.5
 SCORES, CARRIED = ("text_score", "meta_score", "score", "toxic_score"), "_tidewell_scores"
 WORDS, TOXIC_FROM = 64, 0.5
@@ -37,10 +42,10 @@ _WORD = re.compile(r"[^\W\d_]+")
 
 
 def _views(texts, names, sizes) -> tuple[np.ndarray, np.ndarray]:
-    return np.stack([content(t) for t in texts]), np.stack([layout(t, n, s) for t, n, s in zip(texts, names, sizes)])
+    return np.stack([content(t) for t in texts]), np.stack([metadata(n, s) for n, s in zip(names, sizes)])
 
 
-def _odds(x: np.ndarray, w: np.ndarray) -> np.ndarray:
+def log_odds(x: np.ndarray, w: np.ndarray) -> np.ndarray:
     z = x @ w
     return z[:, 1] - z[:, 0]
 
@@ -63,69 +68,123 @@ def _platt(z: np.ndarray, y: np.ndarray) -> tuple[float, float]:
     return float(max(b[0], 0.0)), float(b[1])
 
 
-def co_train(views: tuple[np.ndarray, np.ndarray], y: np.ndarray, pool: tuple[np.ndarray, np.ndarray], rounds: int = ROUNDS):
-    """views, y: labelled rows in order; every fourth of a class calibrates and the rest is fitted.
-    Returns weights, slope and offset of each view, the log-odds of the share of good rows and the
-    weights of the views; or None if a class has fewer than LEAST rows."""
-    if min(y.sum(), len(y) - y.sum()) < LEAST:
-        return None
+def held_out(y: np.ndarray) -> np.ndarray:
+    """Which of the labelled rows, in their order, calibrate: every HELD-th of a class."""
     held = np.zeros(len(y), bool)
     for c in (0, 1):
-        held[np.flatnonzero(y == c)[::4]] = True
-    own = [(v[~held], y[~held].astype(float)) for v in views]
-    share, left = float(y[~held].mean()), np.ones(len(pool[0]), bool)
-
-    def train(x, t):
-        rare = np.where(t > 0.5, 0.5 / max(t.mean(), 1e-6), 0.5 / max(1 - t.mean(), 1e-6))
-        return fit(x, np.stack([1 - t, t], 1), rare)
-
-    models = [train(*o) for o in own]
-    for _ in range(rounds if len(pool[0]) else 0):
-        given = []
-        for view in (0, 1):
-            z = np.where(left, _odds(pool[view], models[view]), np.nan)
-            order = np.argsort(z)[: left.sum()]
-            many = max(1, int(SHARE * len(z)))
-            low, high = order[: max(1, round(many * (1 - share)))], order[::-1][: max(1, round(many * share))]
-            # Only what the view is sure of.
-            low, high = low[z[low] < -2], high[z[high] > 2]
-            given.append((np.concatenate([low, high]), np.concatenate([np.zeros(len(low)), np.ones(len(high))])))
-        for view in (0, 1):
-            rows, labels = given[1 - view]
-            own[view] = (np.concatenate([own[view][0], pool[view][rows]]), np.concatenate([own[view][1], labels]))
-            left[rows] = False
-        models = [train(*o) for o in own]
-    each = [(w, *_platt(_odds(v[held], w), y[held])) for v, w in zip(views, models)]
+        held[np.flatnonzero(y == c)[HELD - 1 :: HELD]] = True
+    return held
+
+
+def train(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """A logistic model in which both classes weigh the same."""
+    rare = np.where(y > 0.5, 0.5 / max(y.mean(), 1e-6), 0.5 / max(1 - y.mean(), 1e-6))
+    return fit(x, np.stack([1 - y, y], 1), rare)
+
+
+def combined(views, models, y: np.ndarray):
+    """Slope and offset of each view, the log-odds of the share of good rows and the weights of the views, from
+    labelled rows (all that there are, where a class has none held out)."""
+    held = held_out(y)
+    if not 0 < y[held].sum() < held.sum():
+        held[:] = True
+    each = [(w, *_platt(log_odds(v[held], w), y[held])) for v, w in zip(views, models)]
     prior = float(np.log(y[held].mean() / (1 - y[held].mean())))
-    odds = np.column_stack([a * _odds(v[held], w) + b - prior for v, (w, a, b) in zip(views, each)])
+    odds = np.column_stack([a * log_odds(v[held], w) + b - prior for v, (w, a, b) in zip(views, each)])
     loss = lambda w: float(np.mean(np.logaddexp(0, prior + odds @ w) - y[held] * (prior + odds @ w)))
-    weights = min((np.array([a, b]) for a in WEIGHTS for b in WEIGHTS), key=loss)
-    return each, prior, weights
+    return each, prior, min((np.array([a, b]) for a in WEIGHTS for b in WEIGHTS), key=loss)
+
+
+def _fit_task(batches):
+    """Rows (key, y, to_text, to_meta, c, m): labelled ones have y, others what the views gave each other.
+    One row: the pickled weights of both views and, from combined(), the rest; or the share of good rows."""
+    rows = sorted((r for b in batches for r in b.to_pylist()), key=lambda r: (r["key"], r["c"], r["m"]))
+    labelled = [r for r in rows if r["y"] is not None]
+    y = np.array([float(r["y"] >= 0.5) for r in labelled])
+    if not 0 < y.sum() < len(y):
+        found = ("share", (y.sum() + 1) / (len(y) + 2))
+    else:
+        arrays = lambda rows, x: np.stack([np.frombuffer(r[x], np.float32) for r in rows])
+        views, models, fitted = [arrays(labelled, x) for x in "cm"], [], ~held_out(y)
+        for v, x, given in ((views[0], "c", "to_text"), (views[1], "m", "to_meta")):
+            more = [r for r in rows if r["y"] is None and r[given] is not None]
+            own = [v[fitted], arrays(more, x)] if more else [v[fitted]]
+            models.append(train(np.concatenate(own), np.concatenate([y[fitted], [float(r[given]) for r in more]])))
+        found = ("models", models, combined(views, models, y))
+    yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(found)], pa.binary())], ["model"])
+
+
+def _rows(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, name_cols: list[str], size_col: str | None, label_col: str) -> DataFrame:
+    """(text, names, size, key, y, who) of docs. y: the mean of a document's labels, of at most LABELLED documents;
+    who: a hash of the id of those."""
+    known = labels.filter(F.col(label_col).isNotNull() & F.col(id_col).isNotNull()).groupBy(F.col(id_col).alias("_lid")).agg(F.avg(label_col).alias("y"))
+    # Labels of documents that are not there would take the place of others.
+    known = known.join(docs.select(F.col(id_col).alias("_lid")), "_lid", "left_semi").orderBy(F.xxhash64("_lid"), "_lid").limit(LABELLED)
+    size = F.col(size_col).cast("long") if size_col else F.lit(None).cast("long")
+    names = F.array(*[F.col(c).cast("string") for c in name_cols]).cast("array<string>")
+    rows = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("text"), names.alias("names"), size.alias("size"))
+    rows = rows.withColumn("key", F.xxhash64("_id", "text", "names", "size"))
+    return rows.join(F.broadcast(stored(known)), F.col("_id") == F.col("_lid"), "left").select("text", "names", "size", "key", "y", F.xxhash64("_lid").alias("who"))
 
 
-def fit_views(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, name_cols: list[str], size_col: str | None, label_col: str):
-    """Gathers the sample and co-trains. Of several labels of a document the mean counts."""
-    known = labels.filter(F.col(label_col).isNotNull() & F.col(id_col).isNotNull()).groupBy(F.col(id_col).alias("_lid")).agg(F.avg(label_col).alias("_y"))
-    known = known.orderBy(F.xxhash64("_lid"), "_lid").limit(LABELLED)
-    share = min(1.0, POOL / max(1, docs.count()))
-    spot = F.pmod(F.xxhash64(F.col(id_col), F.lit("pool")), F.lit(1_000_003))
-    size = F.col(size_col) if size_col else F.lit(None).cast("long")
-    rows = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text"), F.array(*[F.col(c).cast("string") for c in name_cols]).alias("_names"), size.cast("long").alias("_size"), spot.alias("_spot"))
-    # At most LABELLED rows, whatever the tables hold.
-    few = rows.join(F.broadcast(known), rows["_id"] == known["_lid"], "left").filter(F.col("_y").isNotNull() | (F.col("_spot") <= int(share * 1_000_003)))
+def _parts(batch, columns: list[str], rows: int = 500):
+    for i in range(0, batch.num_rows, rows):
+        part = batch.slice(i, rows)
+        yield part, _views(*(part.column(c).to_pylist() for c in columns))
+
+
+def _fitted(rows: DataFrame, given: dict[int, list]):
+    """Models of the labelled rows and of those that given names (key: labels for the text view and the metadata view)."""
+    spark = rows.sparkSession
+    told = spark.createDataFrame([(k, *v) for k, v in given.items()], "gkey long, to_text int, to_meta int")
+    few = rows.join(F.broadcast(told), F.col("key") == F.col("gkey"), "left").filter("y is not null or gkey is not null")
 
     def view(batches):
         for batch in batches:
-            for i in range(0, batch.num_rows, 500):
-                part = batch.slice(i, 500)
-                c, m = _views(part.column("_text").to_pylist(), [tuple(x) for x in part.column("_names").to_pylist()], part.column("_size").to_pylist())
-                yield pa.RecordBatch.from_arrays([part.column("_spot"), part.column("_y"), pa.array([x.tobytes() for x in c], pa.binary()), pa.array([x.tobytes() for x in m], pa.binary())], ["spot", "y", "c", "m"])
+            for part, (c, m) in _parts(batch, ["text", "names", "size"]):
+                yield pa.RecordBatch.from_arrays([*(part.column(x) for x in ("key", "who", "y", "to_text", "to_meta")), pa.array([x.tobytes() for x in c], pa.binary()), pa.array([x.tobytes() for x in m], pa.binary())], ["key", "who", "y", "to_text", "to_meta", "c", "m"])
+
+    seen = few.mapInArrow(view, "key long, who long, y double, to_text int, to_meta int, c binary, m binary")
+    # Of rows that share a labelled id, or repeat all that is read, one is fitted: at most LABELLED and what was given.
+    columns = ["key", "y", "to_text", "to_meta", "c", "m"]
+    seen = seen.groupBy(F.when(F.col("y").isNotNull(), F.col("who")).otherwise(F.col("key")), F.col("y").isNull()).agg(F.min(F.struct(*columns)).alias("row")).select("row.*")
+    return pickle.loads(seen.repartition(1).mapInArrow(_fit_task, "model binary").first()[0])
 
-    seen = few.select("_spot", "_y", "_text", "_names", "_size").mapInArrow(view, "spot long, y double, c binary, m binary")
-    got = sorted(seen.toLocalIterator(), key=lambda r: (r.spot, bytes(r.m)))
-    arrays = lambda rows: tuple(np.stack([np.frombuffer(r[x], np.float32) for r in rows]) if rows else np.zeros((0, 1), np.float32) for x in ("c", "m"))
-    labelled, pool = [r for r in got if r.y is not None], [r for r in got if r.y is None]
-    return co_train(arrays(labelled), np.array([float(r.y >= 0.5) for r in labelled]), arrays(pool))
+
+def _sure(rows: DataFrame, models, given: dict[int, list]) -> None:
+    """Adds to given what the models are sure of: for each view and class the GIVEN rows with the smallest keys
+    among all rows without a label that the other view has not been given a label for."""
+    shared = rows.sparkSession.sparkContext.broadcast((models, {k for k, v in given.items()}))
+
+    def choose(batches):
+        models, old = shared.value
+        held: list[set[int]] = [set(), set(), set(), set()]
+        for batch in batches:
+            for part, views in _parts(batch, ["text", "names", "size"]):
+                keys = part.column("key").to_numpy()
+                for v in (0, 1):
+                    z = log_odds(views[v], models[v])
+                    for c, ok in ((0, z < -SURE), (1, z > SURE)):
+                        held[2 * v + c].update(k for k in keys[ok].tolist() if k not in old)
+            held = [set(sorted(x)[:GIVEN]) for x in held]
+        yield pa.RecordBatch.from_arrays([pa.array([i for i, x in enumerate(held) for _ in x], pa.int32()), pa.array([k for x in held for k in sorted(x)], pa.int64())], ["kind", "key"])
+
+    found = stored(rows.filter("y is null").mapInArrow(choose, "kind int, key long").distinct())
+    for kind in range(4):
+        for r in found.filter(F.col("kind") == kind).orderBy("key").limit(GIVEN).collect():
+            # What the text view (0, 1) knows goes to the metadata view, and the other way round.
+            given.setdefault(r.key, [None, None])[1 if kind < 2 else 0] = kind % 2
+    shared.destroy()
+
+
+def co_train(rows: DataFrame, rounds: int = ROUNDS):
+    """What _fit_task gives after so many rounds on rows of _rows()."""
+    given: dict[int, list] = {}
+    found = _fitted(rows, given)
+    for _ in range(rounds if found[0] == "models" else 0):
+        _sure(rows, found[1], given)
+        found = _fitted(rows, given)
+    return found
 
 
 def _words(text: str | None) -> set[str]:
@@ -139,7 +198,7 @@ def _held(texts, words: list[str]) -> np.ndarray:
 
 
 def fit_toxic(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, toxic_col: str):
-    """(words, weights), or None without enough labels of either kind. Of several labels of a document the
+    """(words, weights), or None where the labels have one kind of rows or none. Of several labels of a document the
     mean counts, of several texts the smallest."""
     if toxic_col not in labels.columns:
         return None
@@ -148,7 +207,7 @@ def fit_toxic(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, to
     few = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text")).join(F.broadcast(known), F.col("_id") == F.col("_lid"))
     few = stored(few.groupBy("_id").agg(F.min("_text").alias("_text"), F.min("_y").alias("_y")))
     n, bad = few.agg(F.count("*"), F.coalesce(F.sum("_y"), F.lit(0))).first()
-    if min(bad, n - bad) < LEAST:
+    if not 0 < bad < n:
         return None
 
     def split(batches):
@@ -173,68 +232,61 @@ def fit_toxic(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, to
     return words, fit(np.stack([np.frombuffer(r.x, np.float32) for r in rows]), np.stack([1 - y, y], 1), np.ones(len(y)))
 
 
-def quality_scores(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", name_cols: tuple[str, ...] = ("lang", "source"), size_col: str | None = "n_chars", label_col: str = "quality", keep_from: float = KEEP_FROM, carry: bool = False, toxic_col: str = "toxic") -> DataFrame:
+def _toxic_scores(texts, fitted) -> np.ndarray:
+    return np.zeros(len(texts)) if fitted is None else sigmoid(log_odds(_held(texts, fitted[0]), fitted[1])).astype(float)
+
+
+def view_scores(views, fitted) -> list[np.ndarray]:
+    """text_score, meta_score and score of rows, as co_train() has fitted them."""
+    if fitted[0] == "share":
+        return [np.full(len(views[0]), fitted[1])] * 3
+    each, prior, weights = fitted[2]
+    odds = np.column_stack([a * log_odds(x, w) + b for x, (w, a, b) in zip(views, each)])
+    return [*sigmoid(odds).T, sigmoid(prior + (odds - prior) @ weights)]
+
+
+def quality_scores(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", name_cols: tuple[str, ...] = ("lang", "source"), size_col: str | None = "n_chars", label_col: str = "quality", keep_from: float = KEEP_FROM, carry: bool = False, toxic_col: str = "toxic", rounds: int = ROUNDS) -> DataFrame:
     """One row per row of docs: id_col, text_score, meta_score (each view's calibrated probability of
     good quality), score (both together), toxic_score (probability of being toxic; 0 where labels has no
-    toxic_col or too few of either kind), keep (quality alone: score of at least keep_from) and
-    toxic (toxic_score of at least TOXIC_FROM). Labels are 0
-    and 1. Null texts and metadata are scored as empty ones. With too few labels of either kind
-    every score is 1 and every row is kept. Repeated rows are scored each; columns that the
-    table lacks are taken as null. With carry set, the columns of docs go along, and the rest is a
-    struct CARRIED after them."""
+    toxic_col or one kind of rows), good (score of at least keep_from), toxic (toxic_score of at least TOXIC_FROM)
+    and keep (good and not toxic). Labels are 0 and 1. Null texts and metadata are scored as empty ones; texts may
+    be of any length. Where the labels are all of one kind, or there are none, every score is the share of good ones
+    among them and two more, one of each kind. Repeated rows are scored each; an empty table gives an empty result;
+    columns that the table lacks are taken as null, and others are not read. With carry set, the columns of docs go
+    along, and the rest is a struct CARRIED after them."""
     names = [c for c in name_cols if c in docs.columns]
     size_col = size_col if size_col in docs.columns else None
-    models = docs.sparkSession.sparkContext.broadcast((fit_views(docs, labels, id_col, text_col, names, size_col, label_col), fit_toxic(docs, labels, id_col, text_col, toxic_col)))
+    with arrow_rows(docs.sparkSession):
+        fitted = co_train(_rows(docs, labels, id_col, text_col, names, size_col, label_col), rounds)
+        models = docs.sparkSession.sparkContext.broadcast((fitted, fit_toxic(docs, labels, id_col, text_col, toxic_col)))
 
     def score(batches):
         fitted, toxic = models.value
         for batch in batches:
             for i in range(0, batch.num_rows, 500):
                 part = batch.slice(i, 500)
-                if fitted is None:
-                    each = [np.ones(part.num_rows)] * 3
-                else:
-                    both = _views(part.column(1).to_pylist(), [tuple(x) for x in part.column(2).to_pylist()], part.column(3).to_pylist())
-                    odds = np.column_stack([a * _odds(x, w) + b for x, (w, a, b) in zip(both, fitted[0])])
-                    each = [*sigmoid(odds).T, sigmoid(fitted[1] + (odds - fitted[1]) @ fitted[2])]
-                each.append(_toxic_scores(part.column(1).to_pylist(), toxic))
-                found = [pa.array(x, pa.float64()) for x in each]
+                texts = part.column(1).to_pylist()
+                each = [*view_scores(_views(texts, part.column(2).to_pylist(), part.column(3).to_pylist()), fitted), _toxic_scores(texts, toxic)]
+                good, bad = each[2] >= keep_from, each[3] >= TOXIC_FROM
+                found = [*(pa.array(x, pa.float64()) for x in each), pa.array(good), pa.array(bad), pa.array(good & ~bad)]
                 if carry:
-                    told = pa.StructArray.from_arrays([*found, pa.array(each[2] >= keep_from)], [*SCORES, "keep"])
-                    yield pa.RecordBatch.from_arrays([*part.columns[4:], told], [*docs_columns, CARRIED])
+                    yield pa.RecordBatch.from_arrays([*part.columns[4:], pa.StructArray.from_arrays(found, told.names)], [*docs_columns, CARRIED])
                 else:
-                    yield pa.RecordBatch.from_arrays([part.column(0), *found], [id_col, *SCORES])
+                    yield pa.RecordBatch.from_arrays([part.column(0), *found], [id_col, *told.names])
 
     size = F.col(size_col).cast("long") if size_col else F.lit(None).cast("long")
-    scores = [T.StructField(c, T.DoubleType()) for c in SCORES]
-    wanted = [F.col(id_col).alias("_id"), F.col(text_col).alias("_text"), F.array(*[F.col(c).cast("string") for c in names]).alias("_names"), size.alias("_size")]
+    told = T.StructType([*[T.StructField(c, T.DoubleType()) for c in SCORES], *[T.StructField(c, T.BooleanType()) for c in ("good", "toxic", "keep")]])
+    named = F.array(*[F.col(c).cast("string") for c in names]).cast("array<string>")
+    wanted = [F.col(id_col).alias("_id"), F.col(text_col).alias("_text"), named.alias("_names"), size.alias("_size")]
     docs_columns = docs.columns
     if carry:
-        told = T.StructType([*scores, T.StructField("keep", T.BooleanType())])
         return docs.select(*wanted, "*").mapInArrow(score, T.StructType([*docs.schema, T.StructField(CARRIED, told)]))
-    schema = T.StructType([T.StructField(id_col, docs.schema[id_col].dataType), *scores])
-    return docs.select(*wanted).mapInArrow(score, schema).withColumn("keep", F.col("score") >= keep_from).withColumn("toxic", F.col("toxic_score") >= TOXIC_FROM)
-
-
-def _toxic_scores(texts, fitted) -> np.ndarray:
-    return np.zeros(len(texts)) if fitted is None else sigmoid(_odds(_held(texts, fitted[0]), fitted[1])).astype(float)
+    return docs.select(*wanted).mapInArrow(score, T.StructType([T.StructField(id_col, docs.schema[id_col].dataType), *told]))
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """docs without the rows that the classifier rejects, each judged by its own text and metadata."""
+    """docs without the rows that the classifier rejects as poor or toxic, each judged by its own text and metadata,
+    whatever its id; the columns stay."""
     with arrow_rows(docs.sparkSession):
         scored = quality_scores(docs, labels, id_col, text_col, carry=True)
         return stored(scored.filter(f"{CARRIED}.keep").drop(CARRIED), "good")
-
-
-def drop_toxic(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", toxic_col: str = "toxic") -> DataFrame:
-    """docs without the rows whose own text is taken for toxic."""
-    fitted = docs.sparkSession.sparkContext.broadcast(fit_toxic(docs, labels, id_col, text_col, toxic_col))
-    at = docs.columns.index(text_col)
-
-    def clean(batches):
-        for batch in batches:
-            yield batch.filter(pa.array(_toxic_scores(batch.column(at).to_pylist(), fitted.value) < TOXIC_FROM))
-
-    with arrow_rows(docs.sparkSession):
-        return stored(docs.mapInArrow(clean, docs.schema), "clean")
