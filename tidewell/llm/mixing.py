@@ -8,13 +8,19 @@ finds rates r >= 0, starting from 1.
 The gradient of a document is n * (p . e), where e is the domains' excess over their targets, so a
 step is fully told by one number for each domain. Only these numbers are kept: every pass
 replays them on each row (r = max(0, r - p . c) for each c in turn) and sums the totals of the
-domains, a row from each batch. Steps are scaled by 1 / n, so that a long document is not taken
-out before a short one, and by the inverse of the domains' second-moment matrix, so that few
-passes are enough; a step that brings the totals no closer is halved.
+domains, a row from each batch. The descent is one in another metric: steps are scaled by 1 / n, so that
+a long document is not taken out before a short one, and by the inverse of the domains' second-moment
+matrix over the documents with a rate above 0, which makes it a projected Newton step. A step that does not
+bring the totals closer to the targets is not taken but halved, so every step that is taken lowers the
+distance. Passes end when the totals are within CLOSE of the targets, when halving no longer helps (targets
+that no rates reach), or after PASSES with a warning that says how far off the totals are.
 """
 
 from __future__ import annotations
 
+import pickle
+import warnings
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -24,39 +30,53 @@ from pyspark.sql import types as T
 from tidewell.llm.common import arrow_rows, stored
 from tidewell.llm.features import content, fit, softmax
 
-#: Labelled rows that the classifier is fitted on, passes at most, and the relative distance of
-#: totals and targets that is close enough.
-LABELLED, PASSES, CLOSE = 4_000, 40, 1e-4
+#: Labelled rows that the classifier is fitted on, passes at most, the relative distance of totals and targets
+#: that is close enough, and the smallest share of a step that is tried.
+LABELLED, PASSES, CLOSE, LEAST_STEP = 4_000, 100, 1e-4, 2.0**-30
+#: Domains that are told apart; documents of any others count as OTHER.
+DOMAINS, OTHER = 64, "other"
 CARRIED = ("_tidewell_tokens", "_tidewell_p")
 
 
-def fit_domains(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, domain_col: str, rows: int = LABELLED):
-    """(domains, weights) from at most `rows` documents that the label table covers, chosen by a
-    hash of the id."""
+def _fit_task(batches):
+    """Rows (spot, domain, x): a row with the pickled domains and weights."""
+    rows = sorted(((r["spot"], r["domain"], r["x"]) for b in batches for r in b.to_pylist()))
+    domains = sorted({r[1] for r in rows})
+    found: tuple = (domains, None)
+    if domains:
+        x = np.stack([np.frombuffer(r[2], np.float32) for r in rows])
+        found = (domains, fit(x, np.eye(len(domains), dtype=np.float32)[[domains.index(r[1]) for r in rows]], np.ones(len(rows))))
+    yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(found)], pa.binary())], ["model"])
+
+
+def fit_domains(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, domain_col: str, asked: list[str] | None = None, rows: int = LABELLED):
+    """(domains, weights) from at most `rows` documents that the label table covers, chosen by a hash of the id;
+    of rows that share an id the smallest. They are fitted in one task, which returns the weights alone. Domains
+    that are not asked for, or, if none are, all but the DOMAINS most frequent, are OTHER."""
     known = docs.select(F.col(id_col).alias("id"), F.col(domain_col).cast("string").alias("domain"), F.col(text_col).alias("text")).filter("id is not null and domain is not null")
     spot = F.xxhash64("id", F.lit("domain"))
     chosen = known.select("id").join(labels.select(F.col(id_col).alias("id")), "id", "left_semi").distinct().orderBy(spot, "id").limit(rows)
-    few = known.join(F.broadcast(chosen), "id").select(spot.alias("spot"), "domain", "text")
+    few = known.join(F.broadcast(chosen), "id").groupBy("id").agg(F.min(F.struct("domain", "text")).alias("row")).select(spot.alias("spot"), "row.domain", "row.text")
+    few = stored(few)
+    if asked is None:
+        asked = [r.domain for r in few.groupBy("domain").count().orderBy(F.desc("count"), "domain").limit(DOMAINS).collect()]
 
     def view(batches):
         for batch in batches:
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([content(t).tobytes() for t in batch.column(2).to_pylist()], pa.binary())], ["spot", "domain", "x"])
+            domains = [d if d in asked else OTHER for d in batch.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(domains, pa.string()), pa.array([content(t).tobytes() for t in batch.column(2).to_pylist()], pa.binary())], ["spot", "domain", "x"])
 
-    got = sorted(few.mapInArrow(view, "spot long, domain string, x binary").toLocalIterator(), key=lambda r: (r.spot, r.domain, bytes(r.x)))
-    domains = sorted({r.domain for r in got})
-    if not domains:
-        return [], None
-    x = np.stack([np.frombuffer(r.x, np.float32) for r in got])
-    y = np.eye(len(domains), dtype=np.float32)[[domains.index(r.domain) for r in got]]
-    return domains, fit(x, y, np.ones(len(y)))
+    seen = few.mapInArrow(view, "spot long, domain string, x binary").repartition(1)
+    return pickle.loads(seen.mapInArrow(_fit_task, "model binary").first()[0])
 
 
-def posteriors(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", domain_col: str = "lang", carry: bool = False) -> tuple[DataFrame, list[str]]:
+def posteriors(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", domain_col: str = "lang", carry: bool = False, asked: list[str] | None = None) -> tuple[DataFrame, list[str]]:
     """(id_col, n_tokens, p: array of a probability for each domain) and the domains in order, which are
-    the values of domain_col among the documents that labels covers; nothing else of it is read.
+    the values of domain_col among the documents that labels covers (see fit_domains); nothing else of it is read.
     Tokens are what white space separates. Without a labelled row there is one domain, `all`.
     With carry set, the columns of docs stand in the place of id_col, and the rest is called as in CARRIED."""
-    domains, weights = fit_domains(docs, labels, id_col, text_col, domain_col)
+    with arrow_rows(docs.sparkSession):
+        domains, weights = fit_domains(docs, labels, id_col, text_col, domain_col, asked)
     shared = docs.sparkSession.sparkContext.broadcast(weights)
 
     def predict(batches):
@@ -106,11 +126,11 @@ def _totals(rows: DataFrame, steps: list[np.ndarray], k: int) -> tuple[np.ndarra
 def mixing_rates(docs: DataFrame, labels: DataFrame, targets: dict[str, float] | None = None, tokens: float | None = None, id_col: str = "doc_id", text_col: str = "text", domain_col: str = "lang") -> DataFrame:
     """One row per row of docs: id_col, domain (the likeliest one, the first of equals), n_tokens,
     rate (0 or more) and copies: the rate rounded up or down at random, by a hash of the id, so
-    that copies have the rate as their mean. targets are weights of the domains (missing ones:
-    0; none at all: equal weights), and tokens is their sum (else what docs has). Null and empty
-    texts have no tokens, and the rate of their posteriors like any other. Repeated rows count
-    and are returned each; an empty table gives an empty result."""
-    found, domains = posteriors(docs, labels, id_col, text_col, domain_col)
+    that copies have the rate as their mean. targets are weights of the domains (others: 0; none at all: equal
+    weights), and tokens is their sum (else what docs has). Null and empty texts have no tokens, and the rate of their
+    posteriors like any other; texts may be of any length. Repeated rows count and are returned each; an empty table
+    gives an empty result. Other columns are not read."""
+    found, domains = posteriors(docs, labels, id_col, text_col, domain_col, asked=None if targets is None else sorted(targets))
     with arrow_rows(docs.sparkSession):
         rows = stored(found)
     taken = _steps(rows, domains, targets, tokens)
@@ -137,10 +157,10 @@ def _steps(rows: DataFrame, domains: list[str], targets: dict[str, float] | None
     steps: list[np.ndarray] = []
     now, moments = _totals(rows, steps, len(domains))
     goal = weight * (now.sum() if tokens is None else tokens)
-    scale, size = max(float(np.linalg.norm(goal)), 1.0), 1.0
+    scale, size, off = max(float(np.linalg.norm(goal)), 1.0), 1.0, 0.0
     for _ in range(PASSES):
-        off = np.linalg.norm(now - goal) / scale
-        if off < CLOSE or not now.sum():
+        off = float(np.linalg.norm(now - goal)) / scale
+        if off < CLOSE or not now.sum() or size < LEAST_STEP:
             break
         ridge = 1e-9 * max(float(np.trace(moments)), 1.0)
         step = size * np.linalg.solve(moments + ridge * np.eye(len(domains)), now - goal)
@@ -149,14 +169,17 @@ def _steps(rows: DataFrame, domains: list[str], targets: dict[str, float] | None
             steps, now, moments, size = [*steps, step], then, later, min(1.0, size * 2)
         else:
             size /= 2
+    if off >= CLOSE and now.sum():
+        warnings.warn(f"the totals are {off:.2%} off their targets", stacklevel=3)
     return steps
 
 
 def mixed(docs: DataFrame, labels: DataFrame, targets: dict[str, float] | None = None, id_col: str = "doc_id", text_col: str = "text", domain_col: str = "lang") -> DataFrame:
-    """docs with domain, rate and copies as by mixing_rates, without the rows of rate 0. Each row has the
-    rate of its own text; copies of a row without an id are rounded by a hash of the text."""
+    """docs with domain, rate and copies as by mixing_rates, without the rows of rate 0; columns of docs with
+    these names are replaced, all others stay. Each row has the rate of its own text, so ids may repeat or be null;
+    copies of a row without an id are rounded by a hash of the text. Of an empty table nothing is left."""
     kept = docs.drop(*[c for c in ("domain", "rate", "copies") if c != domain_col])
-    found, domains = posteriors(kept, labels, id_col, text_col, domain_col, carry=True)
+    found, domains = posteriors(kept, labels, id_col, text_col, domain_col, carry=True, asked=None if targets is None else sorted(targets))
     with arrow_rows(docs.sparkSession):
         rows = stored(found)
     tokens, p = (F.col(c) for c in CARRIED)
