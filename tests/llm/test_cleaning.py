@@ -1,12 +1,15 @@
 import random
 
 import numpy as np
+import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 from tidewell.llm.decontaminate import contaminated, distance, drop_contaminated
-from tidewell.llm.mixing import mixed, mixing_rates
-from tidewell.llm.quality import keep_good, quality_scores
+from tidewell.llm.features import content, metadata
+from tidewell.llm.mixing import mixed, mixing_rates, posteriors
+from tidewell.llm.quality import _rows, combined, keep_good, log_odds, quality_scores, train, view_scores
 
 WORDS = "alpha beta gamma delta river stone cloud paper light winter summer window garden music letter number system".split()
 
@@ -71,6 +74,16 @@ def test_short_items(docs_of, spark):
     assert got == [(1, 1, 0, 4, 13), (4, 2, 0, 4, 7), (5, 2, 0, 6, 9)]
 
 
+def test_decontamination_of_long_texts_and_clashing_names(docs_of, spark):
+    rnd = random.Random(4)
+    item = sentence(rnd, 40)
+    text = sentence(rnd, 40_000)
+    rows = [(1, text), (2, text + " " + item + " " + text), (3, "\u2003".join(item.split()))]
+    got = contaminated(docs_of(rows), spark.createDataFrame([(7, item), (8, "\u2003 \u2003")], "doc_id long, text string"), item_col="doc_id")
+    assert got.columns == ["doc_id", "item_doc_id", "edits", "start", "end"]
+    assert sorted((r.doc_id, r.item_doc_id, r.edits) for r in got.collect()) == [(2, 7, 0), (3, 7, 0)]
+
+
 def quality_rows(n=200):
     rnd = random.Random(3)
     rows, labels = [], []
@@ -93,15 +106,93 @@ def test_quality(docs_of, spark):
     assert len(wrong) <= 2
     kept = {r.doc_id for r in keep_good(docs_of(rows), table).collect()}
     assert kept == {r.doc_id for r in quality_scores(docs_of(rows), table).collect() if r.keep}
-    assert {r.score for r in quality_scores(docs_of(rows), table.limit(3)).collect()} == {1.0}
+    good = table.filter("quality = 1 and doc_id < 20")
+    assert {r.score for r in quality_scores(docs_of(rows), good).collect()} == {(good.count() + 1) / (good.count() + 2)}
+    assert {(r.score, r.keep) for r in quality_scores(docs_of(rows), table.limit(0)).collect()} == {(0.5, True)}
+    two = quality_scores(docs_of(rows), table.filter("doc_id in (8, 9)")).collect()
+    assert len({r.score for r in two}) > 2
     assert quality_scores(docs_of([]), table).count() == 0
 
 
+def two_sided(n, labelled, seed=8):
+    """Rows whose source and words both tell their quality, neither of them always."""
+    rnd = random.Random(seed)
+    rows, labels, truth = [], [], {}
+    for i in range(n):
+        good = rnd.random() < 0.7
+        source = rnd.choice(["a", "b", "c"] if good == (rnd.random() < 0.95) else ["x", "y", "z"])
+        text = "".join(rnd.choice("etaoinsh rdlu " if good == (rnd.random() < 0.8) else "zq$%#xj 0123") for _ in range(rnd.randrange(20, 60)))
+        rows.append((i, text, "en", source, 500 if good else 40_000))
+        truth[i] = int(good)
+        if i < labelled:
+            labels.append((i, int(good)))
+    return rows, labels, truth
+
+
+def brute_co_training(rows, rounds):
+    """Plain loops over rows (key, y, text, names, size)."""
+    rows = sorted(rows, key=lambda r: (r["key"], content(r["text"]).tobytes(), metadata(r["names"], r["size"]).tobytes()))
+    views = [[content(r["text"]) for r in rows], [metadata(r["names"], r["size"]) for r in rows]]
+    known = [i for i, r in enumerate(rows) if r["y"] is not None]
+    y, own, seen = [float(rows[i]["y"]) for i in known], [[], []], {0: 0, 1: 0}
+    fitted = []
+    for i, c in zip(known, y):
+        seen[int(c)] += 1
+        if seen[int(c)] % 4:
+            fitted.append((i, c))
+    for turn in range(rounds + 1):
+        models = []
+        for v in (0, 1):
+            at = fitted + own[v]
+            models.append(train(np.stack([views[v][i] for i, _ in at]), np.array([c for _, c in at])))
+        if turn == rounds:
+            break
+        taken = {i for x in own for i, _ in x}
+        for v in (0, 1):
+            for c in (0, 1):
+                sure = []
+                for i, r in enumerate(rows):
+                    z = float(log_odds(views[v][i][None], models[v])[0])
+                    if r["y"] is None and i not in taken and (z > 2 if c else z < -2):
+                        sure.append((r["key"], i))
+                own[1 - v] += [(i, float(c)) for _, i in sorted(sure)[:250]]
+        own = [sorted(x) for x in own]
+    both = [np.stack([views[v][i] for i in known]) for v in (0, 1)]
+    told = ("models", models, combined(both, models, np.array(y)))
+    return {r["key"]: s for r, s in zip(rows, view_scores([np.stack(v) for v in views], told)[2])}
+
+
+def test_co_training_against_brute_force(docs_of, spark):
+    rows, labels, _ = two_sided(1_200, 120)
+    docs, table = docs_of(rows), spark.createDataFrame(labels, "doc_id long, quality int")
+    seen = [r.asDict() for r in _rows(docs, table, "doc_id", "text", ["lang", "source"], "n_chars", "quality").collect()]
+    want = sorted(brute_co_training(seen, 2).values())
+    got = sorted(r.score for r in quality_scores(docs, table).collect())
+    assert np.allclose(got, want, atol=1e-3)
+
+
+def test_rounds_lower_the_loss(docs_of, spark):
+    losses = []
+    for rounds in (0, 2):
+        total = 0.0
+        for seed in (8, 9):
+            rows, labels, truth = two_sided(1_500, 40, seed)
+            got = quality_scores(docs_of(rows), spark.createDataFrame(labels, "doc_id long, quality int"), rounds=rounds).collect()
+            total -= sum(np.log(max(1e-9, r.score if truth[r.doc_id] else 1 - r.score)) for r in got if r.doc_id >= 40)
+        losses.append(total / 2920)
+    print("log loss without and with rounds", losses)
+    assert losses[1] < losses[0]
+
+
+def test_metadata_view_reads_no_text():
+    assert (metadata(("en", "a"), 5) == metadata(("en", "a"), 5)).all() and (metadata((None, "a"), None) != metadata(("en", "a"), 0)).any()
+
+
 def test_quality_on_held_out_labels(spark):
     docs, labels = (spark.read.parquet(f"/root/testdata/sf0.1/{t}.parquet") for t in ("documents", "labels"))
     known = labels.filter("doc_id % 2 = 0")
     got = quality_scores(docs, known).join(labels.filter("doc_id % 2 = 1"), "doc_id").collect()
-    good, bad = [r.keep for r in got if r.quality == 1], [r.keep for r in got if r.quality == 0]
+    good, bad = [r.good for r in got if r.quality == 1], [r.good for r in got if r.quality == 0]
     assert np.mean(good) > 0.98 and np.mean(bad) < 0.15
 
 
@@ -113,6 +204,41 @@ def test_toxic_on_held_out_labels(spark):
     assert np.mean(caught) > 0.7 and np.mean(dropped) < 0.01
 
 
+def dense_rates(n, p, goal, steps=20_000):
+    """Nonnegative least squares by plain projected gradient descent."""
+    a = (n[:, None] * p).T
+    r = np.ones(len(n))
+    size = 1 / np.linalg.norm(a, 2) ** 2
+    for _ in range(steps):
+        r = np.maximum(0, r - size * a.T @ (a @ r - goal))
+    return r
+
+
+def test_mixing_against_dense_least_squares(docs_of, spark):
+    rnd = random.Random(6)
+    rows = [(i, sentence(rnd, rnd.randrange(5, 60)), "en", None, None) for i in range(30)] + [(50 + i, "".join(rnd.choice("zqxjv ") for _ in range(rnd.randrange(50, 400))), "xx", None, None) for i in range(20)]
+    docs, labels = docs_of(rows), spark.createDataFrame([(i,) for i, *_ in rows], "doc_id long")
+    found, domains = posteriors(docs, labels)
+    got = found.orderBy("doc_id").collect()
+    n, p = np.array([r.n_tokens for r in got], float), np.array([r.p for r in got])
+    # The second target is beyond what the documents can give without too much of the first one.
+    for targets, tokens in (({"en": 1.0, "xx": 3.0}, None), ({"en": 0.0, "xx": 1.0}, 50_000.0)):
+        rates = {r.doc_id: r.rate for r in mixing_rates(docs, labels, targets, tokens).collect()}
+        r = np.array([rates[x.doc_id] for x in got])
+        goal = np.array([targets[d] for d in domains])
+        goal = goal / goal.sum() * (n.sum() if tokens is None else tokens)
+        off, best = (np.linalg.norm((x * n) @ p - goal) / np.linalg.norm(goal) for x in (r, dense_rates(n, p, goal)))
+        assert (r >= 0).all() and off <= best + 2e-3, (off, best)
+
+
+def test_targets_out_of_reach(docs_of, spark):
+    rows = [(i, "all the same words", "en", None, None) for i in range(20)]
+    labels = spark.createDataFrame([(i,) for i in range(20)], "doc_id long")
+    with pytest.warns(UserWarning, match="off their targets"):
+        got = mixing_rates(docs_of(rows + [(30, "zq xj", "xx", None, None)]), labels.unionByName(spark.createDataFrame([(30,)], "doc_id long")), {"yy": 1.0, "en": 1.0}).collect()
+    assert len(got) == 21 and all(r.rate >= 0 for r in got)
+
+
 def test_mixing(docs_of, spark):
     rnd = random.Random(5)
     rows = [(i, sentence(rnd, 40), "en", None, None) for i in range(120)] + [(200 + i, "".join(rnd.choice("zqxjv ") for _ in range(200)), "xx", None, None) for i in range(30)]
@@ -127,4 +253,9 @@ def test_mixing(docs_of, spark):
     out = mixed(docs_of(rows), labels, {"en": 1.0, "xx": 3.0})
     assert {"domain", "rate", "copies"} <= set(out.columns) and out.count() == len(rows)
     assert mixing_rates(docs_of([]), labels).count() == 0
+    assert mixed(docs_of([]), labels).count() == 0
+    own = docs_of(rows).withColumn("rate", F.lit("mine"))
+    assert dict(mixed(own, labels, {"en": 1.0, "xx": 3.0}).dtypes)["rate"] == "double"
+    many = [(i, f"w{i % 90}", f"l{i % 90}", None, None) for i in range(300)]
+    assert {r.domain for r in mixing_rates(docs_of(many), spark.createDataFrame([(i,) for i in range(300)], "doc_id long")).collect()} >= {"other"}
     assert {r.domain for r in mixing_rates(docs_of(rows), labels.limit(0)).collect()} == {"all"}

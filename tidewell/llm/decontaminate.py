@@ -127,8 +127,11 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     (its length over `share`, at least 1): id_col, item_col, edits, start, end (characters of the
     normalised text, end exclusive) of the closest passage, the first of equals. Items of fewer
     than MIN_CHARS characters have to be there without an edit and in whole words; null and empty items
-    are not searched for; null and empty texts contain nothing. Repeated documents and repeated items give a row each. Other columns are not read."""
-    schema = T.StructType([T.StructField(id_col, docs.schema[id_col].dataType), T.StructField(item_col, benchmark.schema[item_col].dataType), T.StructField("edits", T.LongType()), T.StructField("start", T.LongType()), T.StructField("end", T.LongType())])
+    are not searched for; null and empty texts contain nothing; texts may be of any length. Rows that repeat a document
+    give rows of their own, items that repeat id and text count once. Empty tables give an empty result. Other columns
+    are not read. If item_col is called like id_col, it is called item_<item_col> in the result."""
+    item_name = item_col if item_col != id_col else f"item_{item_col}"
+    schema = T.StructType([T.StructField(id_col, docs.schema[id_col].dataType), T.StructField(item_name, benchmark.schema[item_col].dataType), T.StructField("edits", T.LongType()), T.StructField("start", T.LongType()), T.StructField("end", T.LongType())])
     item_type = to_arrow_type(benchmark.schema[item_col].dataType)
     out = None
     for matcher_of in _matchers(benchmark, item_col, item_text, share, block_chars):
@@ -153,13 +156,12 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
 def _matchers(benchmark: DataFrame, item_col: str, item_text: str, share: int, block_chars: int):
     """For each block of the items a function that gives its Matcher on a worker."""
     spark = benchmark.sparkSession
-    norm = F.trim(F.regexp_replace(F.lower(item_text), r"\s+", " "))
-    items = benchmark.select(F.col(item_col).alias("_item"), F.col(item_text).alias("_text"), F.length(norm).alias("_n")).filter(F.col("_n") > 0)
-    total = items.agg(F.sum("_n")).first()[0] or 0
+    items = benchmark.select(F.col(item_col).alias("_item"), F.col(item_text).alias("_text")).filter(F.length("_text") > 0)
+    total = items.agg(F.sum(F.length("_text"))).first()[0] or 0
     blocks = max(1, -(-total // block_chars))
     for b in range(blocks):
         own = items if blocks == 1 else items.filter(F.pmod(F.xxhash64("_item", "_text"), F.lit(blocks)) == b)
-        texts = sorted({(r[0], normal(r[1])) for r in own.toLocalIterator() if normal(r[1])}, key=repr) if total else []
+        texts = sorted({(r[0], normal(r[1])) for r in own.toLocalIterator() if normal(r[1])}, key=repr)
         shared = spark.sparkContext.broadcast((b, share, texts))
 
         def matcher_of(shared=shared):
@@ -172,7 +174,8 @@ def _matchers(benchmark: DataFrame, item_col: str, item_text: str, share: int, b
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep_without_id: bool = True) -> DataFrame:
     """docs without the rows whose own text contains a test item; rows without an id stay, or with
-    keep_without_id unset are judged like all others."""
+    keep_without_id unset are judged like all others. Null and empty texts contain nothing, repeated rows are judged
+    each, of an empty table nothing is left, and columns stay as they are."""
     at, id_at, schema = docs.columns.index(text_col), docs.columns.index(id_col), docs.schema
     out = docs
     for matcher_of in _matchers(benchmark, "item_id", "text", ERROR_SHARE, BLOCK_CHARS):
