@@ -8,7 +8,8 @@ are the same: names are given by comparing contents, hashes only order the sort.
 
 Rows are dealt to the sort by (hash of the block, id, position), so a block that a third of
 all rows hold is spread over many tasks. A block that lies in several tasks gets a name in
-each; these tasks report their outermost blocks, and equal ones take the smallest name.
+each; these tasks report their outermost blocks, and equal ones take the smallest name. Rows are told
+apart by a number of their own, so neither repeated ids nor hashes can bring two of them together.
 """
 
 from __future__ import annotations
@@ -23,7 +24,7 @@ from pyspark.sql import types as T
 
 from tidewell.llm.common import ROW, arrow_rows, first_of_groups, stored, text_bytes, with_rows
 
-BLOCK_BYTES = 8192
+BLOCK_BYTES = 32_768
 
 
 def _ranker(columns: list[str]):
@@ -74,7 +75,8 @@ def assign_names(rows: DataFrame, key: str, deal_by: list[str]) -> DataFrame:
     with arrow_rows(rows.sparkSession):
         named = stored(dealt.mapInArrow(_ranker(columns), schema))
     edges = named.filter("_edge is not null")
-    # At most a few rows for each task of the sort, whatever the number of documents.
+    # A task reports what lies under two hashes, its first and its last one: at most two names but for
+    # collisions, so that moves, 16 bytes a row, has a few rows for each task, whatever the number of documents.
     same = edges.groupBy("_edge").agg(F.min("_name").alias("_to"))
     moves = edges.join(same, "_edge").filter("_to < _name").select("_name", "_to")
     kept = named.filter("_edge is null").drop("_edge")
@@ -87,28 +89,30 @@ def content_names(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     Null ids and repeated ids are allowed; no column besides the two is read."""
     raw = text_bytes(text_col)
     blocks = F.transform(F.sequence(F.lit(0), F.greatest(F.ceil(F.col("n_bytes") / block_bytes).cast("int") - 1, F.lit(0))), lambda i: F.substring(F.col("_raw"), i * block_bytes + F.lit(1), F.lit(block_bytes)))
-    base = docs.select(F.col(id_col).alias("_id"), raw.alias("_raw")).select("_id", "_raw", F.xxhash64("_raw").alias("_h"), F.length("_raw").cast("long").alias("n_bytes"), F.sha2("_raw", 256).alias("_sha"))
-    cut = base.select("_id", "_h", "n_bytes", "_sha", blocks.alias("_blocks")).select("_id", "_h", "n_bytes", F.size("_blocks").alias("_n"), "_sha", F.posexplode("_blocks").alias("_i", "_block"))
-    cut = cut.withColumn("_sha", F.when(F.col("_i") == 0, F.unhex("_sha")))
+    base = docs.select(F.col(id_col).alias("_id"), raw.alias("_raw"), F.monotonically_increasing_id().alias("_row"))
+    base = base.select("_id", "_raw", "_row", F.length("_raw").cast("long").alias("n_bytes"), F.sha2("_raw", 256).alias("_sha"))
+    cut = base.select("_id", "_row", "n_bytes", "_sha", blocks.alias("_blocks")).select("_id", "_row", "n_bytes", F.size("_blocks").alias("_n"), "_sha", F.posexplode("_blocks").alias("_i", "_block"))
+    first = F.col("_i") == 0
+    cut = cut.withColumn("_sha", F.when(first, F.unhex("_sha"))).withColumn("_id", F.when(first, F.col("_id")))
     # Only ids and names travel from here on.
-    level = assign_names(cut, "_block", ["_id", "_i"])
+    level = assign_names(cut, "_block", ["_row", "_i"])
     heads = level.filter("_i = 0")
     done = heads.filter("_n = 1").select("_id", "n_bytes", "_sha", F.lit(0).alias("rounds"), "_name")
     longest = level.agg(F.max("_n")).first()[0] or 1
-    current, rounds, finals = level.filter("_n > 1").select("_id", "_h", "_i", "_n", "_name"), 0, None
+    current, rounds, finals = level.filter("_n > 1").select("_row", "_i", "_n", "_name"), 0, None
     while longest > 1:
         rounds, longest = rounds + 1, (longest + 1) // 2
         half = (F.col("_i") / 2).cast("int")
         side = lambda odd: F.max(F.when(F.col("_i") % 2 == odd, F.col("_name")))
-        pairs = current.groupBy("_id", "_h", half.alias("_p"), F.ceil(F.col("_n") / 2).cast("int").alias("_m")).agg(side(0).alias("_l"), F.coalesce(side(1), F.lit(-1)).alias("_r"))
-        pairs = pairs.select("_id", "_h", F.col("_p").alias("_i"), F.col("_m").alias("_n"), "_l", "_r")
+        pairs = current.groupBy("_row", half.alias("_p"), F.ceil(F.col("_n") / 2).cast("int").alias("_m")).agg(side(0).alias("_l"), F.coalesce(side(1), F.lit(-1)).alias("_r"))
+        pairs = pairs.select("_row", F.col("_p").alias("_i"), F.col("_m").alias("_n"), "_l", "_r")
         key = F.concat(F.lpad(F.hex("_l"), 16, "0"), F.lpad(F.hex("_r"), 16, "0")).cast("binary")
-        current = assign_names(pairs.select("_id", "_h", "_i", "_n", key.alias("_pair")), "_pair", ["_id", "_i"])
-        ended = current.filter("_n = 1").select(F.col("_id").alias("_eid"), F.col("_h").alias("_eh"), F.lit(rounds).alias("rounds"), F.col("_name").alias("_ename"))
+        current = assign_names(pairs.select("_row", "_i", "_n", key.alias("_pair")), "_pair", ["_row", "_i"])
+        ended = current.filter("_n = 1").select("_row", F.lit(rounds).alias("rounds"), F.col("_name").alias("_ename"))
         finals = ended if finals is None else finals.unionByName(ended)
         current = current.filter("_n > 1")
     if finals is not None:
-        long_ = heads.filter("_n > 1").join(finals, F.col("_id").eqNullSafe(F.col("_eid")) & (F.col("_h") == F.col("_eh")))
+        long_ = heads.filter("_n > 1").join(finals, "_row")
         done = done.unionByName(long_.select("_id", "n_bytes", "_sha", "rounds", F.col("_ename").alias("_name")))
     return done.select(F.col("_id").alias(id_col), "n_bytes", F.col("_sha").alias("sha256"), "rounds", F.col("_name").alias("name"))
 
@@ -129,7 +133,9 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
 def drop_exact_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """docs with, of equal texts, only the row with the largest id, and one of rows that repeat id and
-    text. A row without an id is kept where no row with an id has its text."""
+    text; rows that share an id and differ in text are documents of their own. A row without an id is kept
+    where no row with an id has its text. Null and empty texts are equal. Of an empty table nothing is left;
+    columns stay as they are."""
     rows = with_rows(docs)
     named = stored(content_names(rows, ROW, text_col)).select(ROW, F.struct("rounds", "name").alias("group"))
     return first_of_groups(rows, named, id_col, largest=True)
