@@ -45,6 +45,23 @@ def test_repeated_row_and_empty_table(docs_of):
     assert repeated_passages(docs_of([])).count() == 0
 
 
+def test_long_texts_and_many_contexts(docs_of):
+    """Texts of more than a piece, several sorted runs in a task, and a passage that goes on in many ways."""
+    rnd = random.Random(9)
+    noise = lambda n: "".join(rnd.choices("abcdefghijklmnopqrstuvwxyz ", k=n))
+    long_ = noise(600_000)
+    passage = noise(400)
+    rows = [(1, long_ + "end"), (2, "x" + long_), (3, long_[250_000:270_000] + noise(300)), (4, noise(300_000))]
+    rows += [(10 + i, noise(300) + passage + noise(300)) for i in range(3_000)]
+    got = {r.doc_id: (r.n_removed, [tuple(s) for s in r.removed]) for r in repeated_passages(docs_of(rows, 2)).collect()}
+    assert got[1] == (600_000, [(0, 600_000)]) and got[2] == (600_000, [(1, 600_001)]) and got[4] == (0, [])
+    assert got[3] == (20_000, [(0, 20_000)])
+    # What surrounds the passage is the same by chance for a few bytes.
+    for i in range(3_000):
+        (a, b), = got[10 + i][1]
+        assert 290 <= a <= 300 and 700 <= b <= 710
+
+
 @settings(max_examples=100, deadline=None)
 @given(st.lists(st.lists(st.binary(max_size=6), max_size=8), min_size=1, max_size=6))
 def test_merge(runs):

@@ -38,9 +38,9 @@ from tidewell.llm.common import arrow_rows, partitions, stored, text_bytes
 
 LENGTH, GRAM = 200, 32
 #: Bytes that are hashed at a time, and bytes of suffixes that a task sorts at a time.
-PIECE, SORTED = 1 << 18, 12 << 20
-#: Ranges of suffixes for each partition, and documents for each range that give the bounds.
-RANGES, BOUND_DOCS = 4, 5
+PIECE, SORTED = 1 << 18, 8 << 20
+#: Ranges of suffixes for each partition, and anchors for each range that give the bounds.
+RANGES, BOUND_GRAMS = 4, 20
 #: Windows of a group of suffixes that are compared at a time.
 CELLS = 250_000
 
@@ -112,12 +112,14 @@ def anchor_runs(texts: list[bytes]):
 
 
 def _anchors(batches):
+    """(hash, document, packed run): an anchor's place in the upper bits, and in the lower 16 the distances of
+    the first and the last window of its run, at most LENGTH - GRAM each."""
     for batch in batches:
         for a in range(0, batch.num_rows, 1000):
             part = batch.slice(a, 1000)
             keys = part.column("k").to_numpy()
-            for doc, at, _, _, h in anchor_runs(part.column("raw").to_pylist()):
-                yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(keys[doc]), pa.array(at)], ["h", "k", "p"])
+            for doc, at, s0, s1, h in anchor_runs(part.column("raw").to_pylist()):
+                yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(keys[doc]), pa.array(at << 16 | at - s0 << 8 | at - s1)], ["h", "k", "p"])
 
 
 def _repeated(batches):
@@ -143,12 +145,10 @@ def _repeated(batches):
 
 def _strings(batch):
     """(row, anchor, first window start, last window start, text) of the repeated anchors."""
-    texts = batch.column("raw").to_pylist()
-    wanted = [set(x) for x in batch.column("ps").to_pylist()]
-    for doc, at, s0, s1, _ in anchor_runs(texts):
-        for d, p, a, b in zip(doc.tolist(), at.tolist(), s0.tolist(), s1.tolist()):
-            if p in wanted[d]:
-                yield d, p, a, b, texts[d]
+    for d, (text, packed) in enumerate(zip(batch.column("raw").to_pylist(), batch.column("ps").to_pylist())):
+        for x in sorted(packed):
+            p = x >> 16
+            yield d, p, p - (x >> 8 & 255), p - (x & 255), text
 
 
 def _string_id(text: bytes, p: int, a: int, b: int) -> bytes:
@@ -351,18 +351,15 @@ def _merge(batches):
 
 
 def _bounds(b: DataFrame, ranges: int) -> list[bytes]:
-    """Bounds of the ranges: quantiles of the grams of some documents. They decide how evenly
-    the work is dealt and nothing else."""
-    few = min(1.0, BOUND_DOCS * ranges / max(1, b.count()))
-
-    def grams(batches):
-        for whole in batches:
-            for x in range(0, whole.num_rows, 500):
-                found = [text[p : p + GRAM] for _, p, _, _, text in _strings(whole.slice(x, 500))]
-                yield pa.RecordBatch.from_arrays([pa.array(found, pa.binary())], ["g"])
-
-    spot = F.pmod(F.col("k"), F.lit(1_000_003))
-    found = sorted({bytes(r.g) for r in b.filter(spot <= int(few * 1_000_003)).mapInArrow(grams, "g binary").distinct().toLocalIterator()})
+    """Bounds of the ranges: quantiles of the grams at about BOUND_GRAMS anchors for each range, chosen by a hash
+    among all. They decide how evenly the work is dealt and nothing else; their number grows with that of the
+    ranges, not with documents or their lengths."""
+    total = b.agg(F.sum(F.size("ps"))).first()[0] or 0
+    share = min(1.0, BOUND_GRAMS * ranges / max(1, total))
+    spot = F.pmod(F.xxhash64("k", "p"), F.lit(1_000_003))
+    chosen = b.select("k", "raw", F.explode("ps").alias("p")).filter(spot <= int(share * 1_000_003))
+    place = F.shiftright("p", 16).cast("int") + 1
+    found = sorted({bytes(r.g) for r in chosen.select(F.substring(F.col("raw"), place, F.lit(GRAM)).alias("g")).toLocalIterator()})
     return sorted({found[len(found) * i // ranges] for i in range(1, ranges)}) if found else []
 
 
@@ -390,8 +387,9 @@ def _cut(batches):
 def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per row of docs: id_col, n_bytes, n_removed, n_spans, removed (array of start and
     end of each maximal removed run, in bytes), kept_sha256 (of the remaining bytes). A null
-    text is an empty one; texts of less than LENGTH bytes stay whole. Ids may repeat or be null
-    (a row read twice repeats itself and goes); no column besides the two is read."""
+    text is an empty one; texts of less than LENGTH bytes stay whole; longer ones may be
+    of any length. Ids may repeat or be null (a row read twice repeats itself and goes); an empty table gives an empty
+    result; no column besides the two is read."""
     with arrow_rows(docs.sparkSession):
         return _repeated_passages(docs, id_col, text_col)
 
