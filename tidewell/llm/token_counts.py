@@ -1,14 +1,16 @@
 """Token counts by a map-side look-up in two tiers.
 
-Tokenizers of this kind drop white space and never let a token cross it, so the tokens of a
-text are the sum over its words. The lengths of frequent words come from a compact table that
-is broadcast (at most FREQUENT_WORDS entries, gathered from SAMPLE_ROWS rows; it only saves
-time and never changes a count). Other words are encoded by the tokenizer itself and kept in
-a bounded cache of the Python worker, which outlives the task. No word is ever shuffled.
+Tokenizers that normalise and split like SPLITTING drop white space and never let a token cross it, so
+the tokens of a text are the sum over its words. The lengths of frequent words come from a compact table
+that is broadcast: at most FREQUENT_WORDS entries, gathered in one task from a random sample of about
+SAMPLE_ROWS rows of the whole table. It only saves time and never changes a count. Other words are encoded
+by the tokenizer itself and kept in a bounded cache of the Python worker, which outlives the task. No word is
+ever shuffled. A tokenizer file of another kind is not taken apart: it gets whole texts.
 """
 
 from __future__ import annotations
 
+import json
 import os
 import unicodedata
 from collections import Counter
@@ -32,9 +34,28 @@ TOKEN_LIMIT = 2_048
 #: to the tokenizer whole.
 _PLAIN = regex.compile("[\t-\r\x20-\x7e\x80-ɏΑ-ΡΤ-ϿЀ-ԯ -⁤぀-ヿ一-鿌가-힣]*+")
 
+#: How a tokenizer has to treat a text for its words to count by themselves (fixed values of the file's format).
+SPLITTING = {
+    "normalizer": {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"}]},
+    "pre_tokenizer": {
+        "type": "Sequence",
+        "pretokenizers": [
+            {"type": "Split", "pattern": {"Regex": r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"}, "behavior": "Removed", "invert": True},
+            {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False},
+        ],
+    },
+    "post_processor": None, "truncation": None, "padding": None,
+}
+
 _worker: dict = {}
 
 
+def splits_words(source: str) -> bool:
+    """Whether the tokenizer file is of the kind that SPLITTING tells."""
+    told = json.loads(source)
+    return all(told.get(k) == v for k, v in SPLITTING.items())
+
+
 def _tokenizer(source: str):
     if _worker.get("source") != source:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -42,8 +63,10 @@ def _tokenizer(source: str):
 
         _worker.clear()
         tokenizer = Tokenizer.from_str(source)
+        tokenizer.no_truncation()
+        tokenizer.no_padding()
         marks = tuple(t.content for t in tokenizer.get_added_tokens_decoder().values())
-        _worker.update(source=source, tokenizer=tokenizer, cache={}, marks=marks)
+        _worker.update(source=source, tokenizer=tokenizer, cache={}, marks=marks, splits=splits_words(source))
     return _worker["tokenizer"]
 
 
@@ -53,7 +76,7 @@ def _lengths(words: list[str], tokenizer) -> list[int]:
 
 def _words(text: str) -> list[str] | None:
     """The words of a text, or None where only the tokenizer can tell them."""
-    if any(mark in text for mark in _worker["marks"]) or not _PLAIN.fullmatch(text):
+    if not _worker["splits"] or any(mark in text for mark in _worker["marks"]) or not _PLAIN.fullmatch(text):
         return None
     if not text.isascii():
         text = unicodedata.normalize("NFC", text)
@@ -109,7 +132,9 @@ def frequent_lengths(docs: DataFrame, text_col: str, source, rows: int = SAMPLE_
         if best:
             yield pa.RecordBatch.from_arrays([pa.array(best), pa.array(_lengths(best, tokenizer), pa.int32())], ["word", "n"])
 
-    few = docs.select(text_col).filter(F.col(text_col).isNotNull()).limit(rows)
+    n = docs.count()
+    # The sample is all that moves: about `rows` rows, however large the table.
+    few = docs.select(text_col).sample(min(1.0, rows / max(1, n)), 5).filter(F.col(text_col).isNotNull()).repartition(1)
     return {r.word: r.n for r in few.mapInArrow(top, "word string, n int").toLocalIterator()}
 
 
@@ -117,12 +142,12 @@ def token_counts(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", t
     """One row per row of docs: id_col, n_bytes (UTF-8), n_tokens, over_limit (n_tokens above
     limit). The tokens are those of the tokenizers library for the file at tokenizer_path,
     without added begin or end; special strings inside texts count as its default has them.
-    A null or empty text has 0 of both. Repeated rows are counted each, other columns are
-    not read."""
+    A null or empty text has 0 of both, texts may be of any length. Repeated rows are counted each, an empty
+    table gives an empty result, other columns are not read."""
     spark = docs.sparkSession
     with open(tokenizer_path, encoding="utf-8") as f:
         source = spark.sparkContext.broadcast(f.read())
-    table = spark.sparkContext.broadcast(_pack(frequent_lengths(docs, text_col, source)))
+    table = spark.sparkContext.broadcast(_pack(frequent_lengths(docs, text_col, source) if splits_words(source.value) else {}))
     id_type = docs.schema[id_col].dataType
 
     def count(batches):
