@@ -1,7 +1,10 @@
+import random
+
+import numpy as np
 import public_tokenizers
 from tokenizers import Tokenizer
 
-from tidewell.llm.language_id import CrossParser, identify, letters_of, suffix_automaton
+from tidewell.llm.language_id import Automaton, CrossParser, identify, letters_of, phrases, suffix_automaton
 from tidewell.llm.token_counts import token_counts
 
 PATH = public_tokenizers.path("word_bpe_49k.json")
@@ -19,6 +22,13 @@ def test_tokens_are_the_librarys(docs_of):
         assert (r.n_bytes, r.n_tokens, r.over_limit) == (len(text.encode()), n, n > 2048)
 
 
+def test_another_kind_of_tokenizer(docs_of):
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    library = Tokenizer.from_file(path)
+    got = token_counts(docs_of(list(enumerate(TEXTS))), path).collect()
+    assert all(r.n_tokens == len(library.encode(TEXTS[r.doc_id] or "", add_special_tokens=False).ids) for r in got)
+
+
 def test_tokens_of_no_rows(docs_of):
     assert token_counts(docs_of([]), PATH).count() == 0
 
@@ -43,7 +53,7 @@ def test_automaton_knows_substrings():
             assert known(x) == (x in subs)
 
 
-def phrases(text, train):
+def plain_phrases(text, train):
     """Longest-match phrases, one by one."""
     n, at = 0, 0
     while at < len(text):
@@ -54,16 +64,48 @@ def phrases(text, train):
     return n
 
 
+def substrings(stream, most=60):
+    return {tuple(stream[i:j]) for i in range(len(stream)) for j in range(i + 1, min(len(stream), i + most) + 1)}
+
+
 def test_phrase_counts_against_brute_force():
     texts = {"a": ["the cat sat on the mat and the dog ran"], "b": ["le chat est sur la table et le chien"]}
+    tests = [letters_of(t) for t in ("the cat on la table", "chien et chat", "zzz the q", "ж the ж", "a", "")]
+    for dense in (1 << 20, 0):
+        parser = CrossParser(texts, dense_bytes=dense)
+        for lang, automaton in zip(parser.langs, parser.automata):
+            train = substrings([*letters_of(texts[lang][0]).tolist(), 0])
+            assert phrases(automaton, tests).tolist() == [plain_phrases(t.tolist(), train) for t in tests], lang
+
+
+def test_long_texts_have_the_phrases_of_one_parse():
+    rnd = random.Random(6)
+    stream = np.array([rnd.choice([1, 2, 3, 4]) for _ in range(300)] + [7] * 40 + [0], np.uint32)
+    train = substrings(stream.tolist(), 400)
+    docs = [np.array([rnd.choice([1, 2, 3, 4, 5]) for _ in range(n)], np.uint32) for n in (0, 1, 7, 64, 65, 500, 1_000)]
+    docs += [np.full(700, 7, np.uint32), np.tile(stream[:90], 8), np.concatenate([stream, stream, np.full(300, 5, np.uint32), stream])]
+    want = [plain_phrases(d.tolist(), train) for d in docs]
+    for dense in (1 << 20, 0):
+        automaton = Automaton(stream, dense)
+        for lane in (1, 2, 8, 64, 5_000):
+            assert phrases(automaton, docs, lane).tolist() == want, lane
+
+
+def test_costs_and_ties():
+    parser = CrossParser({"y": ["abcab"], "x": ["abcab"], "z": ["qqqqq"]})
+    langs, scores = parser.predict(["abcabc", "qq", "?", None])
+    assert langs == ["x", "z", "und", "und"] and scores[0] == 0 and 0 < scores[1] <= 1 and scores[2] == 0
+    text = letters_of("abcabc")
+    assert np.allclose(parser.costs([text])[0], [plain_phrases(text.tolist(), substrings([*letters_of("abcab").tolist(), 0])) * np.log2(7) / 6] * 2 + [np.log2(7)])
+
+
+def test_tables_of_a_large_alphabet():
+    rnd = random.Random(7)
+    chars = [chr(0x4E00 + i) for i in range(5_000)]
+    texts = {"zh": ["".join(rnd.choice(chars) for _ in range(50_000))], "en": ["the cat sat on the mat " * 30]}
     parser = CrossParser(texts)
-    tests = ["the cat on la table", "chien et chat", "zzz the q", "ж the ж", "a"]
-    counts = parser.phrases([parser.symbol[letters_of(t)] for t in tests])
-    for k, lang in enumerate(parser.langs):
-        stream = [*parser.symbol[letters_of(texts[lang][0])].tolist(), 0]
-        subs = {tuple(stream[i:j]) for i in range(len(stream)) for j in range(i + 1, len(stream) + 1)}
-        for t, n in zip(tests, counts[:, k]):
-            assert n == phrases(parser.symbol[letters_of(t)].tolist(), subs), (lang, t)
+    held = sum(x.nbytes for a in parser.automata for x in (a.dense, a.keys, getattr(a, "to", None), a.root, a.letters) if x is not None)
+    assert held < 64 << 20 and parser.predict([texts["zh"][0][:300], "the mat sat"])[0] == ["zh", "en"]
 
 
 def test_languages(docs_of):
