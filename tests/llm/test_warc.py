@@ -1,6 +1,7 @@
 import gzip
 import hashlib
 
+import pytest
 from pyspark.sql import functions as F
 
 from tidewell.llm import warc
@@ -23,7 +24,7 @@ def test_round_trip(spark, tmp_path):
         again = len(raw) >= 100 and i != first
         want.append((i, len(raw), hashlib.sha256(raw).hexdigest(), "revisit" if again else "response", first if again else None))
     assert got == sorted(want, key=repr)
-    assert not [p for p in (tmp_path / "w").iterdir() if p.name.startswith("_")]
+    assert len([p for p in (tmp_path / "w").iterdir() if p.name.startswith("_files-")]) == 1
     data = b"".join(gzip.decompress(p.read_bytes()) for p in (tmp_path / "w").glob("*.gz"))
     assert data.count(b"WARC/1.1\r\n") == len(rows)
 
@@ -54,6 +55,41 @@ def test_foreign_files(spark, tmp_path):
     assert warc.read_warc(spark, f"file://{tmp_path}").filter(F.col("warc_type") == "metadata").count() == 2
 
 
+def test_several_records_in_a_member(spark, tmp_path):
+    record = lambda n, kind: b"WARC/1.0\r\nWARC-Type: %s\r\nContent-Length: %d\r\n\r\n" % (kind, n) + b"x" * n + b"\r\n\r\n"
+    (tmp_path / "a.warc.gz").write_bytes(gzip.compress(record(5, b"warcinfo") + record(200_000, b"resource") + record(0, b"metadata")) + gzip.compress(record(7, b"resource")))
+    for payload in (True, False):
+        got = warc.read_warc(spark, f"file://{tmp_path}", payload).collect()
+        assert [(r.warc_type, r.content_length) for r in got] == [("warcinfo", 5), ("resource", 200_000), ("metadata", 0), ("resource", 7)]
+        assert not payload or [len(r.payload) for r in got] == [5, 200_000, 0, 7]
+    assert [r.content_length for r in warc.read_warc(spark, f"file://{tmp_path}").filter("warc_type = 'resource'").collect()] == [200_000, 7]
+
+
+@pytest.mark.parametrize("name", ["a.warc", "a.warc.gz"])
+def test_damaged_archives(spark, tmp_path, name):
+    one = b"WARC/1.0\r\nWARC-Type: resource\r\nContent-Length: 280\r\n\r\n" + bytes(range(256)) + b"y" * 24 + b"\r\n\r\n"
+    pack = gzip.compress if name.endswith("gz") else bytes
+    for cut in (len(pack(one)) + 20, len(pack(one)) + len(pack(one)) // 2, 2 * len(pack(one)) - (6 if name.endswith("gz") else 100)):
+        (tmp_path / name).write_bytes((pack(one) + pack(one))[:cut])
+        for payload in (True, False):
+            with pytest.raises(Exception, match="cut off|damaged|no gzip member"):
+                warc.read_warc(spark, f"file://{tmp_path}", payload).collect()
+        got = warc.read_warc(spark, f"file://{tmp_path}", mode="permissive").collect()
+        assert [len(r.payload) for r in got][:1] == [280] and len(got) <= 2
+    (tmp_path / name).write_bytes(b"")
+    assert warc.read_warc(spark, f"file://{tmp_path}").count() == 0
+
+
+def test_only_accepted_files_are_read(spark, tmp_path):
+    path = f"file://{tmp_path}/w"
+    warc.archive(pages(spark, [(1, "u", "a" * 200, "", "")]), path)
+    mine = next((tmp_path / "w").glob("*.warc.gz"))
+    (tmp_path / "w" / "part-lost.warc.gz").write_bytes(mine.read_bytes())
+    assert [r.id for r in warc.archived(spark, path).collect()] == [1]
+    warc.archive(pages(spark, [(2, "u", "b" * 200, "", "")]), path)
+    assert sorted(r.id for r in warc.archived(spark, path).collect()) == [1, 2]
+
+
 def test_no_pages(spark, tmp_path):
     path = f"file://{tmp_path}/none"
     warc.archive(pages(spark, []), path)
