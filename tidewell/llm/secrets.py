@@ -16,6 +16,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tidewell.llm.common import new_path
+
 
 @dataclass(frozen=True)
 class Rule:
@@ -44,6 +46,8 @@ RULES = BASE_RULES + ADDED_RULES
 #: A query is a trigram, ("and", queries), ("or", queries) or None, which every text satisfies.
 MOST_STRINGS = 64
 MASK_BITS = 60
+#: Candidates (id and rules, 16 bytes) are broadcast up to this many; more are joined, by a shuffle of the texts.
+BROADCAST_IDS = 1_000_000
 
 
 def _all(queries) -> object:
@@ -155,14 +159,18 @@ def secret_spans(docs: DataFrame, rules: tuple[Rule, ...] = RULES, id_col: str =
     """One row per row of docs: id_col and `spans`, array<struct<start, k, end, kind>> in the
     order of start and then of the rules; positions are code points, the end is exclusive.
     Null and empty texts have no spans. Ids may repeat or be null: the index only narrows down
-    which rules to try, and a row without an id is tried with all of them."""
+    which rules to try, and a row without an id is tried with all of them. Texts may be of any length, an empty
+    table gives an empty result, and other columns are not read."""
     queries = [trigram_query(r.pattern) for r in rules]
     trigrams = sorted(set().union(*map(trigrams_of, queries)))
     base = docs.select(id_col, F.coalesce(text_col, F.lit("")).alias("_text"))
     everywhere = sum(1 << i for i, q in enumerate(queries) if q is None)
     if trigrams:
-        found = candidates(trigram_index(docs, trigrams, id_col, text_col), queries, trigrams, id_col)
-        base = base.join(found.withColumnRenamed(id_col, "_cid"), F.col(id_col) == F.col("_cid"), "left")
+        # Written by Spark's own writer, as no Python is to run here; it is counted before it is joined.
+        spark, path = docs.sparkSession, new_path(docs.sparkSession, "candidates")
+        candidates(trigram_index(docs, trigrams, id_col, text_col), queries, trigrams, id_col).withColumnRenamed(id_col, "_cid").write.parquet(path)
+        found = spark.read.parquet(path)
+        base = base.join(F.broadcast(found) if found.count() <= BROADCAST_IDS else found, F.col(id_col) == F.col("_cid"), "left")
         asked = F.when(F.col(id_col).isNull(), F.lit((1 << len(rules)) - 1)).otherwise(F.coalesce("_rules", F.lit(0)).bitwiseOR(F.lit(everywhere)))
     else:
         asked = F.lit(everywhere)
