@@ -20,7 +20,8 @@ from tidewell.llm.warc import archive, archived
 
 def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir)
-    held_out = F.crc32(F.col("doc_id").cast("string")) % 5 == 0
+    # A row without an id has no remainder and is not held out.
+    held_out = F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 5 == 0, F.lit(False))
     marked = docs.withColumn("held_out", held_out)
     return identify(marked, docs.filter(~held_out), keep=("held_out",)).select("doc_id", "held_out", "lang_pred", "score")
 
@@ -123,4 +124,38 @@ ORACLES = {
                doc_id = max(doc_id) OVER same AS kept, sha256(coalesce(text, '')) AS text_sha256
         FROM documents WINDOW same AS (PARTITION BY coalesce(text, ''))
     """,
+    # Windows of 200 bytes (400 hexadecimal digits), taken from pieces of 512 windows.
+    "op4_suffix_array_dedup": """
+        WITH d AS (SELECT doc_id, encode(coalesce(text, '')) AS raw, hex(encode(coalesce(text, ''))) AS h FROM documents),
+        part AS (SELECT doc_id, c, substr(h, CAST(1024 * c + 1 AS BIGINT), 1424) AS h FROM (SELECT doc_id, h, unnest(range(0, (greatest(octet_length(raw) - 199, 0) + 511) // 512)) AS c FROM d)),
+        win AS (SELECT doc_id, 512 * c + i AS s, md5_number(substr(h, CAST(2 * i + 1 AS BIGINT), 400)) AS m FROM (SELECT doc_id, c, h, unnest(range(0, least(512, length(h) // 2 - 199))) AS i FROM part)),
+        twice AS (SELECT m FROM win GROUP BY m HAVING count(*) > 1),
+        hit AS (SELECT doc_id, s, CASE WHEN s - lag(s) OVER w <= 200 THEN 0 ELSE 1 END AS fresh FROM win WHERE m IN (SELECT m FROM twice) WINDOW w AS (PARTITION BY doc_id ORDER BY s)),
+        run AS (SELECT doc_id, s, sum(fresh) OVER (PARTITION BY doc_id ORDER BY s) AS r FROM hit),
+        span AS (SELECT doc_id, r, min(s) AS a, max(s) + 200 AS e FROM run GROUP BY doc_id, r),
+        gap AS (SELECT doc_id, a, e, coalesce(lag(e) OVER (PARTITION BY doc_id ORDER BY a), 0) AS p FROM span),
+        cut AS (SELECT gap.doc_id, sum(e - a) AS n_removed, count(*) AS n_spans, max(e) AS last, string_agg(substr(h, CAST(2 * p + 1 AS BIGINT), CAST(2 * (a - p) AS BIGINT)), '' ORDER BY a) AS kept FROM gap JOIN d ON d.doc_id = gap.doc_id GROUP BY gap.doc_id)
+        SELECT d.doc_id, octet_length(raw) AS n_bytes, CAST(coalesce(n_removed, 0) AS BIGINT) AS n_removed, coalesce(n_spans, 0) AS n_spans,
+               sha256(CASE WHEN n_spans IS NULL THEN raw ELSE unhex(kept || substr(h, CAST(2 * last + 1 AS BIGINT))) END) AS kept_sha256
+        FROM d LEFT JOIN cut ON cut.doc_id = d.doc_id
+    """,
+    # Sets that are similar enough have one of their rarest shingles in common: front.
+    "op10_minhash_near_dedup": """
+        WITH RECURSIVE w AS (
+            SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\\x20\\x09-\\x0D]+'), lambda x: x <> '') AS ws FROM documents),
+        s AS (
+            SELECT DISTINCT doc_id, unnest(CASE WHEN len(ws) = 0 THEN [] WHEN len(ws) = 1 THEN ws ELSE list_transform(range(1, len(ws)), lambda i: ws[i] || ' ' || ws[i + 1]) END) AS sh FROM w),
+        sized AS (SELECT *, count(*) OVER (PARTITION BY doc_id) AS n, count(*) OVER (PARTITION BY sh) AS f FROM s),
+        ranked AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY f, sh) AS r FROM sized),
+        front AS (SELECT doc_id, sh, n FROM ranked WHERE r <= n - CAST(ceil(n * 0.8) AS BIGINT) + 1),
+        cand AS (SELECT DISTINCT x.doc_id AS a, y.doc_id AS b, x.n AS na, y.n AS nb FROM front x JOIN front y ON x.sh = y.sh AND x.doc_id < y.doc_id WHERE 100 * least(x.n, y.n) >= 80 * greatest(x.n, y.n)),
+        common AS (SELECT a, b, any_value(na) AS na, any_value(nb) AS nb, count(*) AS i FROM cand JOIN s p ON p.doc_id = a JOIN s q ON q.doc_id = b AND q.sh = p.sh GROUP BY a, b),
+        link AS (SELECT a, b FROM common WHERE 100 * i >= 80 * (na + nb - i)),
+        edge AS (SELECT a, b FROM link UNION SELECT b, a FROM link),
+        reach AS (SELECT a, b FROM edge UNION SELECT r.a, e.b FROM reach r JOIN edge e ON r.b = e.a),
+        least_ AS (SELECT a, least(a, min(b)) AS c FROM reach GROUP BY a),
+        size AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id)
+        SELECT d.doc_id, coalesce(size.n, 0) AS n_shingles, coalesce(least_.c, d.doc_id) AS component_id, coalesce(least_.c, d.doc_id) = d.doc_id AS kept
+        FROM documents d LEFT JOIN size ON size.doc_id = d.doc_id LEFT JOIN least_ ON least_.a = d.doc_id
+    """,
 }
