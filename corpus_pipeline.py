@@ -3,24 +3,27 @@
 Each stage takes (spark, docs, sf_dir); all but the last return the columns of docs. run() writes
 each stage's rows as Parquet into the shared folder, so a lost executor costs one stage's tasks
 and no stage computes an earlier one again. Every stage decides on rows, not on ids: ids may repeat
-or be null.
+or be null. Null and empty texts are texts without words; they are judged by their metadata, are copies of each
+other for `exact`, have no near copy and hold no test item. Texts are read whole, however long. Rows that
+repeat all but the id, or the id too, are copies: one stays. Of an empty table nothing is left. Further columns go
+along, whatever their names; only `mixture` replaces columns called domain, rate and copies.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidewell.llm.common import documents, stored
+from tidewell.llm.common import documents, stored, tidy
 from tidewell.llm.decontaminate import drop_contaminated
 from tidewell.llm.exact_dedup import drop_exact_copies
 from tidewell.llm.mixing import mixed
 from tidewell.llm.near_dedup import drop_near_copies
-from tidewell.llm.quality import drop_toxic, keep_good
+from tidewell.llm.quality import keep_good
 from tidewell.llm.queries import MIXTURE
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Rejects what the co-trained classifier takes for poor."""
+    """Rejects what the co-trained classifier takes for poor, and what it takes for toxic."""
     return keep_good(docs, documents(spark, sf_dir, "labels"))
 
 
@@ -39,17 +42,12 @@ def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
     return drop_contaminated(docs, documents(spark, sf_dir, "benchmark"), keep_without_id=False)
 
 
-def harmless(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops rows that the classifier takes for toxic."""
-    return drop_toxic(docs, documents(spark, sf_dir, "labels"))
-
-
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Adds each document's domain, its rate in the mixture and the copies to take."""
     return mixed(docs, documents(spark, sf_dir, "labels"), MIXTURE)
 
 
-STAGES = [("quality", quality), ("exact", exact), ("near", near), ("decontaminated", decontaminated), ("harmless", harmless), ("mixture", mixture)]
+STAGES = [("quality", quality), ("exact", exact), ("near", near), ("decontaminated", decontaminated), ("mixture", mixture)]
 
 #: Trained classifiers and similarity of shingle sets are not for SQL; tests/llm holds the stages
 #: against brute force.
@@ -59,5 +57,8 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir)
     for name, stage in STAGES:
-        docs = stored(stage(spark, docs, sf_dir), f"stage-{name}")
+        # What a stage has stored on its way is removed when its rows are written.
+        with tidy(spark) as kept:
+            docs = stored(stage(spark, docs, sf_dir), f"stage-{name}")
+            kept.append(docs)
     return docs
