@@ -8,7 +8,7 @@ import pytest
 
 from tidewell.plans import inspect
 from tidewell.plans.encode import JobConfig, encode
-from tidewell.plans.timing import StatePolicy, decode_duration, fuse_threshold
+from tidewell.plans.timing import HELD, NEW, NO_MARGIN, UPDATE, Progress, StateChoice, decode_duration, decode_margin, fuse_threshold
 from tidewell.raster.layout import Box, decode_base, picture_similarity, windows_for
 from tidewell.sources import bdn, codec, pgs
 
@@ -179,12 +179,149 @@ def test_timing():
     assert decode_duration(codec.NORMAL, 0, {0: 40_000}, [], {}) == 114
     assert decode_duration(codec.EPOCH_START, 1920 * 1080, {0: 4_000}, [(0, 0)], {0: 4_000}) == 5832 + 12
     assert fuse_threshold(1080, 1.0, 1.0) == pytest.approx(0.9608 + 1080 * 0.014 / 600)
-    p = StatePolicy(0.5, 1.0, 2)
-    assert p.decide(False, False)[0] == codec.EPOCH_START and p.decide(True, False)[0] == codec.NORMAL
-    assert p.decide(False, True, margin=0.4) == (codec.NORMAL, False) and not p.acquisition_due(True)
-    for _ in range(3):
-        p.decide(False, True, margin=0.0)
-    assert p.acquisition_due() and p.decide(False, True, margin=0.45) == (codec.ACQUISITION, True)
+
+
+def test_states():
+    choice, now = StateChoice(0.5, 1.0, 2), Progress()
+    state, _, now = choice.next(now, NEW)
+    assert state == codec.EPOCH_START and now == Progress(0.0, 0)
+    state, again, now = choice.next(now, HELD, margin=0.4)
+    assert (state, again) == (codec.NORMAL, False) and now == Progress(1.0, 1) and not choice.due(now)
+    for _ in range(2):
+        _, _, now = choice.next(now, HELD, margin=0.0)
+    assert choice.due(now) and choice.acquired(now) == Progress(3.0, 0)
+    # The bar has fallen to 0.5 - 3 * 0.035.
+    assert choice.next(now, HELD, margin=0.395)[0] == codec.NORMAL
+    assert choice.next(now, HELD, margin=0.396) == (codec.ACQUISITION, True, Progress(0.0, 0))
+    assert choice.next(now, HELD, must=True) == (codec.ACQUISITION, False, Progress(0.0, 0))
+    assert choice.next(now, UPDATE, must=True) == (codec.NORMAL, False, Progress(3.0, 4))
+    assert StateChoice(0.0).next(now, NEW)[0] == codec.ACQUISITION and StateChoice(0.0).next(Progress(), HELD)[0] == codec.NORMAL
+    assert decode_margin(100, 80, 500, 400, 50, 10) == 2.0 and decode_margin(80, 80, 500, 400, 50, 10) == decode_margin(100, 80, 440, 400, 50, 10) == NO_MARGIN
+
+
+def stream(spark, tmp_path, events, pictures, **options):
+    xml, img = project(tmp_path, events, pictures=pictures)
+    out = str(tmp_path / "out.sup")
+    pgs.write_sup(encode(spark, xml, img, JobConfig(**options)), out, overwrite=True)
+    rows = pgs.read_segments(spark, out).orderBy("seg_ord").collect()
+    bad = [(r.rule, r.ds, r.detail) for r in inspect.findings(pgs.read_segments(spark, out), pgs.read_status(spark, out)).filter("hard").collect()]
+    return rows, [(r.pcs.state, len(r.pcs.objects)) for r in rows if r.pcs is not None], bad
+
+
+def test_compression_changes_the_stream(spark, tmp_path):
+    """A picture that comes back after a short gap is still held: with time to spare it is sent again or not."""
+    shown = lambda a, b: (f"00:00:{a}", f"00:00:{b}", "False", [(900, 950, 120, 40, "a.png")])
+    events = [shown("10:00", "11:00"), shown("11:01", "12:00"), shown("12:01", "13:00")]
+    pictures = [("a.png", picture(120, 40))]
+    sent = {}
+    for compression in (0.0, 1.0):
+        rows, states, bad = stream(spark, tmp_path, events, pictures, compression=compression)
+        sent[compression] = sum(r.ods is not None for r in rows)
+        assert bad == [] and states[0] == (codec.EPOCH_START, 1)
+    # The bar falls with every set that passes, so that even the highest one lets the third set through.
+    assert sent == {0.0: 2, 1.0: 3}
+
+
+def test_slots_and_content(spark, tmp_path):
+    """Objects have the epoch's largest size, placed where the content is, or with tight their own."""
+    wide, small = picture(200, 60), picture(60, 30, (10, 200, 30, 255))
+    events = [("00:00:10:00", "00:00:11:00", "False", [(800, 900, 200, 60, "w.png")]), ("00:00:11:00", "00:00:12:00", "False", [(850, 940, 60, 30, "s.png")])]
+    rows, states, bad = stream(spark, tmp_path, events, [("w.png", wide), ("s.png", small)], single_object=True)
+    assert bad == [] and [(r.ods.w, r.ods.h) for r in rows if r.ods] == [(200, 60)] * 2 and states[1][0] == codec.ACQUISITION
+    for r, (x, y, a) in zip([r for r in rows if r.ods], ((800, 900, wide), (850, 940, small))):
+        pcs = next(p.pcs for p in rows if p.pcs is not None and any(o.o_id == r.ods.o_id for o in p.pcs.objects))
+        o = next(o for o in pcs.objects if o.o_id == r.ods.o_id)
+        bitmap, _ = codec.decode_rle(bytes(r.ods.data), r.ods.w, r.ods.h)
+        at = bitmap[y - o.y : y - o.y + a.shape[0], x - o.x : x - o.x + a.shape[1]]
+        assert ((at != 255) == (a[..., 3] > 0)).all() and (bitmap != 255).sum() == (a[..., 3] > 0).sum()
+    rows, _, _ = stream(spark, tmp_path, events, [("w.png", wide), ("s.png", small)], single_object=True, tight=True)
+    assert [(r.ods.w, r.ods.h) for r in rows if r.ods] == [(200, 60), (60, 30)]
+
+
+def test_due_acquisition_is_put_in(spark, tmp_path):
+    fade = [(f"f{i}.png", picture(200, 40, (250, 250, 250, 255 - i))) for i in range(6)]
+    events = [(f"00:00:1{i}:00", f"00:00:1{i + 1}:00", "False", [(800, 900, 200, 40, f"f{i}.png")]) for i in range(6)]
+    rows, states, bad = stream(spark, tmp_path, events, fade, acquisition_after=2)
+    plain, before, _ = stream(spark, tmp_path, events, fade)
+    assert bad == [] and [s for s, _ in states].count(codec.ACQUISITION) == 1 and len(states) == len(before) + 1
+    put_in = next(r for r in rows if r.pcs is not None and r.pcs.state == codec.ACQUISITION)
+    assert put_in.pts not in {r.pts for r in plain} and put_in.pts % 3750 == 0
+
+
+def test_one_window_changes_alone(spark, tmp_path):
+    events = [
+        ("00:00:10:00", "00:00:14:00", "False", [(100, 80, 64, 30, "b.png")]),
+        ("00:00:12:00", "00:00:16:00", "False", [(1500, 980, 300, 50, "c.png")]),
+    ]
+    pictures = [("b.png", picture(64, 30, (200, 30, 30, 255))), ("c.png", picture(300, 50, (20, 200, 20, 255)))]
+    rows, states, bad = stream(spark, tmp_path, events, pictures, normal_case=True)
+    assert bad == [] and states == [(codec.EPOCH_START, 1), (codec.NORMAL, 2), (codec.NORMAL, 1), (codec.NORMAL, 0)]
+    entries = [r.pds.entries for r in rows if r.pds is not None]
+    assert len(entries) == 2 and set(entries[0]) < set(entries[1])
+    _, states, bad = stream(spark, tmp_path, events, pictures)
+    assert bad == [] and codec.ACQUISITION in [s for s, _ in states]
+
+
+def test_pictures_by_path(spark, tmp_path):
+    """Pictures of one name in two folders."""
+    for sub, colour in (("one", (250, 250, 250, 255)), ("two", (10, 10, 200, 255))):
+        (tmp_path / "img" / sub).mkdir(parents=True)
+        (tmp_path / "img" / sub / "a.png").write_bytes(png(picture(120, 40, colour)))
+    events = [("00:00:10:00", "00:00:11:00", "False", [(0, 0, 120, 40, "img/one/a.png")]), ("00:00:20:00", "00:00:21:00", "False", [(0, 0, 120, 40, "./img/x/../two/a.png")])]
+    rows, _, bad = stream(spark, tmp_path, events, [])
+    ys = [max(e.y for e in r.pds.entries.values()) for r in rows if r.pds is not None]
+    assert bad == [] and len(ys) == 2 and ys[0] > 200 > 100 > ys[1]
+
+
+def test_overlapping_pictures_are_rejected(spark, tmp_path):
+    with pytest.raises(ValueError, match="overlap"):
+        encode(spark, *project(tmp_path, [("00:00:10:00", "00:00:12:00", "x", [(0, 0, 120, 40, "a.png"), (60, 10, 120, 40, "a.png")])], pictures=[("a.png", picture(120, 40))]))
+
+
+def test_command(spark, tmp_path, capsys):
+    import json
+
+    from tidewell.plans.__main__ import main, matrix_of
+
+    event = [("00:00:10:00", "00:00:12:00", "False", [(0, 0, 120, 40, "a.png")]), ("00:00:20:00", "00:00:22:00", "False", [(0, 0, 120, 40, "a.png")])]
+    xml, img = project(tmp_path, event, pictures=[("a.png", picture(120, 40))])
+    (tmp_path / "q.ini").write_text("[PILIQ]\ndither = 1\nquality=50\n")
+    out = str(tmp_path / "o.sup")
+    run = ["encode", xml, img, out, "--json", "-q", "1", "--config", str(tmp_path / "q.ini"), "--bt-matrix", "BT.601", "-c", "60", "--redraw-period", "0.5", "-m", "60000"]
+    assert main(run) == 0
+    said = [json.loads(x) for x in capsys.readouterr().out.splitlines() if x.startswith("{")]
+    assert [e["type"] for e in said if e["type"] in ("log", "done")] == ["log", "done"]
+    assert [(e["percent"], e["epoch"], e["total"]) for e in said if e["type"] == "progress"] == [(0, 0, 2), (50, 1, 2), (100, 2, 2)]
+    assert len([e for e in said if e["type"] == "warn"]) == 2
+    done = said[-1]
+    assert done["success"] and (done["events"], done["epochs"], done["es"], done["display_sets"]) == (2, 2, 2, 4)
+    assert main(run) == 1 and main([*run, "-y"]) == 0 and main(["encode", xml, img, out, "-m", "5"]) == 1
+    assert [matrix_of(x) for x in ("601", "bt-2020", "x")] == ["bt601", "bt2020", None]
+    assert not [p for p in tmp_path.iterdir() if p.name.endswith(".part")]
+
+
+def test_failed_write_leaves_nothing(spark, tmp_path):
+    from pyspark.sql import functions as F
+
+    rows = spark.range(3).select(F.col("id").alias("seg_ord"), F.lit(128).cast("short").alias("type"), F.lit(0).cast("long").alias("pts"), F.lit(0).cast("long").alias("dts"), F.when(F.col("id") == 2, F.raise_error(F.lit("no")).cast("binary")).alias("payload"))
+    with pytest.raises(Exception):
+        pgs.write_sup(rows, str(tmp_path / "x.sup"))
+    with pytest.raises(FileExistsError):
+        (tmp_path / "b").write_bytes(b"kept")
+        pgs.write_elementary(rows.filter("seg_ord < 2"), str(tmp_path / "a"), str(tmp_path / "b"))
+    assert [p.name for p in tmp_path.iterdir()] == ["b"] and (tmp_path / "b").read_bytes() == b"kept"
+
+
+def test_dithered_palette_keeps_the_mean():
+    from tidewell.raster.colours import dithered
+
+    ramp = np.zeros((16, 64, 4), np.uint8)
+    ramp[..., 0], ramp[..., 3] = np.arange(64), 255
+    table = np.array([[0, 0, 0, 255], [63, 0, 0, 255]], np.uint8)
+    got = table[dithered(ramp, table)][..., 0].astype(int)
+    plain = table[(ramp[..., 0] > 31).astype(int)][..., 0].astype(int)
+    off = lambda a: abs(a[:, 16:32].mean() - ramp[:, 16:32, 0].mean())
+    assert set(np.unique(got)) == {0, 63} and off(got) < off(plain)
 
 
 def test_similarity():

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 import logging
 import threading
 import time
@@ -30,13 +31,15 @@ class Runner:
         if not self._lock.acquire(blocking=False):
             raise Busy("a job is running")
         began = time.monotonic()
+        self.emit({"type": "log", "level": "info", "msg": "the job begins"})
         self._group, self._cancelled = f"tidewell-{uuid.uuid4().hex}", False
         self.spark.sparkContext.setJobGroup(self._group, "tidewell job", interruptOnCancel=True)
         try:
-            counters = job(lambda done, total: self.emit({"type": "progress", "percent": 100 * done // max(total, 1), "epoch": done, "total": total}))
+            counters = job(self.progress)
             event = {"type": "done", "success": True, **counters}
         except Exception as e:
             log.debug("the job failed", exc_info=True)
+            self.emit({"type": "log", "level": "error", "msg": str(e).splitlines()[0] if str(e) else type(e).__name__})
             event = {"type": "done", "success": False, "error": str(e).splitlines()[0] if str(e) else type(e).__name__, "cancelled": self._cancelled}
         finally:
             self.spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
@@ -45,31 +48,57 @@ class Runner:
         self.emit(event)
         return event
 
+    def progress(self, epoch: int, total: int) -> None:
+        self.emit({"type": "progress", "percent": 100 * epoch // max(total, 1), "epoch": epoch, "total": total})
+
     def cancel(self) -> None:
         self._cancelled = True
         self.spark.sparkContext.cancelJobGroup(self._group)
 
 
-def encode_job(spark: SparkSession, xml: str, folder: str, out: str, config=None, elementary: tuple[str, str] | None = None, overwrite: bool = False) -> Callable:
-    """A job for Runner: encodes a project, writes its stream and, if it keeps the bitrate, the
-    elementary stream and its index. The stream is written in any case."""
+def as_line(event: dict) -> str:
+    """An event as a line of NDJSON; what is None is left out."""
+    return json.dumps({k: v for k, v in event.items() if v is not None}, separators=(",", ":"), ensure_ascii=False)
+
+
+def encode_job(spark: SparkSession, xml: str, folder: str, out: str, config=None, elementary: tuple[str, str] | None = None, overwrite: bool = False, warn: Callable[[str, int], None] = lambda kind, count: None, after: Callable[[DataFrame], None] = lambda segments: None) -> Callable:
+    """A job for Runner: encodes a project, writes its stream and, if it keeps the bitrate, the elementary stream and
+    its index. The stream is written in any case. Progress is told by epoch while it is written. warn gets kinds of
+    warnings and how often they apply; after gets the segments when all is written."""
     from tidewell.plans import encode, inspect
-    from tidewell.sources import codec, pgs
+    from tidewell.sources import bdn, codec, pgs
 
     def job(progress) -> dict:
-        progress(0, 3)
         settings = config or encode.JobConfig()
+        for text in settings.warnings:
+            warn(text, 1)
         segments = encode.encode(spark, xml, folder, settings).persist()
         try:
-            count = pgs.write_sup(segments, out, overwrite=overwrite)
-            progress(1, 3)
+            sets = inspect.with_sets(pgs.parsed(segments))
+            seen = inspect.census(sets).first()
+            total = seen.epochs if seen else 0
+            progress(0, total)
+            done = 0
+
+            def told(segment: bytes) -> None:
+                nonlocal done
+                if segment[10] == codec.COMPOSITION and segment[codec.HEADER.size + 7] & codec.EPOCH_START:
+                    done += 1
+                    progress(done, total)
+
+            count = pgs.write_sup(segments, out, overwrite=overwrite, told=told)
             ok = not settings.max_kbps or inspect.bitrate_stats(segments, settings.max_kbps * 1000 // 8).filter("not ok").isEmpty()
-            progress(2, 3)
+            if not ok:
+                warn("the bitrate is exceeded", 1)
             if elementary and ok:
                 pgs.write_elementary(segments, *elementary, overwrite=overwrite)
-            sets = segments.agg(F.count_if(F.col("type") == codec.COMPOSITION).alias("n")).first()[0]
-            progress(3, 3)
-            return {"segments": count, "display_sets": sets, "compliant": ok}
+            header = bdn.read_header(spark, xml, settings.any_size).first()
+            events = bdn.read_events(spark, xml, header.rate.num // 1000 if header.rate.den == 1001 else header.rate.num).count()
+            after(segments)
+            names = ("es", "acq", "nc", "nc_ods", "pu", "pu_buffered", "display_sets")
+            # Sets that go on with objects of sets before them.
+            held = sets.groupBy("ds").agg(F.max(F.when(F.col("pcs.state") == codec.NORMAL, F.size("pcs.objects"))).alias("n"), F.count_if(F.col("type") == codec.OBJECT).alias("sent")).filter("n > 0 and sent = 0").count()
+            return {"events": events, "epochs": total, "segments": count, **{n: seen[n] if seen else 0 for n in names}, "reuse_candidates": held, "compliant": ok}
         finally:
             segments.unpersist()
 

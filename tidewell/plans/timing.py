@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass, field
+from collections.abc import Callable
+from dataclasses import dataclass, replace
 
 from tidewell.raster.layout import ticks
 from tidewell.sources.codec import ACQUISITION, EPOCH_START, NORMAL
@@ -11,6 +12,8 @@ from tidewell.sources.codec import ACQUISITION, EPOCH_START, NORMAL
 #: terms of the similarity from which pictures are fused.
 DECODE_RATE, COMPOSE_RATE, DROUGHT = 16_000_000, 32_000_000, 0.035
 BASE, SLOPE, HIGHEST, BIAS = 0.9608, 0.014 / 600, 0.9999, 0.008333
+#: The margin of a display set that the decoder has no time for.
+NO_MARGIN = -1.0
 
 
 def copy(area: int) -> int:
@@ -42,37 +45,71 @@ def fuse_threshold(height: int, share: float, offset: float = 0.0) -> float:
     return min(1.0, base + (1 - base) * (1 - share) - BIAS * (1 - offset))
 
 
-@dataclass
-class StatePolicy:
-    """Chooses the state of each display set; remembers how long there was no acquisition and how many
-    palette updates followed the last one."""
-
-    threshold: float = 0.5
-    refresh_rate: float = 1.0
-    insert_after: int = 0
-    drought: float = field(default=0.0, init=False)
-    updates: int = field(default=0, init=False)
-
-    def decide(self, normal: bool, reusable: bool, forced: bool = False, force: bool = False, valid: bool = True, margin: float = 0.0) -> tuple[int, bool]:
-        """(state, whether a reusable picture is sent again). margin: spare decoding time as a share."""
-        state, again = (NORMAL if normal or reusable else EPOCH_START), False
-        if self.threshold == 0 and not reusable and not normal:
-            state, self.drought = ACQUISITION, 0.0
-        elif not normal:
-            if forced or force:
-                state, self.drought = ACQUISITION, 0.0
-            elif reusable and valid and margin > max(self.threshold - DROUGHT * self.drought, 0.0):
-                state, again, self.drought = ACQUISITION, True, 0.0
-            elif state == NORMAL:
-                self.drought += self.refresh_rate
-        if state != NORMAL:
-            self.updates = 0
-        elif self.insert_after:
-            self.updates += 1
-        return state, again
-
-    def acquisition_due(self, forced: bool = False) -> bool:
-        return self.insert_after > 0 and self.updates + 1 > self.insert_after and not forced
-
-    def note_acquisition(self) -> None:
-        self.updates = 0
+#: What a display set brings: a new palette for what is on screen, a picture that the decoder still holds,
+#: or a new picture.
+UPDATE, HELD, NEW = range(3)
+
+
+@dataclass(frozen=True)
+class Rule:
+    """The first rule that holds tells the state; drought: what it becomes, from what it was and the rate."""
+
+    holds: Callable[[int, bool, float, float], bool]  # what it brings, whether a window has to be acquired, margin, bar
+    state: int
+    resend: bool
+    drought: Callable[[float, float], float]
+
+
+RULES = (
+    Rule(lambda brings, must, margin, bar: brings == UPDATE, NORMAL, False, lambda drought, rate: drought),
+    Rule(lambda brings, must, margin, bar: must, ACQUISITION, False, lambda drought, rate: 0.0),
+    Rule(lambda brings, must, margin, bar: brings == NEW, EPOCH_START, False, lambda drought, rate: drought),
+    Rule(lambda brings, must, margin, bar: margin > bar, ACQUISITION, True, lambda drought, rate: 0.0),
+    Rule(lambda brings, must, margin, bar: True, NORMAL, False, lambda drought, rate: drought + rate),
+)
+
+
+@dataclass(frozen=True)
+class Progress:
+    """What display sets have left behind: how long no picture was acquired, and how many sets in the
+    normal state have followed the last one that was not."""
+
+    drought: float = 0.0
+    updates: int = 0
+
+
+@dataclass(frozen=True)
+class StateChoice:
+    """Chooses states one after another. least_margin: spare decoding time, as a share, from which a picture that
+    the decoder holds is sent again; it falls by DROUGHT for each set that passed without (rate of them at a
+    time). At 0 every new picture is acquired. refresh_after: normal sets before an acquisition is due; 0: never."""
+
+    least_margin: float = 0.5
+    rate: float = 1.0
+    refresh_after: int = 0
+
+    def next(self, before: Progress, brings: int, must: bool = False, margin: float = NO_MARGIN) -> tuple[int, bool, Progress]:
+        """(state, whether a held picture is sent again, what is left behind)."""
+        must = must or brings == NEW and self.least_margin == 0
+        bar = max(self.least_margin - DROUGHT * before.drought, 0.0)
+        rule = next(r for r in RULES if r.holds(brings, must, margin, bar))
+        counted = before.updates + (self.refresh_after > 0) if rule.state == NORMAL else 0
+        return rule.state, rule.resend, Progress(rule.drought(before.drought, self.rate), counted)
+
+    def due(self, now: Progress) -> bool:
+        """Whether an acquisition has to be put in; the set that began the run of updates counts as one."""
+        return 0 < self.refresh_after <= now.updates
+
+    @staticmethod
+    def acquired(now: Progress) -> Progress:
+        """After an acquisition that was put in: the drought goes on."""
+        return replace(now, updates=0)
+
+
+def decode_margin(dts: float, free_from: float, pts: float, pts_before: float, full: float, spent_before: float) -> float:
+    """Spare decoding time before a display set, in units of what the set before it took: from free_from (when the
+    decoder was done with that one) to dts. NO_MARGIN where the decoder is not done, or where the sets are no further
+    apart than a full screen takes."""
+    if dts <= free_from or pts - pts_before <= full:
+        return NO_MARGIN
+    return (dts - free_from) / spent_before if spent_before > 0 else float("inf")

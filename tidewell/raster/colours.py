@@ -38,38 +38,38 @@ def _mapped(rgba: np.ndarray, entry: np.ndarray, palette: np.ndarray, place: np.
 
 
 def by_means(rgba: np.ndarray, most: int) -> Quantised:
-    """Splits clusters at their weighted mean, in the channel in which they deviate most; the cluster
-    with the most deviation for its weight goes first, and weight counts less as clusters get more."""
+    """Bisects clusters across the direction in which their colours spread most: the cluster with the
+    largest sum of squared distances first, at its mean. Then every colour goes to the nearest mean, and means
+    are taken once more. Distances weigh alpha as nearest() does."""
     colours, place, count = counted(rgba)
-    groups = [np.arange(len(colours))]
-
-    def stats(g):
-        w = count[g].astype(float)
-        mean = (colours[g] * w[:, None]).sum(0) / w.sum()
-        off = (np.abs(colours[g] - mean) * w[:, None]).sum(0) / w.sum()
-        return mean, int(off.argmax()), float(off.max()), w.sum()
-
-    facts = [stats(groups[0])]
-    while len(groups) < most:
-        power = 0.75 - (len(groups) + 0.5) / (2 * most)
-        cost = [f[2] * f[3] ** power if len(g) > 1 else -1.0 for f, g in zip(facts, groups)]
-        k = int(np.argmax(cost))
-        if cost[k] <= 0:
-            break
-        mean, channel, _, _ = facts[k]
-        above = colours[groups[k], channel] > mean[channel]
-        if above.all() or not above.any():
-            break
-        parts = groups[k][~above], groups[k][above]
-        groups[k], facts[k] = parts[0], stats(parts[0])
-        groups.append(parts[1])
-        facts.append(stats(parts[1]))
-    palette = np.array([np.rint(f[0]) for f in facts])
+    scaled = colours * np.sqrt([1.0, 1.0, 1.0, ALPHA_WEIGHT])
+    cluster = np.zeros(len(colours), np.int64)
+    spread = [np.inf]
+    while len(spread) < most and max(spread) > 0:
+        k = int(np.argmax(spread))
+        own = np.flatnonzero(cluster == k)
+        off = scaled[own] - np.average(scaled[own], axis=0, weights=count[own])
+        scatter = (off * count[own, None]).T @ off
+        side = off @ np.linalg.eigh(scatter)[1][:, -1] > 0
+        if side.all() or not side.any():
+            spread[k] = 0.0
+            continue
+        cluster[own[side]] = len(spread)
+        spread.append(0.0)
+        for new in (k, len(spread) - 1):
+            own = np.flatnonzero(cluster == new)
+            off = scaled[own] - np.average(scaled[own], axis=0, weights=count[own])
+            spread[new] = float((off * off * count[own, None]).sum()) if len(own) > 1 else 0.0
+
+    def means() -> np.ndarray:
+        weight = np.bincount(cluster, count, len(spread))
+        sums = np.stack([np.bincount(cluster, count * colours[:, c], len(spread)) for c in range(4)], 1)
+        return np.rint(sums[weight > 0] / weight[weight > 0, None])
+
+    cluster = nearest(colours, means())
+    palette = means()
     palette[palette[:, 3] == 0] = 0
-    entry = np.empty(len(colours), np.int64)
-    for k, g in enumerate(groups):
-        entry[g] = k
-    return _mapped(rgba, entry, palette, place)
+    return _mapped(rgba, nearest(colours, palette), palette, place)
 
 
 def by_moments(rgba: np.ndarray, most: int) -> Quantised:
@@ -195,16 +195,18 @@ def dithered(rgba: np.ndarray, palette: np.ndarray) -> np.ndarray:
     return out
 
 
-def sequence_bitmap(frames: list[np.ndarray], most: int, backend: str = "means") -> tuple[np.ndarray, list[dict[int, tuple[int, int, int, int]]]]:
+def sequence_bitmap(frames: list[np.ndarray], most: int, backend: str = "means", dither: bool = False) -> tuple[np.ndarray, list[dict[int, tuple[int, int, int, int]]]]:
     """One bitmap and a palette for each of several RGBA frames of one size. A pixel stands for its
     sequence of colours over the frames; the most frequent sequences get an entry each (1 and up, by
     count, then bytes), the first one that is never seen gets 255, and the rest takes the closest
-    entry. The first palette is whole, later ones hold what changes."""
+    entry. The first palette is whole, later ones hold what changes. dither spreads each frame's errors."""
     h, w = frames[0].shape[:2]
     columns = []
     for f in frames:
         indices, palette = quantise(f, most, backend)
         palette = np.where(palette[:, 3:] == 0, 0, palette)
+        if dither:
+            indices = dithered(f, palette)
         columns.append(palette[indices.ravel()])
     flat = np.ascontiguousarray(np.concatenate(columns, 1).astype(np.uint8))
     rows, place, count = np.unique(flat.view(np.dtype((np.void, flat.shape[1]))).ravel(), return_inverse=True, return_counts=True)

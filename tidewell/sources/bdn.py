@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -55,27 +57,45 @@ def overlapping_graphics(events: DataFrame) -> DataFrame:
     return events.filter(met)
 
 
+def normal_path(path: Column) -> Column:
+    """A path with / between its parts and without parts that go nowhere: "." and a part before "..", of names
+    that the folder of the project does not hold."""
+    parts = F.filter(F.split(F.translate(path, "\\", "/"), "/"), lambda p: (p != "") & (p != "."))
+    step = lambda done, p: F.when((p == "..") & (F.size(done) > 0), F.slice(done, 1, F.greatest(F.size(done) - 1, F.lit(0)))).when(p == "..", done).otherwise(F.concat(done, F.array(p)))
+    return F.array_join(F.aggregate(parts, F.array().cast("array<string>"), step), "/")
+
+
+def place(path: Column, folder: str) -> Column:
+    """Where a picture of a project is, relative to the folder of its pictures: paths are told relative to the XML, so
+    they may begin with the name of that folder."""
+    own, name = normal_path(path), folder.rstrip("/").rsplit("/", 1)[-1]
+    return F.when(F.startswith(own, F.lit(name + "/")), F.substr(own, F.lit(len(name) + 2))).otherwise(own)
+
+
 def read_images(spark: SparkSession, folder: str) -> DataFrame:
-    """(name, width, height, data, channels) of the PNG files in a folder; data is BGR or BGRA. What is
-    no picture is left out; pruning data leaves only sizes to read."""
-    image = spark.read.format("image").option("dropInvalid", True).load(folder)
-    return image.select(F.element_at(F.split("image.origin", "/"), -1).alias("name"), F.col("image.width").alias("width"), F.col("image.height").alias("height"), F.col("image.data").alias("data"), F.col("image.nChannels").alias("channels"))
+    """(path, width, height, data, channels) of the PNG files in a folder and those in it; path is relative to it, data
+    is BGR or BGRA. What is no picture is left out; pruning data leaves only sizes to read."""
+    image = spark.read.format("image").option("dropInvalid", True).option("recursiveFileLookup", True).load(folder)
+    origin = F.url_decode(F.regexp_replace("image.origin", r"\+", "%2B"))
+    name = folder.rstrip("/").rsplit("/", 1)[-1]
+    inside = F.element_at(F.split(origin, "/" + re.escape(name) + "/", 2), -1)
+    return image.select(inside.alias("path"), F.col("image.width").alias("width"), F.col("image.height").alias("height"), F.col("image.data").alias("data"), F.col("image.nChannels").alias("channels"))
 
 
-def rejected_images(events: DataFrame, images: DataFrame) -> DataFrame:
+def rejected_images(events: DataFrame, images: DataFrame, folder: str = "") -> DataFrame:
     """(event_ord, path): pictures of several in an event that are not as large as told or missing, and
     single ones that are smaller than told. A single picture may be missing."""
     g = events.select("event_ord", F.size("graphics").alias("_n"), F.explode("graphics").alias("g"))
-    joined = g.join(images.select("name", "width", "height"), F.element_at(F.split("g.path", "/"), -1) == F.col("name"), "left")
+    joined = g.join(images.select(F.col("path").alias("name"), "width", "height"), place(F.col("g.path"), folder) == F.col("name"), "left")
     w, h = F.col("g.w"), F.col("g.h")
     bad = F.when(F.col("_n") > 1, F.col("width").isNull() | (F.col("width") != w) | (F.col("height") != h)).otherwise((F.col("width") < w) | (F.col("height") < h))
     return joined.filter(F.coalesce(bad, F.lit(False))).select("event_ord", F.col("g.path").alias("path"))
 
 
-def with_pictures(events: DataFrame, images: DataFrame) -> DataFrame:
+def with_pictures(events: DataFrame, images: DataFrame, folder: str = "") -> DataFrame:
     """A row for each event and picture: the event's columns, at (x and y in the event's box) and data."""
-    g = events.withColumn("g", F.explode("graphics")).withColumn("name", F.element_at(F.split("g.path", "/"), -1)).drop("graphics")
-    return g.join(images, "name", "left").withColumn("at_x", F.col("g.x") - F.col("x")).withColumn("at_y", F.col("g.y") - F.col("y"))
+    g = events.withColumn("g", F.explode("graphics")).withColumn("path", place(F.col("g.path"), folder)).drop("graphics")
+    return g.join(images, "path", "left").withColumn("at_x", F.col("g.x") - F.col("x")).withColumn("at_y", F.col("g.y") - F.col("y"))
 
 
 def rgba(data: bytes, width: int, height: int, channels: int) -> np.ndarray:

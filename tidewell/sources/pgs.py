@@ -8,13 +8,17 @@ size; a file is never split, as segments can only be found from its start on.
 
 from __future__ import annotations
 
+import contextlib
 import struct
+import uuid
+from collections.abc import Callable
 from dataclasses import dataclass
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from tidewell.sources import codec
 from tidewell.sources.storage import listed, locate, packed
@@ -47,6 +51,19 @@ def segment_row(file: str, n: int, found: tuple) -> dict:
     return row
 
 
+def parsed(segments: DataFrame) -> DataFrame:
+    """Segments (file, seg_ord, type, pts, dts, payload) with all the columns that reading a stream gives; where they
+    stand in it is not known."""
+
+    def parse(batches):
+        for batch in batches:
+            rows = [segment_row(r["file"], r["seg_ord"], (None, r["pts"], r["dts"], r["type"] & 0xFF, bytes(r["payload"] or b""))) for r in batch.to_pylist()]
+            yield pa.RecordBatch.from_pylist(rows, to_arrow_schema(schema))
+
+    schema = segments.sparkSession.createDataFrame([], SEGMENTS).schema
+    return segments.select("file", "seg_ord", "type", "pts", "dts", "payload").mapInArrow(parse, schema)
+
+
 @dataclass
 class Streams(InputPartition):
     files: tuple[str, ...]
@@ -131,20 +148,37 @@ def stream_format(segments: DataFrame) -> DataFrame:
     return first.select("file", F.coalesce("pcs.width", F.lit(1920)).alias("width"), F.coalesce("pcs.height", F.lit(1080)).alias("height"), F.coalesce("pcs.fps", F.lit(0x20)).alias("fps"))
 
 
-def _create(path: str, overwrite: bool):
-    fs, root = locate(path)
-    if not overwrite and fs.get_file_info(root).is_file:
-        raise FileExistsError(path)
-    return fs.open_output_stream(root, compression=None)
-
-
-def write_sup(segments: DataFrame, path: str, order: list[str] = ["seg_ord"], overwrite: bool = False) -> int:  # noqa: B006
+@contextlib.contextmanager
+def _created(overwrite: bool, *paths: str):
+    """Streams to files that appear under their names all together, when all is written; a failure leaves nothing.
+    Without overwrite none of them may be there before."""
+    places = [locate(p) for p in paths]
+    for path, (fs, root) in zip(paths, places):
+        if not overwrite and fs.get_file_info(root).is_file:
+            raise FileExistsError(path)
+    mark = f".{uuid.uuid4().hex}.part"
+    streams = [fs.open_output_stream(root + mark, compression=None) for fs, root in places]
+    try:
+        yield streams
+    except BaseException:
+        for stream, (fs, root) in zip(streams, places):
+            stream.close()
+            fs.delete_file(root + mark)
+        raise
+    for stream, (fs, root) in zip(streams, places):
+        stream.close()
+        fs.move(root + mark, root)
+
+
+def write_sup(segments: DataFrame, path: str, order: list[str] = ["seg_ord"], overwrite: bool = False, told: Callable[[bytes], None] = lambda segment: None) -> int:  # noqa: B006
     """Writes one stream file in order; returns the number of segments. A stream is one ordered file,
-    so the driver appends to it, a partition of the sorted rows at a time."""
+    so the driver appends to it, a partition of the sorted rows at a time; told gets each segment."""
     count = 0
-    with _create(path, overwrite) as f:
+    with _created(overwrite, path) as (f,):
         for r in segments.orderBy(*order).select("type", "pts", "dts", "payload").toLocalIterator():
-            f.write(codec.segment(r.type & 0xFF, r.pts, r.dts, bytes(r.payload or b"")))
+            segment = codec.segment(r.type & 0xFF, r.pts, r.dts, bytes(r.payload or b""))
+            f.write(segment)
+            told(segment)
             count += 1
     return count
 
@@ -158,7 +192,7 @@ def index_entry(kind: int, size: int, pts: int, dts: int) -> bytes:
 def write_elementary(segments: DataFrame, path: str, index_path: str, order: list[str] = ["seg_ord"], overwrite: bool = False) -> int:  # noqa: B006
     """Writes segments without clocks to path and their index to index_path."""
     count = 0
-    with _create(path, overwrite) as f, _create(index_path, overwrite) as g:
+    with _created(overwrite, path, index_path) as (f, g):
         g.write(b"\0\0\0\3")
         for r in segments.orderBy(*order).select("type", "pts", "dts", "payload").toLocalIterator():
             payload = bytes(r.payload or b"")
