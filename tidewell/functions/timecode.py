@@ -72,3 +72,27 @@ def fits_format(width: Column, height: Column, code: Column) -> Column:
     for (w, h), codes in FORMATS.items():
         out = out | ((width == w) & (height == h) & code.isin(*codes))
     return out
+
+
+def rate_text(num: Column, den: Column, drop_frame: Column) -> Column:
+    """A frame rate as text, with three digits and DF or NDF."""
+    return F.concat(F.format_string("%.3f fps ", num / den), F.when(drop_frame, "DF").otherwise("NDF"))
+
+
+def elapsed_text(millis: Column) -> Column:
+    """Minutes and seconds, two digits at least: 05:09, 100:00."""
+    total = F.floor(millis / 1000)
+    two = lambda x: F.when(x < 10, F.concat(F.lit("0"), x.cast("string"))).otherwise(x.cast("string"))
+    return F.concat(two(F.floor(total / 60)), F.lit(":"), two(total % 60))
+
+
+def remaining_text(millis: Column, done: Column, total: Column) -> Column:
+    """How long the rest takes at the rate so far, as 1m 5s or 40s; null at the start and when all is done."""
+    seconds = F.floor(millis * (total - done) / done / 1000)
+    text = F.when(seconds >= 60, F.concat(F.floor(seconds / 60).cast("string"), F.lit("m "), (seconds % 60).cast("string"), F.lit("s"))).otherwise(F.concat(seconds.cast("string"), F.lit("s")))
+    return F.when((done > 0) & (total > done), text)
+
+
+def without_clock(line: Column) -> Column:
+    """A log line without the clock and level that it begins with."""
+    return F.regexp_replace(line, r"^\d{2}:\d{2}:\d{2}\s+[A-Z]+:\s+", "")

@@ -18,13 +18,25 @@ def small(df: DataFrame, rows: int = SMALL_ROWS) -> DataFrame:
     return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
 
 
-def overlapping_pairs(df: DataFrame, key: str, ident: str, boxes: Column) -> DataFrame:
-    """(key, a, b, box_a, box_b) of the boxes under one key whose interiors meet, a before b."""
-    from tidewell.functions.geometry import overlaps
+#: Side of the cells that boxes are dealt to.
+CELL = 128
 
-    own = df.select(F.col(key), F.col(ident).alias("a"), boxes.alias("box_a"))
-    other = df.select(F.col(key), F.col(ident).alias("b"), boxes.alias("box_b"))
-    return own.join(other, key).filter((F.col("a") < F.col("b")) & overlaps(F.col("box_a"), F.col("box_b")))
+
+def overlapping_pairs(df: DataFrame, key: str, ident: str, boxes: Column, cell: int = CELL) -> DataFrame:
+    """(key, a, b, box_a, box_b) of the boxes under one key whose interiors meet, a before b. Boxes meet in the cells
+    of a grid that they cover, so that a key of many boxes is many small groups; a pair counts in the cell of its
+    common near corner alone."""
+    from tidewell.functions.geometry import bottom, overlaps, right
+
+    place = lambda x: F.floor(x / F.lit(cell)).cast("bigint")
+    cells = lambda near, far: F.explode(F.sequence(place(near), F.greatest(place(near), place(far - 1))))
+    b = F.col("_box")
+    told = df.select(F.col(key), F.col(ident).alias("_id"), boxes.alias("_box")).filter((b["w"] > 0) & (b["h"] > 0))
+    dealt = told.withColumn("_cx", cells(b["x"], right(b))).withColumn("_cy", cells(b["y"], bottom(b)))
+    side = lambda n: dealt.select(key, "_cx", "_cy", F.col("_id").alias(n), b.alias(f"box_{n}"))
+    x, y = F.col("box_a"), F.col("box_b")
+    own = (place(F.greatest(x["x"], y["x"])) == F.col("_cx")) & (place(F.greatest(x["y"], y["y"])) == F.col("_cy"))
+    return side("a").join(side("b"), [key, "_cx", "_cy"]).filter((F.col("a") < F.col("b")) & overlaps(x, y) & own).drop("_cx", "_cy")
 
 
 def windows_of(df: DataFrame, boxes: Column, windows: list[tuple[int, int, int, int, int]]) -> DataFrame:
@@ -46,7 +58,9 @@ def first_window(x: Column, y: Column, windows: list[tuple[int, int, int, int, i
 
 def nearest_entry(df: DataFrame, vector: str, entries: DataFrame, entry_id: str, entry: str, digits: int = 6) -> DataFrame:
     """df with the closest entry (Euclidean) and its distance; the smallest id of equals. The entries
-    are a stated set that is small, every row is held against each of them."""
+    are a stated set of at most SMALL_ROWS, which is counted; every row is held against each of them."""
+    if entries.limit(SMALL_ROWS + 1).count() > SMALL_ROWS:
+        raise ValueError(f"more than {SMALL_ROWS} entries")
     table = entries.agg(F.array_sort(F.collect_list(F.struct(F.col(entry_id).alias("id"), F.col(entry).alias("v")))).alias("_all"))
     square = lambda v: F.aggregate(F.zip_with(vector, v, lambda a, b: (a.cast("double") - b.cast("double")) * (a.cast("double") - b.cast("double"))), F.lit(0.0), lambda s, x: s + x)
     best = F.array_min(F.transform("_all", lambda e: F.struct(F.round(F.sqrt(square(e["v"])), digits).alias("distance"), e["id"].alias("id"))))

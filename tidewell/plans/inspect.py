@@ -94,6 +94,12 @@ def census(sets: DataFrame, pcs_first: bool = False) -> DataFrame:
     )
 
 
+def epoch(sets: DataFrame, number: int) -> DataFrame:
+    """The segments of the display sets of one epoch (from 0 on) of each file; none beyond the last."""
+    numbers = display_sets(sets).filter(F.col("epoch") == number).select("file", "ds")
+    return sets.join(numbers, ["file", "ds"])
+
+
 def _finding(df: DataFrame, rule: str, hard: bool, detail: Column | str, ds: str = "ds") -> DataFrame:
     text = F.lit(detail) if isinstance(detail, str) else detail
     return df.select("file", F.col(ds).cast("bigint").alias("ds"), F.lit(rule).alias("rule"), text.alias("detail"), F.lit(hard).alias("hard"))

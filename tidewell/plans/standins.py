@@ -530,20 +530,42 @@ def rle_bitmaps(spark, sf_dir):
     return back.select("vec_id", (F.col("back.ok") & (F.col("back.bitmap") == F.col("map"))).alias("ok"), F.col("seen.non_empty").alias("non_empty"))
 
 
-@query(None)
+_POLICY_SQL = """
+    WITH RECURSIVE e AS (
+        SELECT user_id, event_id, row_number() OVER (PARTITION BY user_id ORDER BY epoch_us(ts), event_id) AS n,
+               CASE event_type WHEN 'click' THEN 0 WHEN 'view' THEN 1 ELSE 2 END AS brings, event_type = 'error' AS must, value - floor(value) AS margin
+        FROM events),
+    s AS (
+        SELECT user_id, event_id, n, brings, must, margin, CAST(0 AS DOUBLE) AS before, CAST(0 AS BIGINT) AS updates_before FROM e WHERE n = 1
+        UNION ALL
+        SELECT e.user_id, e.event_id, e.n, e.brings, e.must, e.margin,
+               CASE WHEN s.brings = 0 THEN s.before WHEN s.must THEN 0.0 WHEN s.brings = 2 THEN s.before
+                    WHEN s.margin > greatest(0.5 - 0.035 * s.before, 0.0) THEN 0.0 ELSE s.before + 1.0 END,
+               CASE WHEN s.brings = 0 OR (NOT s.must AND s.brings = 1 AND NOT s.margin > greatest(0.5 - 0.035 * s.before, 0.0)) THEN s.updates_before + 1 ELSE 0 END
+        FROM s JOIN e ON e.user_id = s.user_id AND e.n = s.n + 1),
+    t AS (
+        SELECT *, CASE WHEN brings = 0 THEN 'normal' WHEN must THEN 'acquisition' WHEN brings = 2 THEN 'epoch' WHEN margin > greatest(0.5 - 0.035 * before, 0.0) THEN 'again' ELSE 'normal' END AS kind FROM s)
+    SELECT event_id, CASE kind WHEN 'normal' THEN 0 WHEN 'epoch' THEN 128 ELSE 64 END AS state, kind = 'again' AS again,
+           kind = 'normal' AND updates_before + 1 >= 5 AS due
+    FROM t
+"""
+
+
+@query(_POLICY_SQL)
 def policy_states(spark, sf_dir):
-    """STM-02/03: the state of each event of a user by the acquisition policy; a state machine, so one
-    function over each user. Forced at errors, alike at views."""
+    """STM-02/03: the state of each event of a user by the rules for acquisitions, which fold over the user's events
+    in order, so one function over each user. Views bring what is held, clicks an update, the rest what is new;
+    errors have to be acquired."""
     import pyarrow as pa
 
-    from tidewell.plans.timing import StatePolicy
+    from tidewell.plans.timing import HELD, NEW, UPDATE, Progress, StateChoice
 
     def states(rows: pa.Table) -> pa.Table:
-        policy, out = StatePolicy(0.5, 1.0, 5), []
+        choice, now, out = StateChoice(0.5, 1.0, 5), Progress(), []
         for r in sorted(rows.to_pylist(), key=lambda r: (r["pts"], r["event_id"])):
-            kind = r["event_type"]
-            state, again = policy.decide(kind == "click", kind == "view", kind == "error", margin=(r["value"] % 1.0))
-            out.append({"event_id": r["event_id"], "state": state, "again": again, "due": policy.acquisition_due()})
+            brings = {"click": UPDATE, "view": HELD}.get(r["event_type"], NEW)
+            state, again, now = choice.next(now, brings, r["event_type"] == "error", r["value"] % 1.0)
+            out.append({"event_id": r["event_id"], "state": state, "again": again, "due": choice.due(now)})
         return pa.Table.from_pylist(out, pa.schema([("event_id", pa.int64()), ("state", pa.int64()), ("again", pa.bool_()), ("due", pa.bool_())]))
 
     rows = events(spark, sf_dir).select("user_id", "event_id", "event_type", "value", "pts")
@@ -583,3 +605,9 @@ def picture_regions(spark, sf_dir):
     after = e.select((F.col("vec_id") - 1).alias("vec_id"), F.col("pic").alias("other"))
     s = images.similarity(F.col("pic"), F.col("other"), F.lit(8), F.lit(8))
     return e.join(after, "vec_id").select("vec_id", s.alias("s")).select("vec_id", F.round("s.score", 6).alias("score"), F.round("s.share", 6).alias("share"))
+
+
+from tidewell.plans import ruled  # noqa: E402  the queries over made streams
+
+QUERIES |= ruled.QUERIES
+ORACLES |= ruled.ORACLES
