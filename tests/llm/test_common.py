@@ -5,7 +5,7 @@ import pyarrow.fs as pafs
 import pytest
 from pyspark.sql import functions as F
 
-from tidewell.llm.common import LISTING, TableWriter, arrow_rows, drop_stored, new_path, shared_dir, stored, tidy
+from tidewell.llm.common import LISTING, TableWriter, arrow_rows, drop_stored, new_path, noted, remove, shared_dir, stored
 
 
 def test_table_round_trip(spark):
@@ -33,9 +33,10 @@ def test_only_listed_files_are_read(spark):
 
 
 def test_tables_are_removed(spark):
-    with tidy(spark) as kept:
-        a, b = stored(spark.range(5)), stored(spark.range(6))
-        kept.append(b)
+    with noted() as folders:
+        a = stored(spark.range(5))
+    b = stored(spark.range(6))
+    remove(spark, folders)
     exists = lambda df: pafs.FileSystem.from_uri(f := df.inputFiles()[0].replace("file:///", "/"))[0].get_file_info(f).type != pafs.FileType.NotFound
     assert not exists(a) and exists(b) and b.count() == 6
 

@@ -124,18 +124,20 @@ def _remove(spark: SparkSession, folder: str) -> None:
 
 
 @contextlib.contextmanager
-def tidy(spark: SparkSession):
-    """Gives a list. At the end the tables that were stored within are removed, but for those that the
-    DataFrames in the list read."""
-    before, kept = len(_made), []
-    yield kept
-    used = {f.rsplit("/", 1)[0].rsplit("/", 1)[1] for df in kept for f in df.inputFiles()}
-    for folder in _made[before:]:
-        if folder.rsplit("/", 1)[1] not in used:
-            _remove(spark, folder)
+def noted():
+    """Gives a list that holds, at the end, the folders of the tables that were stored within."""
+    before, folders = len(_made), []
+    yield folders
+    folders += _made[before:]
     del _made[before:]
 
 
+def remove(spark: SparkSession, folders: list[str]) -> None:
+    """Removes noted() tables; nothing may read them any more."""
+    for folder in folders:
+        _remove(spark, folder)
+
+
 #: The column of with_rows().
 ROW = "_tidewell_row"
 
@@ -172,16 +174,23 @@ def partitions(df: DataFrame) -> int:
 
 #: Rows of whole texts or sets that a Python function gets at a time.
 TEXT_ROWS = 1_000
+_ROWS_KEY = "spark.sql.execution.arrow.maxRecordsPerBatch"
+
+
+def whole_texts(spark: SparkSession) -> None:
+    """Lets Python functions get at most TEXT_ROWS rows at a time for the rest of the session: for results that run
+    later and hand rows of whole texts to Python."""
+    if not 0 < int(spark.conf.get(_ROWS_KEY)) <= TEXT_ROWS:
+        spark.conf.set(_ROWS_KEY, str(TEXT_ROWS))
 
 
 @contextlib.contextmanager
 def arrow_rows(spark: SparkSession, rows: int = TEXT_ROWS):
-    """Within, Python functions get at most so many rows at a time: for rows that hold whole sets or
-    texts. It counts for what runs within, so results have to be stored there."""
-    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    before = spark.conf.get(key)
-    spark.conf.set(key, str(rows))
+    """Within, Python functions get at most so many rows at a time. It counts for what runs within, so results
+    have to be stored there."""
+    before = spark.conf.get(_ROWS_KEY)
+    spark.conf.set(_ROWS_KEY, str(rows))
     try:
         yield
     finally:
-        spark.conf.set(key, before)
+        spark.conf.set(_ROWS_KEY, before)

@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_type
 
-from tidewell.llm.common import arrow_rows, stored
+from tidewell.llm.common import whole_texts
 
 ERROR_SHARE = 16
 MIN_CHARS = 30
@@ -187,5 +187,5 @@ def drop_contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_
                 yield batch.filter(pa.array(free, pa.bool_()))
 
         out = out.mapInArrow(clean, schema)
-    with arrow_rows(docs.sparkSession):
-        return stored(out, "clean")
+    whole_texts(docs.sparkSession)
+    return out

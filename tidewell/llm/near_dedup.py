@@ -141,7 +141,7 @@ def _more_tokens(words: int, trees: range):
 
 
 def _more_places(trees: range):
-    """A row for each of these further trees: where the set stands at depth DEPTH."""
+    """A row for each of these further trees: where the set stands at depth DEPTH, with its label."""
 
     def place(batches):
         for batch in batches:
@@ -155,7 +155,7 @@ def _more_places(trees: range):
             path = path & ~_U(TREE) | np.arange(TREES + trees.start, TREES + trees.stop, dtype=np.uint64)
             bits = np.frombuffer(b"".join(x.ljust(16, b"\0") for x in batch.column("bits").to_pylist()), np.int64).reshape(n, 2)
             each = pa.array(np.repeat(np.arange(n), m))
-            yield pa.RecordBatch.from_arrays([pa.array(path.ravel().view(np.int64)), batch.column("id").take(each), batch.column("n").take(each), pa.array(np.repeat(bits[:, 0], m)), pa.array(np.repeat(bits[:, 1], m))], _PLACE)
+            yield pa.RecordBatch.from_arrays([pa.array(path.ravel().view(np.int64)), batch.column("id").take(each), batch.column("n").take(each), pa.array(np.repeat(bits[:, 0], m)), pa.array(np.repeat(bits[:, 1], m)), batch.column("label").take(each)], [*_PLACE, "label"])
 
     return place
 
@@ -573,7 +573,7 @@ def _near_groups(docs: DataFrame, words: int, ratio: tuple[int, int], id_col: st
     # From here on only what lies between components counts.
     rest = told(told(pairs.filter("wave = 1").select("a", "b"), labels, "a", "la"), labels, "b", "lb").filter("la != lb").select("a", "b")
     labels = extended(labels, confirmed(stored(rest), texts, words, ratio))
-    late = union(late)
+    left = told(union(late), labels, "id", "label")
     for trees in MORE_WAVES if crowded is not None else [range(0)]:
         if len(trees):
             # Sets whose large node of depth START is of several components.
@@ -582,10 +582,10 @@ def _near_groups(docs: DataFrame, words: int, ratio: tuple[int, int], id_col: st
             tokens = texts.join(_if_small(asked), "id", "left_semi").mapInArrow(_more_tokens(words, trees), f"id {name}, print binary, tokens binary")
             # Rows that repeat id and set have the same tokens.
             tokens = stored(tokens).dropDuplicates(["id", "print"])
-            more = tokens.join(alone.select("id", "n", "print", "bits"), ["id", "print"]).select("id", "n", "tokens", "bits").mapInArrow(_more_places(trees), T.StructType(place))
-            late = more if late is None else late.unionByName(more)
-        left, late = stored(told(late, labels, "id", "label"), "late"), None
-        labels = extended(labels, _searched(left, alone, texts, words, ratio))
+            placed = told(tokens.join(alone.select("id", "n", "print", "bits"), ["id", "print"]), labels, "id", "label").select("id", "n", "tokens", "bits", "label")
+            more = placed.mapInArrow(_more_places(trees), T.StructType([*place, field("label", id_type)]))
+            left = more if left is None else left.unionByName(more)
+        labels, left = extended(labels, _searched(stored(left, "late"), alone, texts, words, ratio)), None
     out = members.join(labels, members.rep == labels.node, "left").select("id", "n", F.coalesce("label", "rep").alias("c"))
     return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.col("c").alias("component_id"), F.col("id").eqNullSafe(F.col("c")).alias("kept"))
 

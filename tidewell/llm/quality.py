@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidewell.llm.common import arrow_rows, stored
+from tidewell.llm.common import arrow_rows, stored, whole_texts
 from tidewell.llm.features import content, fit, metadata, sigmoid
 
 LABELLED, ROUNDS, GIVEN, SURE = 4_000, 2, 250, 2.0
@@ -287,6 +287,6 @@ def quality_scores(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", t
 def keep_good(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """docs without the rows that the classifier rejects as poor or toxic, each judged by its own text and metadata,
     whatever its id; the columns stay."""
-    with arrow_rows(docs.sparkSession):
-        scored = quality_scores(docs, labels, id_col, text_col, carry=True)
-        return stored(scored.filter(f"{CARRIED}.keep").drop(CARRIED), "good")
+    scored = quality_scores(docs, labels, id_col, text_col, carry=True)
+    whole_texts(docs.sparkSession)
+    return scored.filter(f"{CARRIED}.keep").drop(CARRIED)
