@@ -232,3 +232,21 @@ def test_runner(spark):
 
     assert r.run(job)["success"] and events[0]["percent"] == 50 and events[-1]["events"] == 5
     assert not r.run(lambda p: 1 / 0)["success"]
+
+
+def test_texts(spark):
+    row = spark.range(1).select(
+        timecode.rate_text(F.lit(24_000), F.lit(1_001), F.lit(False)).alias("a"), timecode.rate_text(F.lit(25), F.lit(1), F.lit(True)).alias("b"), timecode.elapsed_text(F.lit(309_999)).alias("c"), timecode.elapsed_text(F.lit(6_000_000)).alias("d"),
+        timecode.remaining_text(F.lit(65_000), F.lit(1), F.lit(2)).alias("e"), timecode.remaining_text(F.lit(4_000), F.lit(1), F.lit(2)).alias("f"), timecode.remaining_text(F.lit(4_000), F.lit(2), F.lit(2)).alias("g"), timecode.without_clock(F.lit("12:30:01 WARN: 10:00:00 INFO: x")).alias("h"),
+    ).first()
+    assert tuple(row) == ("23.976 fps NDF", "25.000 fps DF", "05:09", "100:00", "1m 5s", "4s", None, "10:00:00 INFO: x")
+
+
+def test_boxes_over_many_cells(spark):
+    rnd = random.Random(3)
+    boxes = [(i % 3, i, rnd.randrange(-50, 900), rnd.randrange(-50, 700), rnd.randrange(0, 400), rnd.randrange(0, 200)) for i in range(120)]
+    df = spark.createDataFrame(boxes, "k int, i int, x int, y int, w int, h int")
+    got = sorted((r.a, r.b) for r in joins.overlapping_pairs(df, "k", "i", geometry.box(F.col("x"), F.col("y"), F.col("w"), F.col("h")), 64).collect())
+    met = lambda p, q: p[2] < q[2] + q[4] and q[2] < p[2] + p[4] and p[3] < q[3] + q[5] and q[3] < p[3] + p[5]
+    solid = [b for b in boxes if b[4] and b[5]]
+    assert got == sorted((p[1], q[1]) for p in solid for q in solid if p[0] == q[0] and p[1] < q[1] and met(p, q))

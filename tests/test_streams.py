@@ -165,3 +165,45 @@ def test_rle_round_trip(w, h, colours, rnd):
     bitmap = np.array([[rnd.choice([0, 1, 2, 255][: colours + 1]) for _ in range(w)] for _ in range(h)], np.uint8)
     back, ok = codec.decode_rle(codec.encode_rle(bitmap), w, h)
     assert ok and (back == bitmap).all()
+
+
+def test_sets_close_at_end_and_format(spark, tmp_path):
+    (tmp_path / "a.sup").write_bytes(streams.joined(E + streams.epoch(pts=1_500_000, number=2) + E[:2]))
+    rows = pgs.read_segments(spark, str(tmp_path / "a.sup"), "PERMISSIVE")
+    assert pgs.whole_display_sets(rows).count() == rows.count() - 2
+    told = pgs.stream_format(rows).first()
+    assert (told.width, told.height, told.fps) == (1920, 1080, 0x20)
+    sets = inspect.with_sets(pgs.whole_display_sets(rows))
+    assert [inspect.epoch(sets, n).count() for n in (0, 1, 2)] == [len(E), len(E), 0]
+    assert inspect.epoch(sets, 1).agg(F.min("pts")).first()[0] >= 1_490_000
+
+
+def test_rate_of_arriving_segments(spark, tmp_path):
+    from tidewell.streaming.census import windowed_rate
+
+    rows = [("a", float(t), n) for t, n in ((0.1, 10), (0.9, 20), (1.5, 30), (3.2, 40))]
+    spark.createDataFrame(rows, "file string, t double, size int").write.parquet(str(tmp_path / "in"))
+    arriving = spark.readStream.schema("file string, t double, size int").parquet(str(tmp_path / "in")).withColumn("at", F.timestamp_seconds("t"))
+    query = windowed_rate(arriving, "at").writeStream.format("memory").queryName("rates").outputMode("update").trigger(availableNow=True).start()
+    query.awaitTermination()
+    got = {r.at: r.bytes for r in spark.table("rates").select(F.unix_timestamp("window.start").alias("at"), "bytes").collect()}
+    h = codec.HEADER.size
+    assert got == {0: 30 + 2 * h, 1: 30 + h, 3: 40 + h}
+
+
+def test_parts_and_free_entries_of_bitmaps():
+    from tidewell.raster.pixels import crop, free_index
+
+    a = np.arange(12, dtype=np.uint8).reshape(3, 4)
+    assert crop(a, 1, 1, 2, 2).tolist() == [[5, 6], [9, 10]] and crop(a, -1, 2, 2, 2).tolist() == [[255, 8], [255, 255]] and crop(a, 9, 9, 1, 1).tolist() == [[255]] and crop(a, 0, 0, 0, 3).shape == (3, 0)
+    palette = np.array([[1, 1, 1, 255], [0, 0, 0, 0], [9, 9, 9, 8]], np.uint8)
+    moved, table = free_index(np.array([[0, 1, 2]], np.uint8), palette)
+    assert moved.tolist() == [[1, 255, 3]] and table[1].tolist() == [1, 1, 1, 255] and table[3].tolist() == [9, 9, 9, 8] and not table[255].any()
+
+
+def test_parsed_segments_are_those_of_a_file(spark, tmp_path):
+    (tmp_path / "a.sup").write_bytes(streams.joined(E))
+    rows = pgs.read_segments(spark, str(tmp_path / "a.sup"))
+    again = pgs.parsed(rows.select("file", "seg_ord", "type", "pts", "dts", "payload"))
+    columns = [c for c in rows.columns if c != "byte_off"]
+    assert sorted(map(repr, again.select(columns).collect())) == sorted(map(repr, rows.select(columns).collect()))
