@@ -69,10 +69,6 @@ def test_mixture(stages):
     assert all(abs(share[d] - w) < 0.02 for d, w in {"en": 0.4, "fr": 0.2, "de": 0.2, "es": 0.2}.items())
 
 
-def test_run(spark, stages):
-    assert cp.run(spark, SF).count() == len(stages["mixture"][1])
-
-
 def test_repeated_and_null_ids(spark, stages, tmp_path):
     docs, labels, bench = (spark.read.parquet(f"{SF}/{t}.parquet") for t in ("documents", "labels", "benchmark"))
     told = {r.doc_id for r in labels.collect()}

@@ -47,6 +47,8 @@ def components(links: DataFrame) -> DataFrame:
     written, which cuts the lineage."""
     kind = links.schema["a"].dataType.simpleString()
     stars = stored(links.select("a", "b").mapInArrow(_stars, f"a {kind}, b {kind}"))
+    if not stars.take(1):
+        return stars.select(F.col("a").alias("node"), F.col("b").alias("label"))
     both = stored(stars.unionByName(stars.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
     labels = stored(both.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("label")).withColumnRenamed("a", "node"), "labels")
     drop_stored(stars)

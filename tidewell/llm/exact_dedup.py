@@ -86,7 +86,8 @@ def assign_names(rows: DataFrame, key: str, deal_by: list[str]) -> DataFrame:
 def content_names(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """One row per row of docs: id_col, n_bytes, sha256 (binary), rounds, name. Rows have equal
     (rounds, name) if and only if their texts' bytes are equal; a null text is an empty one.
-    Null ids and repeated ids are allowed; no column besides the two is read."""
+    Null ids and repeated ids are allowed; no column besides the two is read. Rows are numbered as docs gives them:
+    docs has to be a table or a plan that gives its rows in the same order when a lost task runs again."""
     raw = text_bytes(text_col)
     blocks = F.transform(F.sequence(F.lit(0), F.greatest(F.ceil(F.col("n_bytes") / block_bytes).cast("int") - 1, F.lit(0))), lambda i: F.substring(F.col("_raw"), i * block_bytes + F.lit(1), F.lit(block_bytes)))
     base = docs.select(F.col(id_col).alias("_id"), raw.alias("_raw"), F.monotonically_increasing_id().alias("_row"))

@@ -453,6 +453,8 @@ def sets_of(docs: DataFrame, asked: DataFrame, words: int) -> DataFrame:
 
 def confirmed(pairs: DataFrame, docs: DataFrame, words: int, ratio: tuple[int, int]) -> DataFrame:
     """The pairs (a, b) of ids whose full sets are similar enough. pairs: stored, distinct; docs: (id, text)."""
+    if not pairs.take(1):
+        return pairs
     id_type = docs.schema["id"].dataType.simpleString()
     sets = sets_of(docs, pairs.select(F.explode(F.array("a", "b")).alias("id")), words)
     left, right = (sets.select(F.col("id").alias(x), F.col("set").alias("s" + x)) for x in "ab")
@@ -500,10 +502,13 @@ def _blocks(rows: DataFrame, apart: DataFrame) -> DataFrame:
 
 def _searched(left: DataFrame, alone: DataFrame, texts: DataFrame, words: int, ratio: tuple[int, int]) -> DataFrame:
     """Links (a, b) that join components, from a search of the places of left (path, id, n, s0, s1, label)."""
+    apart = stored(_apart(left, "path"))
+    if not apart.take(1):
+        return left.select(F.col("id").alias("a"), F.col("id").alias("b")).limit(0)
     name = left.schema["id"].dataType.simpleString()
     units = f"path long, id {name}, label {name}"
     with arrow_rows(left.sparkSession, NARROW_ROWS):
-        dealt = _blocks(left, stored(_apart(left, "path"))).repartition("path").sortWithinPartitions("path", "label", "id")
+        dealt = _blocks(left, apart).repartition("path").sortWithinPartitions("path", "label", "id")
         nodes = stored(dealt.mapInArrow(_open_rows(ratio), units).distinct())
     dealt = nodes.join(alone.select("id", "n", "tokens"), "id").repartition("path").sortWithinPartitions("path", "label", "id")
     nodes = stored(dealt.mapInArrow(_alike_rows(ratio), units).distinct())
@@ -579,6 +584,8 @@ def _near_groups(docs: DataFrame, words: int, ratio: tuple[int, int], id_col: st
             # Sets whose large node of depth START is of several components.
             among = stored(told(crowded, labels, "id", "label"))
             asked = stored(among.join(_if_small(stored(_apart(among, "first").select("first"))), "first", "left_semi").select("id").distinct())
+            if left is None and not asked.take(1):
+                continue
             tokens = texts.join(_if_small(asked), "id", "left_semi").mapInArrow(_more_tokens(words, trees), f"id {name}, print binary, tokens binary")
             # Rows that repeat id and set have the same tokens.
             tokens = stored(tokens).dropDuplicates(["id", "print"])
