@@ -298,6 +298,9 @@ def test_command(spark, tmp_path, capsys):
     assert main(run) == 1 and main([*run, "-y"]) == 0 and main(["encode", xml, img, out, "-m", "5"]) == 1
     assert [matrix_of(x) for x in ("601", "bt-2020", "x")] == ["bt601", "bt2020", None]
     assert not [p for p in tmp_path.iterdir() if p.name.endswith(".part")]
+    capsys.readouterr()
+    assert main(["stats", out, "--text"]) == 0 and "epochs 2, display_sets 4" in capsys.readouterr().out
+    assert main(["validate", out]) == 0
 
 
 def test_failed_write_leaves_nothing(spark, tmp_path):

@@ -72,6 +72,7 @@ def main(argv: list[str] | None = None) -> int:
         c.add_argument("path")
         c.add_argument("--ds", type=int, default=None)
         c.add_argument("--max-kbps", type=int, default=0)
+        c.add_argument("--text", action="store_true", help="a line of text instead of JSON for each row")
     c = commands.add_parser("encode")
     c.add_argument("xml")
     c.add_argument("images")
@@ -118,8 +119,9 @@ def main(argv: list[str] | None = None) -> int:
         rows = rows.select("file", "ds", "seg_ord", "type_name", "pts", "dts", "size")
         if rows.isEmpty():
             return 2
-    for line in rows.select(F.to_json(F.struct("*"))).toLocalIterator():
-        print(line[0])
+    line = F.concat_ws(", ", *[F.concat(F.lit(f"{c} "), F.col(c).cast("string")) for c in rows.columns]) if args.text else F.to_json(F.struct("*"))
+    for told in rows.select(line).toLocalIterator():
+        print(told[0])
     return runner.validate_code(rows, status) if args.command == "validate" else 0
 
 
