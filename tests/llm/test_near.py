@@ -154,3 +154,48 @@ def test_isolated_links_in_large_nodes(docs_of):
     rows = crowd(40, 50, 1)
     got = {r.doc_id: r.component_id for r in near_groups(docs_of(rows), 1).collect()}
     assert got == {i: i - i % 2 for i, _ in rows}
+
+
+def test_one_task_finishes_few_links(spark, monkeypatch):
+    """A few links take two tables, however long their chain; the rounds for more give the same labels."""
+    from tidewell.llm import components as c
+
+    links = spark.createDataFrame([(i, i + 1) for i in range(0, 600, 2)] + [(i, i + 1) for i in range(1, 600, 2)] + [(900, 800)], "a long, b long").repartition(6)
+    made, keep = [], c.stored
+    monkeypatch.setattr(c, "stored", lambda df, *name: made.append(name) or keep(df, *name))
+    few = sorted(map(tuple, components(links).collect()))
+    assert len(made) == 2 and few == [(i, 0) for i in range(601)] + [(800, 800), (900, 800)]
+    monkeypatch.setattr(c, "FEW_STARS", 0)
+    assert sorted(map(tuple, components(links).collect())) == few
+
+
+def test_tokens_travel_once(docs_of, monkeypatch):
+    """The places of the distinct sets are made from a written table, without joins with the signatures of all rows."""
+    from tidewell.llm import near_dedup as nd
+
+    reads, keep = [], nd.stored
+    monkeypatch.setattr(nd, "stored", lambda df, *name: reads.append((name, df._jdf.queryExecution().analyzed().toString())) or keep(df, *name))
+    near_groups(docs_of([(i, f"a b c d e f g h {i // 3} {i % 2}") for i in range(90)]), 2).collect()
+    at = [i for i, (name, _) in enumerate(reads) if name == ("alone",)]
+    assert len(at) == 1 and not any("Join" in plan for _, plan in reads[at[0] + 1 : at[0] + 3])
+
+
+def test_units_of_many_trees_are_merged(spark, monkeypatch):
+    """One group in 20 trees is compared once; any two sets of a unit stay together; a chain of small units stays as it is."""
+    from tidewell.llm import near_dedup as nd
+
+    monkeypatch.setattr(nd, "BLOCK", 100)
+    rnd, units = random.Random(8), []
+    for tree in range(20):
+        ids = rnd.sample(range(350), 350)
+        units += [ids[:175], ids[175:]]
+    units += [list(range(10_000 + 3 * i, 10_004 + 3 * i)) for i in range(300)]
+    rows = [(128 * (k + 1) + k % 20, i, i, min(u)) for k, u in enumerate(units) for i in u]
+    places = {}
+    for r in nd._merged(stored(spark.createDataFrame(rows, "path long, id long, label long, first long"))).collect():
+        places.setdefault(r.path, set()).add(r.id)
+    assert sum(len(p) for p in places.values() if max(p) < 350) == 350 * 3
+    assert sorted(map(sorted, (p for p in places.values() if min(p) >= 10_000))) == units[40:]
+    for u in units[:40]:
+        met = {(a, b) for p in places.values() for a in p & set(u) for b in p & set(u)}
+        assert len(met) == len(u) ** 2

@@ -10,10 +10,13 @@ from tidewell.llm.common import drop_stored, stored
 
 #: Links whose trees a task holds at a time.
 HELD_LINKS = 500_000
+#: Up to so many stars one task finishes; their nodes are at most twice as many, so that it holds them all.
+FEW_STARS = 200_000
 
 
-def _stars(batches):
-    """For each of the task's nodes a link (a, b) to the smallest node that the task's own links reach."""
+def _stars(batches, roots: bool = False):
+    """For each of the task's nodes a link (a, b) to the smallest node that the task's own links reach; with `roots`
+    also for those that are the smallest themselves."""
     parent: dict = {}
 
     def root(x):
@@ -22,7 +25,7 @@ def _stars(batches):
         return x
 
     def flush():
-        told = [(x, r) for x in parent if (r := root(x)) != x]
+        told = [(x, r) for x in parent if (r := root(x)) != x or roots]
         return pa.RecordBatch.from_arrays([pa.array([t[i] for t in told], kind) for i in (0, 1)], ["a", "b"])
 
     kind = None
@@ -42,13 +45,15 @@ def _stars(batches):
 def components(links: DataFrame) -> DataFrame:
     """(node, label) for every node of links (a, b) that links to another: label is the smallest node
     that it can reach. Tasks first replace their own links by stars, so that a group that brings many
-    links goes on with one for each node and task. Each round then takes the smallest label among a
+    links goes on with one for each node and task. A few stars are finished by one task. Of more, each round then takes the smallest label among a
     node's neighbours and the label of that label, so that long chains halve. Each round's labels are
     written, which cuts the lineage."""
     kind = links.schema["a"].dataType.simpleString()
     stars = stored(links.select("a", "b").mapInArrow(_stars, f"a {kind}, b {kind}"))
-    if not stars.take(1):
-        return stars.select(F.col("a").alias("node"), F.col("b").alias("label"))
+    if stars.count() <= FEW_STARS:
+        labels = stored(stars.coalesce(1).mapInArrow(lambda batches: _stars(batches, roots=True), f"a {kind}, b {kind}").toDF("node", "label"), "labels")
+        drop_stored(stars)
+        return labels
     both = stored(stars.unionByName(stars.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
     labels = stored(both.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("label")).withColumnRenamed("a", "node"), "labels")
     drop_stored(stars)

@@ -22,7 +22,7 @@ of the first FIRST trees are confirmed and give components; of the pairs of the
 between different components are confirmed. At last come the nodes that still hold let-through pairs of
 different components: these pairs are held against all minwise tokens (at 0.8 a pair agrees on 96 of 120
 with a deviation of 4.4, and goes on from 72), and the sets of those that go on are compared exhaustively, each
-time skipping what has been joined by then. What several trees find is compared once. Links inside a component would change nothing, so none that matters is lost. A node of more than
+time skipping what has been joined by then. What several trees find is compared once: units that share sets are merged where that is less work. Links inside a component would change nothing, so none that matters is lost. A node of more than
 BLOCK sets is dealt out in pairs of blocks, without those that hold its largest component alone.
 """
 
@@ -42,6 +42,10 @@ from tidewell.llm.components import components, extended
 TREES, START, DEPTH, SMALL = 20, 3, 6, 32
 #: Trees whose links are confirmed first, and the bits of a path that hold the number of its tree.
 FIRST, TREE = 3, 127
+#: In the place of a tree: a unit that is of no tree.
+ALL = TREE
+#: Units are merged where that gives at most so many times the pairs.
+MORE_PAIRS = 4
 #: Further trees, from depth DEPTH on, for sets of large nodes.
 MORE = 48
 #: They are searched in waves, as after the first one little is left to join.
@@ -299,18 +303,23 @@ def _linked_parts(m: int, like) -> list[np.ndarray]:
 
 def _units(table: pa.Table, units: list[np.ndarray], columns: list[str], trees: np.ndarray | None = None) -> pa.RecordBatch:
     """The rows of each unit, under a hash of the unit's ids in the place of the path: a unit that was found
-    twice is one. trees: the number of the tree that each unit goes on with."""
-    ids, names = table.column("id").to_pylist(), []
+    twice is one. trees: the number of the tree that each unit goes on with; then rows also get `first`, an id of
+    the unit that stands for it."""
+    ids, names, firsts = table.column("id").to_pylist(), [], []
     for k, u in enumerate(units):
         name = xxhash.xxh3_64_intdigest("\0".join(sorted(str(ids[i]) for i in u)))
         names.append(np.full(len(u), name if trees is None else name & ~TREE | int(trees[k]), np.uint64))
+        firsts.append(np.full(len(u), min(u, key=lambda i: str(ids[i]))))
     take = table.select(columns).take(pa.array(np.concatenate(units))).combine_chunks()
-    return pa.RecordBatch.from_arrays([pa.array(np.concatenate(names).view(np.int64)), *(take.column(c).chunk(0) for c in columns)], ["path", *columns])
+    out = {"path": pa.array(np.concatenate(names).view(np.int64)), **{c: take.column(c).chunk(0) for c in columns}}
+    if trees is not None:
+        out["first"] = table.column("id").combine_chunks().take(pa.array(np.concatenate(firsts)))
+    return pa.RecordBatch.from_arrays(list(out.values()), list(out))
 
 
 def _open_rows(ratio: tuple[int, int]):
     """Of late nodes, the rows that have a let-through pair in another component, by parts that such pairs
-    connect: (path, id, label)."""
+    connect: (path, id, label, first)."""
 
     def choose(batches):
         for table in _nodes(batches):
@@ -337,7 +346,8 @@ def _open_rows(ratio: tuple[int, int]):
 def _alike_rows(ratio: tuple[int, int]):
     """The same by the minwise tokens of the first TREES trees, which tell similarities better than the sketches. A pair
     that stays together in some of these trees to the end is looked at in the first of them alone: it is in a node
-    there that has compared it or is one of the late ones. Parts of many or long sets are cut into pieces of about UNIT_BYTES of sets, and the pairs of these are the units."""
+    there that has compared it or is one of the late ones. In units of _merged(), whose tree is ALL, every pair is
+    looked at. Parts of many or long sets are cut into pieces of about UNIT_BYTES of sets, and the pairs of these are the units."""
 
     def choose(batches):
         for table in _single_nodes(batches):
@@ -352,7 +362,7 @@ def _alike_rows(ratio: tuple[int, int]):
                 b = b[small * ratio[1] >= large * ratio[0]]
                 same = tokens[b] == tokens[i]
                 together = same.reshape(len(b), TREES, DEPTH).all(2)
-                return b[(same.sum(1) >= AGREE_TOKENS) & (~together.any(1) | (together.argmax(1) == tree))]
+                return b[(same.sum(1) >= AGREE_TOKENS) & ((tree == ALL) | ~together.any(1) | (together.argmax(1) == tree))]
 
             units = []
             for own in _linked_parts(len(n), like):
@@ -500,6 +510,28 @@ def _blocks(rows: DataFrame, apart: DataFrame) -> DataFrame:
     return small.unionByName(big.withColumn("path", unit).select(*_PLACE, "label"))
 
 
+def _merged(nodes: DataFrame) -> DataFrame:
+    """(path, id, label) of the units of nodes (path, id, label, first). A group of sets that stay apart comes back in
+    a unit of each tree. So units that have sets in common, directly or by others, become one group, which is dealt
+    out in pairs of blocks of about BLOCK sets wherever these are no more rows, and not many more pairs, than its
+    units; any two sets of a unit are together in such a pair. Other groups keep their units."""
+    groups = components(nodes.select(F.col("first").alias("a"), F.col("id").alias("b")).filter("a != b"))
+    units = stored(nodes.groupBy("path", "first").agg(F.count("*").alias("m")).join(groups, F.col("first") == groups.node).select("path", "m", F.col("label").alias("group")))
+    each = units.groupBy("group").agg(F.sum("m").alias("rows"), F.sum(F.col("m") * F.col("m")).alias("pairs"))
+    blocks = F.ceil(F.col("sets") / BLOCK).cast("int")
+    held = groups.groupBy(F.col("label").alias("group")).agg(F.count("*").alias("sets")).withColumn("blocks", blocks)
+    whole = (F.col("sets") * F.greatest(F.lit(1), F.col("blocks") - 1) <= F.col("rows")) & (F.col("sets") * F.col("sets") <= MORE_PAIRS * F.col("pairs"))
+    chosen = stored(held.join(each, "group").select("group", "blocks", whole.alias("whole")))
+    kept = stored(units.join(_if_small(stored(chosen.filter("not whole").select("group"))), "group", "left_semi").select("path"))
+    own = groups.withColumnRenamed("label", "group").join(_if_small(stored(chosen.filter("whole").select("group", "blocks"))), "group")
+    own = nodes.select("id", "label").distinct().join(own, F.col("id") == F.col("node"))
+    mine = F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int")
+    others = F.filter(F.sequence(F.lit(0), F.col("blocks") - 1), lambda x: (x != F.col("mine")) | (F.col("blocks") == 1))
+    dealt = own.withColumn("mine", mine).withColumn("other", F.explode(others))
+    name = F.xxhash64("group", F.least("mine", "other"), F.greatest("mine", "other")).bitwiseOR(F.lit(ALL))
+    return nodes.join(_if_small(kept), "path", "left_semi").select("path", "id", "label").unionByName(dealt.select(name.alias("path"), "id", "label"))
+
+
 def _searched(left: DataFrame, alone: DataFrame, texts: DataFrame, words: int, ratio: tuple[int, int]) -> DataFrame:
     """Links (a, b) that join components, from a search of the places of left (path, id, n, s0, s1, label)."""
     apart = stored(_apart(left, "path"))
@@ -509,8 +541,8 @@ def _searched(left: DataFrame, alone: DataFrame, texts: DataFrame, words: int, r
     units = f"path long, id {name}, label {name}"
     with arrow_rows(left.sparkSession, NARROW_ROWS):
         dealt = _blocks(left, apart).repartition("path").sortWithinPartitions("path", "label", "id")
-        nodes = stored(dealt.mapInArrow(_open_rows(ratio), units).distinct())
-    dealt = nodes.join(alone.select("id", "n", "tokens"), "id").repartition("path").sortWithinPartitions("path", "label", "id")
+        nodes = stored(dealt.mapInArrow(_open_rows(ratio), f"{units}, first {name}").distinct())
+    dealt = _merged(nodes).join(alone.select("id", "n", "tokens"), "id").repartition("path").sortWithinPartitions("path", "label", "id")
     nodes = stored(dealt.mapInArrow(_alike_rows(ratio), units).distinct())
     full = nodes.join(sets_of(texts, nodes, words), "id").select("path", "id", "label", "set")
     full = full.repartition("path").sortWithinPartitions("path", "label", "id")
@@ -537,10 +569,12 @@ def _near_groups(docs: DataFrame, words: int, ratio: tuple[int, int], id_col: st
     signed = stored(texts.mapInArrow(_signatures(words), schema))
     # Equal sets: the smallest id stands for all of them.
     same = stored(signed.filter("print is not null").groupBy("print").agg(F.min("id").alias("rep"), F.count("*").alias("m")).filter("m > 1").drop("m"))
-    members = signed.select("id", "n", "print").join(same, "print", "left").select("id", "n", F.coalesce("rep", "id").alias("rep"))
+    members = stored(signed.select("id", "n", "print").join(same, "print", "left").select("id", "n", F.coalesce("rep", "id").alias("rep")), "members")
     known = signed.filter("n > 0 and id is not null").join(same, "print", "left")
-    # Rows that repeat id and set are one.
-    alone = known.filter("rep is null").unionByName(known.filter("rep = id").dropDuplicates(["print"])).select("id", "n", "print", "tokens", "bits")
+    # Rows that repeat id and set are one. Tokens travel this once: all that follows reads what is written here.
+    alone = stored(known.filter("rep is null or rep = id").dropDuplicates(["print"]).select("id", "n", "print", "tokens", "bits"), "alone")
+    drop_stored(signed)
+    drop_stored(same)
     place = [field("path", T.LongType()), field("id", id_type), *[field(c, T.LongType()) for c in _PLACE[2:]]]
     linked = T.StructType([place[0], field("a", id_type), field("b", id_type), *place[1:]])
 
