@@ -199,3 +199,18 @@ def test_units_of_many_trees_are_merged(spark, monkeypatch):
     for u in units[:40]:
         met = {(a, b) for p in places.values() for a in p & set(u) for b in p & set(u)}
         assert len(met) == len(u) ** 2
+
+
+def test_large_nodes_with_few_others_are_compared_themselves(docs_of, monkeypatch):
+    """One large component with a few isolated links among its nodes: no set is placed in further trees, and nothing is missed.
+    With more others than DIRECT the further trees find the same."""
+    from tidewell.llm import near_dedup as nd
+
+    asked, make = [], nd._more_tokens
+    monkeypatch.setattr(nd, "_more_tokens", lambda words, trees: asked.append(trees) or make(words, trees))
+    base = [f"g0c{i}" for i in range(80)]
+    rows = crowd(1, 20, 6) + [(1_000 + i, " ".join(base[:71] + [f"t{j}" for j in range(19)] + [f"x{i}"])) for i in range(200)]
+    want = {i: i - i % 2 if i < 1_000 else 1_000 for i, _ in rows}
+    assert {r.doc_id: r.component_id for r in near_groups(docs_of(rows), 1).collect()} == want and not asked
+    monkeypatch.setattr(nd, "DIRECT", 3)
+    assert {r.doc_id: r.component_id for r in near_groups(docs_of(rows), 1).collect()} == want and asked

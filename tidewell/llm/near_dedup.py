@@ -7,10 +7,12 @@ make a node. A node of at most SMALL sets is compared exhaustively; a larger one
 together: its sets branch by the next token, down to DEPTH tokens, and what is still together then is
 handled as described below. Two sets of similarity s meet at depth d of a tree with probability s**d;
 at the threshold 0.8 and the start depth of 3 all 20 trees miss a pair with probability 6e-7. A large
-node compares nothing, so a pair that meets there has to stay together further down. Sets of large
-nodes of depth START that are not yet of one component are therefore placed in MORE trees of their own
-hash functions as well, at depth DEPTH at once, where nodes of any size are compared: at 0.8 these
-miss a pair with (1 - 0.8**6)**48 = 5e-7. Whatever nodes a pair passes, it is missed with 1.1e-6 at most.
+node compares nothing at first, so a pair that meets there has to stay together further down. Large nodes
+of depth START that are not of one component once links are known are then compared themselves, if at most
+DIRECT of their sets are outside their largest component: each set with those, not all with all. The sets
+of nodes with more outside are placed in MORE trees of their own hash functions instead, at depth DEPTH
+at once, where nodes of any size are compared: at 0.8 these miss a pair with (1 - 0.8**6)**48 = 5e-7.
+Whatever nodes a pair passes, it is missed with 1.1e-6 at most.
 
 Within a node pairs are first held against sketches of one bit for each hash function. A pair
 at the threshold agrees on 108 of 120 bits with a deviation of 3.3, and is let through from 88
@@ -46,7 +48,7 @@ FIRST, TREE = 3, 127
 ALL = TREE
 #: Units are merged where that gives at most so many times the pairs.
 MORE_PAIRS = 4
-#: Further trees, from depth DEPTH on, for sets of large nodes.
+#: Further trees, from depth DEPTH on, for sets of large nodes that are not compared themselves.
 MORE = 48
 #: They are searched in waves, as after the first one little is left to join.
 MORE_WAVES = (range(0, 6), range(6, MORE))
@@ -55,10 +57,15 @@ AGREE = 88
 #: Of BITS minwise tokens; the expectation at 0.8 is 96 with a deviation of 4.4.
 AGREE_TOKENS = 72
 BLOCK = 1_024
+#: Large nodes of depth START with at most so many sets outside their largest component are compared themselves. Of up to one
+#: block each set is dealt out twice at most on the average, which is less in all of TREES than its places in MORE trees.
+DIRECT = BLOCK
 #: Bytes of full sets, and common values of them, that are compared at a time.
 UNIT_BYTES, SPOTS = 32 << 20, 1 << 22
 #: Ids, places and labels are broadcast up to this many (8 or 16 bytes each), else joined.
 BROADCAST_IDS = 500_000
+#: Up to so many places are named in a filter; more are joined.
+FEW_PATHS = 256
 #: Rows without texts or sets that Python functions get at a time.
 NARROW_ROWS = 10_000
 
@@ -223,12 +230,13 @@ def _nodes(batches):
 def _found(table: pa.Table, a: np.ndarray, b: np.ndarray) -> pa.RecordBatch:
     """Pairs of rows of a table as (path, a, b), beside empty columns of a place."""
     ids = table.column("id").combine_chunks()
-    none = [pa.nulls(len(a), table.schema.field(c).type) for c in _PLACE[1:]]
-    return pa.RecordBatch.from_arrays([table.column("path").combine_chunks().take(pa.array(a)), ids.take(pa.array(a)), ids.take(pa.array(b)), *none], ["path", "a", "b", *_PLACE[1:]])
+    none = [pa.nulls(len(a), table.schema.field(c).type) for c in [*_PLACE[1:], "path"]]
+    return pa.RecordBatch.from_arrays([table.column("path").combine_chunks().take(pa.array(a)), ids.take(pa.array(a)), ids.take(pa.array(b)), *none], ["path", "a", "b", *_PLACE[1:], "first"])
 
 
 def _small_nodes(ratio: tuple[int, int]):
-    """Nodes of at most SMALL sets: pairs (path, a, b), and the rows of nodes that have more to compare."""
+    """Nodes of at most SMALL sets: pairs (path, a, b), and the rows of nodes that have more to compare. `first` is
+    that of the rows, if they have one."""
 
     def compare(batches):
         for table in _nodes(batches):
@@ -255,9 +263,11 @@ def _small_nodes(ratio: tuple[int, int]):
             if lefts and sum(map(len, lefts)):
                 yield _found(table, np.concatenate(lefts), np.concatenate(rights))
             if late.any():
-                rest = table.select(_PLACE).filter(pa.array(late)).combine_chunks()
+                own = [c for c in ("first",) if c in table.column_names]
+                rest = table.select([*_PLACE, *own]).filter(pa.array(late)).combine_chunks()
                 none = pa.nulls(rest.num_rows, table.schema.field("id").type)
-                yield pa.RecordBatch.from_arrays([rest.column("path").chunk(0), none, none, *(rest.column(c).chunk(0) for c in _PLACE[1:])], ["path", "a", "b", *_PLACE[1:]])
+                first = rest.column("first").chunk(0) if own else pa.nulls(rest.num_rows, pa.int64())
+                yield pa.RecordBatch.from_arrays([rest.column("path").chunk(0), none, none, *(rest.column(c).chunk(0) for c in _PLACE[1:]), first], ["path", "a", "b", *_PLACE[1:], "first"])
 
     return compare
 
@@ -576,7 +586,7 @@ def _near_groups(docs: DataFrame, words: int, ratio: tuple[int, int], id_col: st
     drop_stored(signed)
     drop_stored(same)
     place = [field("path", T.LongType()), field("id", id_type), *[field(c, T.LongType()) for c in _PLACE[2:]]]
-    linked = T.StructType([place[0], field("a", id_type), field("b", id_type), *place[1:]])
+    linked = T.StructType([place[0], field("a", id_type), field("b", id_type), *place[1:], field("first", T.LongType())])
 
     def union(all_: list[DataFrame]) -> DataFrame:
         out = all_[0]
@@ -587,35 +597,50 @@ def _near_groups(docs: DataFrame, words: int, ratio: tuple[int, int], id_col: st
     with arrow_rows(spark, NARROW_ROWS):
         rows = alone.select("id", "n", "tokens", "bits").mapInArrow(_places, T.StructType([*place, *[field(c, T.IntegerType()) for c in _NEXT]]))
         pairs, late, crowded = [], [], None
+        # From the second depth on rows have the large node of depth START that they come from.
+        held = lambda: [*_PLACE, *(c for c in ("first",) if c in rows.columns)]
         for depth in range(START, DEPTH + 1):
             large = stored(rows.groupBy("path").agg(F.count("*").alias("m")).filter(F.col("m") > SMALL).select("path"))
-            any_, keys = bool(large.take(1)), _if_small(large)
-            small = rows.join(keys, "path", "left_anti") if any_ else rows
-            node = stored(small.select(_PLACE).repartition("path").sortWithinPartitions("path", "s0", "s1", "id").mapInArrow(_small_nodes(ratio), linked))
+            few = [r.path for r in large.take(FEW_PATHS + 1)]
+            if len(few) <= FEW_PATHS:
+                within = F.col("path").isin(few)
+                small, inside = rows.filter(~within) if few else rows, rows.filter(within)
+            else:
+                keys = _if_small(large)
+                small, inside = rows.join(keys, "path", "left_anti"), rows.join(keys, "path", "left_semi")
+            node = stored(small.select(held()).repartition("path").sortWithinPartitions("path", "s0", "s1", "id").mapInArrow(_small_nodes(ratio), linked))
             pairs.append(node.filter("a is not null").select("path", "a", "b"))
-            late.append(node.filter("a is null").select(_PLACE))
-            if not any_:
+            late.append(node.filter("a is null").select(*_PLACE, "first"))
+            if not few:
                 break
-            inside = rows.join(keys, "path", "left_semi")
             if depth == DEPTH:
-                inside = stored(inside.select(_PLACE))
-                dealt = inside.repartitionByRange("path", "s0", "s1", "id").sortWithinPartitions("path", "s0", "s1", "id")
+                inside = stored(inside.select(held()))
+                dealt = inside.select(_PLACE).repartitionByRange("path", "s0", "s1", "id").sortWithinPartitions("path", "s0", "s1", "id")
                 pairs.append(stored(dealt.mapInArrow(_neighbours(ratio), T.StructType(linked.fields[:3]))))
                 late.append(inside)
                 break
             if depth == START:
                 inside = inside.withColumn("first", F.col("path"))
             rows = stored(inside.withColumn("path", _with_tree(F.xxhash64("path", f"t{depth}"))))
-            crowded = rows.select(F.col("first"), "id") if depth == START else crowded
+            crowded = rows.select("first", *_PLACE[1:]) if depth == START else crowded
     pairs = stored(union(pairs).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), (F.col("path").bitwiseAND(F.lit(TREE)) >= FIRST).cast("int").alias("wave")).filter("a != b").groupBy("a", "b").agg(F.min("wave").alias("wave")))
     labels = components(confirmed(pairs.filter("wave = 0").select("a", "b"), texts, words, ratio))
     # From here on only what lies between components counts.
     rest = told(told(pairs.filter("wave = 1").select("a", "b"), labels, "a", "la"), labels, "b", "lb").filter("la != lb").select("a", "b")
     labels = extended(labels, confirmed(stored(rest), texts, words, ratio))
-    left = told(union(late), labels, "id", "label")
+    late = union(late)
+    if crowded is not None:
+        # Large nodes of depth START that are of several components are compared themselves, if that is little: then with
+        # all that became of them further down.
+        open_ = _if_small(stored(_apart(told(crowded, labels, "id", "label"), "first")))
+        direct, others = (open_.filter(c).select("first") for c in (F.col("others") <= DIRECT, F.col("others") > DIRECT))
+        own = crowded.join(direct, "first", "left_semi").select(F.col("first").alias("path"), *_PLACE[1:])
+        late = late.join(direct, "first", "left_anti").select(_PLACE).unionByName(own)
+        crowded = stored(crowded.join(others, "first", "left_semi").select("first", "id")) if others.take(1) else None
+    left = told(late.select(_PLACE), labels, "id", "label")
     for trees in MORE_WAVES if crowded is not None else [range(0)]:
         if len(trees):
-            # Sets whose large node of depth START is of several components.
+            # Sets whose large node is still of several components.
             among = stored(told(crowded, labels, "id", "label"))
             asked = stored(among.join(_if_small(stored(_apart(among, "first").select("first"))), "first", "left_semi").select("id").distinct())
             if left is None and not asked.take(1):
