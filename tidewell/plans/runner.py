@@ -20,7 +20,7 @@ class Busy(RuntimeError):
 
 
 class Runner:
-    """run() calls a job and tells `emit` what happens: log, progress and, always last, done."""
+    """run() calls a job and tells `emit` what happens: progress, a log line when the job has ended or failed and, always last, done."""
 
     def __init__(self, spark: SparkSession, emit: Callable[[dict], None] = lambda event: None):
         self.spark, self.emit = spark, emit
@@ -31,11 +31,11 @@ class Runner:
         if not self._lock.acquire(blocking=False):
             raise Busy("a job is running")
         began = time.monotonic()
-        self.emit({"type": "log", "level": "info", "msg": "the job begins"})
         self._group, self._cancelled = f"tidewell-{uuid.uuid4().hex}", False
         self.spark.sparkContext.setJobGroup(self._group, "tidewell job", interruptOnCancel=True)
         try:
             counters = job(self.progress)
+            self.emit({"type": "log", "level": "info", "msg": "the job has ended"})
             event = {"type": "done", "success": True, **counters}
         except Exception as e:
             log.debug("the job failed", exc_info=True)
